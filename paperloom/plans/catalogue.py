@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import admission, chunking, reports  # noqa: F401
+from paperloom.plans import admission, chunking, reports, search  # noqa: F401
 from paperloom.plans.registry import QUERIES, full_sql
 from paperloom.sources.views import Source
 

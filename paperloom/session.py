@@ -45,3 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path inside the shared folder."""
     return f"{shared_folder(spark)}/paperloom/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df, purpose: str):
+    """Write ``df`` to the shared folder and read it back: it is computed once, survives lost executors, and ends lineage."""
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
