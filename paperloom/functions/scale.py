@@ -25,3 +25,9 @@ def salt_of(*keys: Column, salts: int) -> Column:
 def replicate(df: DataFrame, salts: int, name: str = "salt") -> DataFrame:
     """One copy of every row per salt, for the smaller side of a salted join."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More partitions for a small input that is about to be worked on hard; a large one is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df

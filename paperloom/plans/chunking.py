@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.functions.scale import spread
 from paperloom.functions.text import estimate_tokens, overlap_tail, split_sections
 from paperloom.operators import chunking as C
 from paperloom.plans.registry import query, shared_sql
@@ -13,7 +14,7 @@ _BLANKS = r"' ' || chr(9) || chr(10) || chr(13)"
 
 
 def texts(src: Source):
-    return src.documents.select(F.col("doc_id").alias("document_id"), "text")
+    return spread(src.documents.select(F.col("doc_id").alias("document_id"), "text"), "document_id")
 
 
 def _sections_sql(source: str, keys: str, text: str, sep: str) -> str:

@@ -286,20 +286,24 @@ def text_topk(src: Source):
     )
 
 
+shared_sql("all_label_hits", _label_hits(""))
+shared_sql("mec_label_hits", _label_hits(" WHERE discipline = 'MEC'"))
+
+
 @query(
     "hybrid_fuse",
     f"""SELECT query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, chunk_id) AS INT) AS rank FROM (
   SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id,
-    round(coalesce(a.score, 0e0) * 0.6e0 + coalesce(b.score, 0e0) * 0.4e0, 12) AS score
-  FROM (SELECT query_id, chunk_id, score FROM label_scores WHERE chunk_id % 2 = 0) a
-  FULL JOIN (SELECT query_id, chunk_id, score FROM label_scores WHERE chunk_id % 3 = 0) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) s
+    round(coalesce(a.score, 0e0) * 0.6e0 + coalesce(b.score, 0e0) * 0.4e0, 9) AS score
+  FROM all_label_hits a FULL JOIN mec_label_hits b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) s
 QUALIFY rank <= {LIMIT}""",
 )
 def hybrid_fuse(src: Source):
-    # two overlapping hit lists made of the similarities of every child to the query of its own label and of the others
-    hits = V.vector_topk(src.vector_queries, src.search_chunks, src.ref_documents, 1_000_000, DIM)
-    left, right = hits.where(F.col("chunk_id") % 2 == 0), hits.where(F.col("chunk_id") % 3 == 0)
-    return H.hybrid_fuse(left, right, LIMIT).select("query_id", "chunk_id", _nine(), "rank")
+    # two hit lists that overlap in part: over all documents, and over those of one discipline
+    everywhere = V.vector_topk(src.vector_queries, src.search_chunks, src.ref_documents, 2 * LIMIT, DIM)
+    within = V.vector_topk(src.vector_queries, src.search_chunks, src.ref_documents, 2 * LIMIT, DIM, "MEC")
+    fused = H.hybrid_fuse(everywhere.withColumn("score", F.round("score", 9)), within.withColumn("score", F.round("score", 9)), LIMIT)
+    return fused.select("query_id", "chunk_id", _nine(), "rank")
 
 
 @query("hybrid_search", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hybrid_hits")
