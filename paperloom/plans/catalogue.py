@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import admission, chunking, parsing, reports, search, validation  # noqa: F401
+from paperloom.plans import admission, assembly, chunking, parsing, reports, search, validation  # noqa: F401
 from paperloom.plans.registry import QUERIES, full_sql
 from paperloom.sources.views import Source
 

@@ -360,7 +360,7 @@ def project_extractions(src: Source):
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found.withColumn("item", F.regexp_replace("item", r'": ', '":'))
+    return found
 
 
 @query(
