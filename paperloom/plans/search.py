@@ -261,26 +261,26 @@ def build_text_index(src: Source):
     return T.build_text_index(corpus_chunks(src))
 
 
-def _text_tables(src: Source):
+def text_tables(src: Source):
     chunks = stored(children(src), "children")
     return stored(T.build_text_index(chunks), "index"), T.text_statistics(chunks), T.query_terms(src.text_queries)
 
 
 @query("text_match", "SELECT DISTINCT query_id, chunk_id FROM text_matches")
 def text_match(src: Source):
-    index, _, wanted = _text_tables(src)
+    index, _, wanted = text_tables(src)
     return T.text_match(index, wanted).select("query_id", "chunk_id").distinct()
 
 
 @query("text_rank", "SELECT query_id, chunk_id, round(score, 9) AS score FROM text_scores")
 def text_rank(src: Source):
-    index, statistics, wanted = _text_tables(src)
+    index, statistics, wanted = text_tables(src)
     return T.text_rank(T.text_match(index, wanted), statistics).select("query_id", "chunk_id", _nine())
 
 
 @query("text_topk", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM text_hits")
 def text_topk(src: Source):
-    index, statistics, _ = _text_tables(src)
+    index, statistics, _ = text_tables(src)
     return T.text_topk(src.text_queries, index, statistics, 2 * LIMIT).select(
         "query_id", "chunk_id", _nine(), "rank"
     )

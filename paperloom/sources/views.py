@@ -124,7 +124,7 @@ FROM conversations WHERE role = 'assistant' AND turn = 1""",
     # every turn of a conversation stands for one retrieved chunk of its question
     "answer_context": """
 SELECT conv_id AS query_id, CAST(turn AS INT) AS rank, conv_id * 1000 + turn AS chunk_id,
-  'ARG-E-EL-' || lpad(CAST(conv_id % 100 AS STRING), 2, '0') || '-' || lpad(CAST((turn + turn % 2) / 2 AS STRING), 3, '0') AS document_number,
+  'ARG-E-EL-' || lpad(CAST(conv_id % 100 AS STRING), 2, '0') || '-' || lpad(CAST(CAST((turn + turn % 2) / 2 AS BIGINT) AS STRING), 3, '0') AS document_number,
   'Turn of ' || role AS title, text AS content
 FROM conversations""",
     "corpus_documents": """
@@ -165,11 +165,17 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    def stream_table(self, name: str) -> DataFrame:
+        """The same table as a file stream."""
+        reader = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(self.folder)
+
+    def view(self, name: str, streaming: bool = False) -> DataFrame:
         sql = VIEWS[name]
         for base in BASE_TABLES:
             if f"FROM {base}" in sql or f"JOIN {base}" in sql:
-                self.table(base).createOrReplaceTempView(base)
+                table = self.stream_table(base) if streaming else self.table(base)
+                table.createOrReplaceTempView(base)
         return self.spark.sql(_HASH.sub(r"sha2(\1, 256)", sql))
 
     def __getattr__(self, name: str) -> DataFrame:
