@@ -1 +1,8 @@
 """Document-corpus analytics on Spark: every operator maps DataFrames to DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no installation of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

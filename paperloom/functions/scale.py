@@ -18,6 +18,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column behind a one-row generator, which filters and projections on it do not repeat."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def salt_of(*keys: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
 

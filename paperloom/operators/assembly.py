@@ -53,9 +53,10 @@ def assemble_pages(elements: DataFrame) -> DataFrame:
     )
     tables = F.transform(
         F.filter("items", lambda e: e["kind"] == "table"),
-        lambda e: F.concat(page_header("Table on Page", F.col("page")), table_text(e["cells"])),
+        lambda e: F.concat(page_header("Table on Page", F.col("page")), e["table"]),
     )
-    pages = items_by_page(elements, "kind", "name", "text", "cells").withColumn("texts", texts)
+    flat = elements.withColumn("table", F.when(F.col("kind") == "table", table_text(F.col("cells"))))
+    pages = items_by_page(flat, "kind", "name", "text", "table").withColumn("texts", texts)
     own = F.when(F.col("texts") != "", F.array(F.concat(page_header("Page", F.col("page")), "texts"))).otherwise(
         _no_parts()
     )

@@ -66,22 +66,22 @@ def model_encoder(load_model: Callable[[], Callable[[list[str]], np.ndarray]], b
     return encode
 
 
-def embed_distinct(chunks: DataFrame, encoder: Encoder, known: DataFrame | None = None) -> DataFrame:
-    """chunk_id, content -> chunk_id, file_hash, embedding.
+def embed_distinct(
+    chunks: DataFrame, encoder: Encoder, known: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """chunk_id, content -> chunk_id, file_hash, embedding, and the columns to ``keep``.
 
     ``known`` (file_hash, embedding) holds the vectors of earlier runs; only texts that are not in it are encoded.
     Contents meet the shuffle once per distinct text and task; the join back moves ids, hashes and vectors only.
     """
-    hashed = chunks.select("chunk_id", content_hash(F.col("content")).alias("file_hash"), "content")
+    hashed = chunks.select("chunk_id", *keep, content_hash(F.col("content")).alias("file_hash"), "content")
     distinct = hashed.groupBy("file_hash").agg(F.any_value("content").alias("content"))
     if known is not None:
         distinct = distinct.join(known.select("file_hash"), "file_hash", "left_anti")
     vectors = encoder(distinct)
     if known is not None:
         vectors = vectors.unionByName(known.select("file_hash", "embedding"))
-    return hashed.select("chunk_id", "file_hash").join(vectors, "file_hash").select(
-        "chunk_id", "file_hash", "embedding"
-    )
+    return hashed.drop("content").join(vectors, "file_hash").select("chunk_id", *keep, "file_hash", "embedding")
 
 
 def reuse_statistics(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.constants import SEARCH_LIMIT, TEXT_WEIGHT, VECTOR_WEIGHT
 from paperloom.functions.scale import broadcast_if_small
-from paperloom.operators.text_search import text_topk
+from paperloom.operators.text_search import term_frequency, text_topk
 from paperloom.operators.vector_search import metadata_filters, rank_hits, vector_topk
 
 
@@ -39,6 +39,7 @@ def hybrid_search(
     limit: int = SEARCH_LIMIT,
     discipline: str | None = None,
     document_ids: DataFrame | None = None,
+    frequency: DataFrame | None = None,
 ) -> DataFrame:
     """Both branches with 2 x limit candidates each, then fusion.
 
@@ -47,8 +48,10 @@ def hybrid_search(
     vector_hits = vector_topk(queries, chunks, documents, 2 * limit, dim, discipline, document_ids)
     if discipline or document_ids is not None:
         ids = metadata_filters(chunks.select("chunk_id", "document_id"), documents, discipline, document_ids)
-        index = index.join(ids.select("chunk_id"), "chunk_id", "left_semi")
-    text_hits = text_topk(queries, index, statistics, 2 * limit)
+        allowed = index.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+        frequency = term_frequency(index) if frequency is None else frequency
+        index = allowed
+    text_hits = text_topk(queries, index, statistics, 2 * limit, frequency)
     return hybrid_fuse(vector_hits, text_hits, limit)
 
 

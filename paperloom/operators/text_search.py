@@ -5,31 +5,71 @@ Terms are lower-cased words without English stop words, not stemmed. The rank is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import CHILD
-from paperloom.functions.scale import BROADCAST_ROWS, is_small, replicate, salt_of
-from paperloom.functions.text import terms
+from paperloom.functions.scale import BROADCAST_ROWS, broadcast_if_small, is_small, replicate, salt_of
+from paperloom.functions.text import let, terms
 from paperloom.operators.vector_search import rank_hits
+from paperloom.session import stored
 
 K1, B = 1.2, 0.75
 SALTS = 32
+# (term, chunk) pairs that may be broadcast: about 60 bytes each
+LOOKUP_ROWS = 500_000
+
+
+def _runs(ordered: Column) -> Column:
+    """array<struct<term, tf>> of a sorted array: the starts of its runs, and the distance to the next start."""
+    positions = F.sequence(F.lit(0), F.size(ordered) - 1)
+    starts = F.filter(positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    return let(
+        starts,
+        lambda s: F.transform(
+            s,
+            lambda p, n: F.struct(
+                F.get(ordered, p).alias("term"), (F.coalesce(F.get(s, n + 1), F.size(ordered)) - p).alias("tf")
+            ),
+        ),
+    )
 
 
 def build_text_index(chunks: DataFrame) -> DataFrame:
     """Postings of the children: term, chunk_id, tf, chunk_terms.
 
-    The grouping key is (term, chunk), so a frequent term is spread over all partitions.
+    The terms of a chunk are counted within its row, so building the index moves nothing between tasks.
     """
     termed = chunks.where(F.col("level") == CHILD).select("chunk_id", terms(F.col("content")).alias("terms"))
+    counted = let(F.sort_array("terms"), _runs)
     return (
-        termed.select("chunk_id", F.size("terms").alias("chunk_terms"), F.explode("terms").alias("term"))
-        .groupBy("term", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("chunk_terms").alias("chunk_terms"))
+        termed.where(F.size("terms") > 0)
+        .select("chunk_id", F.size("terms").alias("chunk_terms"), F.inline(counted))
+        .select("term", "chunk_id", "tf", "chunk_terms")
     )
 
 
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_text_index(index: DataFrame, path: str, buckets: int = 1024) -> None:
+    """Lay the index out by term bucket, so that a search reads the buckets of its terms only.
+
+    The bucket of a frequent term is spread over ``SALTS`` tasks and files.
+    """
+    bucketed = index.withColumn("bucket", _bucket(F.col("term"), buckets))
+    spread_out = bucketed.repartition(F.col("bucket"), salt_of(F.col("chunk_id"), salts=SALTS))
+    spread_out.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def read_text_index(spark: SparkSession, path: str, wanted: DataFrame, buckets: int = 1024) -> DataFrame:
+    """The buckets that hold the wanted terms. At most ``buckets`` numbers come to the driver."""
+    numbers = wanted.select(_bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()
+    stored_index = spark.read.parquet(path)
+    return stored_index.where(F.col("bucket").isin([r["bucket"] for r in numbers])).drop("bucket")
+
+
 def text_statistics(chunks: DataFrame) -> DataFrame:
     """One row: number of children and their mean number of terms."""
     lengths = chunks.where(F.col("level") == CHILD).select(F.size(terms(F.col("content"))).alias("n"))
@@ -41,6 +81,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
 
 
+def term_frequency(index: DataFrame) -> DataFrame:
+    """term, df: in how many chunks a term occurs. Best kept as a table next to the index."""
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def _join_postings(index: DataFrame, side: DataFrame, max_rows: int) -> DataFrame:
     """Equi-join on term: broadcast behind a count, otherwise salted by chunk because terms are skewed."""
     if is_small(side, max_rows):
@@ -49,31 +94,36 @@ def _join_postings(index: DataFrame, side: DataFrame, max_rows: int) -> DataFram
     return salted.join(replicate(side, SALTS), ["term", "salt"]).drop("salt")
 
 
-def text_match(index: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def text_match(
+    index: DataFrame, wanted: DataFrame, frequency: DataFrame | None = None, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Postings of the chunks that hold every term of a query: query_id, chunk_id, term, tf, chunk_terms, df.
 
-    Each query starts from the postings of its rarest term; the other terms are then looked up by (term, chunk). The
-    postings of frequent terms are thus only touched for chunks that can still match.
+    Each query starts from the postings of its rarest term, and only these candidates look up their other terms by
+    (term, chunk). The long postings of frequent terms are read, but neither shuffled nor paired with queries, as long
+    as the look-ups can be broadcast; beyond that they are shuffled by (term, chunk), which spreads every term.
     """
-    vocabulary = wanted.select("term").distinct()
-    frequency = (
-        _join_postings(index.select("term", "chunk_id"), vocabulary, max_rows)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    weighed = wanted.join(frequency, "term", "left")
+    if frequency is None:
+        frequency = term_frequency(_join_postings(index, wanted.select("term").distinct(), max_rows))
+    weighed = stored(wanted.join(frequency, "term", "left"), "terms")
     rarest = (
         weighed.groupBy("query_id")
         .agg(
-            F.min_by("term", F.struct("df", "term")).alias("term"),
+            F.min(F.struct("df", "term")).alias("rare"),
             F.count(F.lit(1)).alias("n_terms"),
             F.count("df").alias("n_known"),
         )
         .where(F.col("n_terms") == F.col("n_known"))
-        .select("query_id", "term", "n_terms")
+        .select("query_id", F.col("rare.term").alias("term"), "n_terms")
     )
-    candidates = _join_postings(index.select("term", "chunk_id"), rarest, max_rows).drop("term")
-    looked_up = candidates.join(weighed, "query_id").join(index, ["term", "chunk_id"])
+    candidates = stored(_join_postings(index.select("term", "chunk_id"), rarest, max_rows).drop("term"), "candidates")
+    known = weighed.where(F.col("df").isNotNull())
+    lookups = candidates.join(broadcast_if_small(known, max_rows), "query_id")
+    if is_small(lookups, LOOKUP_ROWS):
+        looked_up = index.join(F.broadcast(lookups), ["term", "chunk_id"])
+    else:
+        needed = _join_postings(index, wanted.select("term").distinct(), max_rows)
+        looked_up = needed.join(lookups, ["term", "chunk_id"])
     complete = looked_up.groupBy("query_id", "chunk_id", "n_terms").agg(
         F.collect_list(F.struct("term", "tf", "chunk_terms", "df")).alias("postings")
     )
@@ -82,8 +132,8 @@ def text_match(index: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_RO
 
 def text_rank(matches: DataFrame, statistics: DataFrame) -> DataFrame:
     """query_id, chunk_id, score in 0..1."""
-    n_chunks = statistics.select("n_chunks").scalar()
-    mean_terms = statistics.select("mean_terms").scalar()
+    facts = statistics.select(F.struct("n_chunks", "mean_terms").alias("facts")).scalar()
+    n_chunks, mean_terms = facts["n_chunks"], facts["mean_terms"]
     idf = F.log(F.lit(1.0) + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.lit(1.0 - B) + F.lit(B) * F.col("chunk_terms") / mean_terms
     weight = idf * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + F.lit(K1) * length)
@@ -92,8 +142,13 @@ def text_rank(matches: DataFrame, statistics: DataFrame) -> DataFrame:
 
 
 def text_topk(
-    queries: DataFrame, index: DataFrame, statistics: DataFrame, k: int, max_rows: int = BROADCAST_ROWS
+    queries: DataFrame,
+    index: DataFrame,
+    statistics: DataFrame,
+    k: int,
+    frequency: DataFrame | None = None,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """query_id, chunk_id, score (at most 1), rank."""
-    scored = text_rank(text_match(index, query_terms(queries), max_rows), statistics)
+    scored = text_rank(text_match(index, query_terms(queries), frequency, max_rows), statistics)
     return rank_hits(scored.withColumn("score", F.least("score", F.lit(1.0))), k)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.constants import APPROVED, BLOCKING, REJECTED
-from paperloom.functions.scale import broadcast_if_small
+from paperloom.functions.scale import broadcast_if_small, computed_once
 from paperloom.functions.text import let, strip
 
 INPUT_COLUMNS = [
@@ -162,7 +162,7 @@ def judged(documents: DataFrame, rules: DataFrame) -> DataFrame:
         )
 
     verdicts = let(validation_inputs(), lambda fields: F.transform("rules", lambda rule: entry(fields, rule)))
-    return with_rules(documents, rules).withColumn("verdicts", verdicts).drop("rules")
+    return computed_once(with_rules(documents, rules), "verdicts", verdicts).drop("rules")
 
 
 def validate_documents(documents: DataFrame, rules: DataFrame) -> DataFrame:

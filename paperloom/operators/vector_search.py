@@ -46,7 +46,10 @@ class _Best:
         for start in range(0, len(ids), step):
             part_ids = ids[start : start + step]
             scores = np.round(chunks[start : start + step] @ queries[which].T, _ROUND)
-            hopeful = scores >= self.floor[which]
+            floor = self.floor[which]
+            if len(scores) > self.k:
+                floor = np.fmax(floor, np.partition(scores, -self.k, axis=0)[-self.k])
+            hopeful = scores >= floor
             for column in np.flatnonzero(hopeful.any(axis=0)):
                 rows = np.flatnonzero(hopeful[:, column])
                 q = which[column]

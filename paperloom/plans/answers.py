@@ -58,7 +58,8 @@ FROM ask_expanded h JOIN chunks c ON c.chunk_id = h.chunk_id JOIN corpus_documen
 def assemble_context(src: Source):
     corpus = Corpus(src)
     hits = H.hybrid_search(
-        corpus.queries, corpus.vectors, corpus.documents, corpus.index, corpus.statistics, DIM, ASK_LIMIT
+        corpus.queries, corpus.vectors, corpus.documents, corpus.index, corpus.statistics, DIM, ASK_LIMIT,
+        frequency=corpus.frequency,
     )
     expanded = stored(H.expand_parents(stored(hits, "hits"), corpus.chunks), "expanded")
     context = I.context_chunks(expanded, corpus.chunks, corpus.documents)

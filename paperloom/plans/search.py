@@ -17,7 +17,7 @@ from paperloom.operators import text_search as T
 from paperloom.operators import vector_search as V
 from paperloom.plans.chunking import corpus_chunks
 from paperloom.plans.registry import query, shared_sql
-from paperloom.session import stored
+from paperloom.session import new_folder, stored
 from paperloom.sources.views import Source
 
 DIM = 64
@@ -118,14 +118,16 @@ class Corpus:
         self.chunks = stored(corpus_chunks(src), "chunks")
         lower = self.chunks.where(F.col("level") == "child")
         self.index = stored(T.build_text_index(self.chunks), "index")
-        self.statistics = T.text_statistics(self.chunks)
-        vectors = G.embed_distinct(lower, encoder).drop("file_hash")
-        self.vectors = stored(lower.select("chunk_id", "document_id", "level").join(vectors, "chunk_id"), "vectors")
+        self.frequency = stored(T.term_frequency(self.index), "frequency")
+        self.statistics = stored(T.text_statistics(self.chunks), "statistics")
+        vectors = G.embed_distinct(lower, encoder, keep=("document_id", "level"))
+        self.vectors = stored(vectors.drop("file_hash"), "vectors")
         self.queries = embedded_queries(src)
 
     def hits(self):
         return H.hybrid_search(
-            self.queries, self.vectors, self.documents, self.index, self.statistics, DIM, LIMIT
+            self.queries, self.vectors, self.documents, self.index, self.statistics, DIM, LIMIT,
+            frequency=self.frequency,
         )
 
 
@@ -256,7 +258,7 @@ def vector_topk_ivf_recall(src: Source):
     return V.recall(_list_search(src), exact)
 
 
-@query("build_text_index", "SELECT term, chunk_id, tf, CAST(chunk_terms AS INT) AS chunk_terms FROM text_index")
+@query("build_text_index", "SELECT term, chunk_id, CAST(tf AS INT) AS tf, CAST(chunk_terms AS INT) AS chunk_terms FROM text_index")
 def build_text_index(src: Source):
     return T.build_text_index(corpus_chunks(src))
 
@@ -280,8 +282,12 @@ def text_rank(src: Source):
 
 @query("text_topk", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM text_hits")
 def text_topk(src: Source):
-    index, statistics, _ = text_tables(src)
-    return T.text_topk(src.text_queries, index, statistics, 2 * LIMIT).select(
+    # with the index laid out by term bucket, of which a search reads those of its terms
+    chunks = stored(children(src), "children")
+    path = new_folder(src.spark, "index")
+    T.write_text_index(T.build_text_index(chunks), path, buckets=16)
+    index = T.read_text_index(src.spark, path, T.query_terms(src.text_queries), buckets=16)
+    return T.text_topk(src.text_queries, index, T.text_statistics(chunks), 2 * LIMIT).select(
         "query_id", "chunk_id", _nine(), "rank"
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions.fields import SCALAR_FIELDS
+from paperloom.functions.scale import spread
 from paperloom.operators import submission as S
 from paperloom.operators import validation as J
 from paperloom.plans.admission import NOW, now, time_text
@@ -48,8 +48,12 @@ FROM verdicts v JOIN judgements j ON j.document_id = v.document_id AND NOT j.pas
 )
 
 
+def documents_to_judge(src: Source):
+    return spread(src.ref_documents, "id")
+
+
 def validated(src: Source):
-    return J.validate_documents(src.ref_documents, src.validation_rules)
+    return J.validate_documents(documents_to_judge(src), src.validation_rules)
 
 
 @query("active_rules", "SELECT document_id, rule_id, rule_name FROM rule_pairs")
@@ -69,7 +73,7 @@ def validation_inputs(src: Source):
 def _verdict_query(kind: str, sql_condition: str):
     @query(kind, f"SELECT document_id, rule_name, passed, message FROM verdicts WHERE {sql_condition}")
     def build(src: Source):
-        verdicts = J.judged(src.ref_documents, src.validation_rules).select(
+        verdicts = J.judged(documents_to_judge(src), src.validation_rules).select(
             F.col("id").alias("document_id"), F.inline("verdicts")
         )
         rules = src.validation_rules.where(sql_condition.replace("rule_pairs.", "")).select("name")
@@ -151,7 +155,7 @@ def apply_decision(src: Source):
     "SELECT rule_id, rule_name, rule_type, count(*) AS evaluated, count(*) FILTER (NOT passed) AS failed FROM verdicts GROUP BY ALL",
 )
 def rule_failure_report(src: Source):
-    return J.rule_failure_report(src.ref_documents, src.validation_rules)
+    return J.rule_failure_report(documents_to_judge(src), src.validation_rules)
 
 
 @query(
