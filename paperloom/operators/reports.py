@@ -151,7 +151,7 @@ def action_stats(actions: DataFrame, hours: int, as_of: Column) -> DataFrame:
     )
     dimension = F.when(F.col("level") == 3, "total").when(F.col("level") == 1, "action_type").otherwise("decision")
     total = F.col("level") == 3
-    return grouped.select(
+    rows = grouped.select(
         dimension.alias("dimension"),
         F.when(total, F.lit("all")).otherwise(F.coalesce("action_type", "decision")).alias("key"),
         "actions",
@@ -159,6 +159,14 @@ def action_stats(actions: DataFrame, hours: int, as_of: Column) -> DataFrame:
         F.when(total, _percent(F.col("successful"), F.col("actions"))).alias("success_rate"),
         F.when(total, F.round("confidence", 3)).alias("average_confidence"),
     )
+    # grouping sets give no totals row for an empty period: a zero row stands in and gives way to a real one
+    zero = actions.sparkSession.range(1).select(
+        F.lit("total").alias("dimension"), F.lit("all").alias("key"), F.lit(0).cast("long").alias("actions"),
+        F.lit(0).cast("long").alias("successful"), F.lit(0.0).alias("success_rate"),
+        F.lit(None).cast("double").alias("average_confidence"),
+    )
+    figures = ["actions", "successful", "success_rate", "average_confidence"]
+    return rows.unionByName(zero).groupBy("dimension", "key").agg(*[F.max(c).alias(c) for c in figures])
 
 
 def document_lines(documents: DataFrame) -> DataFrame:

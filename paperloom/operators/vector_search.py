@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.constants import CHILD, VECTOR_LISTS
-from paperloom.functions.scale import broadcast_if_small, salt_of
+from paperloom.functions.scale import broadcast_if_small
 
 # Queries that may be sent to every task: 4096 vectors of 384 doubles are 12 MB.
 MAX_SENT_QUERIES = 4096
@@ -66,6 +65,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _hits_table(best: _Best, query_ids: list, query_type: pa.DataType, chunk_type: pa.DataType) -> pa.Table:
+    found = best.rows()
+    return pa.table(
+        {
+            "query_id": pa.array([query_ids[q] for q, _, _ in found], query_type),
+            "chunk_id": pa.array([c for _, c, _ in found], chunk_type),
+            "score": pa.array([float(s) for _, _, s in found], pa.float64()),
+        }
+    )
+
+
 def usable_chunks(chunks: DataFrame, dim: int) -> DataFrame:
     """Children that have a vector of the right length."""
     return chunks.where((F.col("level") == CHILD) & (F.size("embedding") == dim))
@@ -103,11 +113,14 @@ def _score_sent(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of_queries, q_matrix, probed = sent.value
+        query_arrow = pa.int64() if isinstance(ids_of_queries[0], int) else pa.string()
+        chunk_arrow = None
         best = _Best(len(ids_of_queries), k)
         everyone = np.arange(len(ids_of_queries))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            chunk_arrow = batch.schema.field(0).type
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             vectors = _unit(_matrix(batch.column(1)))
             if probed is None:
@@ -119,16 +132,8 @@ def _score_sent(
                     if len(which):
                         rows = lists == number
                         best.add(ids[rows], vectors[rows], q_matrix, which)
-        found = best.rows()
-        frame = pd.DataFrame(
-            {
-                "query_id": [ids_of_queries[q] for q, _, _ in found],
-                "chunk_id": [c for _, c, _ in found],
-                "score": [float(s) for _, _, s in found],
-            }
-        )
-        if len(frame):
-            yield from pa.Table.from_pandas(frame, preserve_index=False).to_batches()
+        if chunk_arrow is not None:
+            yield from _hits_table(best, ids_of_queries, query_arrow, chunk_arrow).to_batches()
 
     columns = ["chunk_id", "embedding"] + ([] if lists_of is None else ["list_id"])
     return chunks.select(*columns).mapInArrow(score, schema)
@@ -144,6 +149,9 @@ def _score_blocks(queries: DataFrame, chunks: DataFrame, k: int, block_queries:
     n_chunks = {r["list_id"]: r["count"] for r in chunks.groupBy("list_id").count().collect()}
     n_queries = {r["list_id"]: r["count"] for r in queries.groupBy("list_id").count().collect()}
     shared = sorted(set(n_chunks) & set(n_queries))
+    if not shared:
+        none = queries.where(F.lit(False)).select("query_id", "list_id")
+        return none.join(chunks, "list_id").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     c_blocks = F.create_map(*[F.lit(x) for n in shared for x in (n, ceil(n_chunks[n] / block_chunks))])
     q_blocks = F.create_map(*[F.lit(x) for n in shared for x in (n, ceil(n_queries[n] / block_queries))])
 
@@ -158,22 +166,19 @@ def _score_blocks(queries: DataFrame, chunks: DataFrame, k: int, block_queries:
     types = dict(queries.dtypes) | dict(chunks.dtypes)
     schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double"
 
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        best = _Best(len(q), k)
-        q_matrix = _unit(np.stack(q["embedding"].to_numpy()).astype(np.float64))
-        c_matrix = _unit(np.stack(c["embedding"].to_numpy()).astype(np.float64))
-        best.add(c["chunk_id"].to_numpy(), c_matrix, q_matrix, np.arange(len(q)))
-        ids = q["query_id"].to_numpy()
-        found = best.rows()
-        return pd.DataFrame(
-            {"query_id": [ids[i] for i, _, _ in found], "chunk_id": [x for _, x, _ in found],
-             "score": [float(s) for _, _, s in found]}
-        )
+    def score(q: pa.Table, c: pa.Table) -> pa.Table:
+        best = _Best(q.num_rows, k)
+        if q.num_rows and c.num_rows:
+            best.add(
+                c.column("chunk_id").to_numpy(),
+                _unit(_matrix(c.column("embedding").combine_chunks())),
+                _unit(_matrix(q.column("embedding").combine_chunks())),
+                np.arange(q.num_rows),
+            )
+        return _hits_table(best, q.column("query_id").to_pylist(), q.schema.field("query_id").type, c.schema.field("chunk_id").type)
 
     keys = ["list_id", "qb", "cb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
 def _taken(queries: DataFrame, limit: int) -> list | None:
@@ -273,18 +278,18 @@ def assign_probes(queries: DataFrame, centres: np.ndarray, probes: int) -> DataF
     """One row per query and list to look into."""
     sent = queries.sparkSession.sparkContext.broadcast(centres)
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            matrix = _unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64))
-            yield frame.assign(lists=list(nearest_lists(matrix, sent.value, probes).astype(np.int32)))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = nearest_lists(_unit(_matrix(batch.column(1))), sent.value, probes).astype(np.int32)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(near.reshape(-1))],
+                ["query_id", "embedding", "list_id"],
+            )
 
-    kinds = ", ".join(f"{name} {kind}" for name, kind in queries.dtypes)
-    return (
-        queries.mapInPandas(spread, f"{kinds}, lists array<int>")
-        .withColumn("list_id", F.explode("lists"))
-        .drop("lists")
+    kinds = dict(queries.dtypes)
+    return queries.select("query_id", "embedding").mapInArrow(
+        spread, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, list_id int"
     )
 
 
