@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.constants import CHILD, VECTOR_LISTS
-from paperloom.functions.scale import broadcast_if_small
+from paperloom.functions.scale import broadcast_if_small, salt_of
 
 # Queries that may be sent to every task: 4096 vectors of 384 doubles are 12 MB.
 MAX_SENT_QUERIES = 4096
@@ -83,17 +83,26 @@ def usable_chunks(chunks: DataFrame, dim: int) -> DataFrame:
 
 def metadata_filters(
     chunks: DataFrame,
-    documents: DataFrame,
+    documents: DataFrame | None,
     discipline: str | None = None,
     document_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Chunks whose document exists and passes the filters; without a filter every document does."""
-    allowed = documents.where(F.col("discipline") == discipline) if discipline else documents
-    allowed = allowed.select(F.col("id").alias("document_id"))
+    """Chunks whose document exists and passes the filters; without a filter every document does.
+
+    A chunk table that carries ``discipline`` itself is filtered in its scan. With it, or without ``documents`` (chunks
+    known to be free of orphans), vectors are not shuffled to meet their documents.
+    """
+    allowed = None
+    if "discipline" in chunks.columns or documents is None:
+        if discipline:
+            chunks = chunks.where(F.col("discipline") == discipline)
+    else:
+        kept = documents.where(F.col("discipline") == discipline) if discipline else documents
+        allowed = kept.select(F.col("id").alias("document_id"))
     if document_ids is not None:
-        wanted = document_ids.select(F.col("id").alias("document_id")).distinct()
-        allowed = allowed.join(broadcast_if_small(wanted), "document_id", "left_semi")
-    return chunks.join(allowed, "document_id", "left_semi")
+        wanted = broadcast_if_small(document_ids.select(F.col("id").alias("document_id")).distinct())
+        allowed = wanted if allowed is None else allowed.join(wanted, "document_id", "left_semi")
+    return chunks if allowed is None else chunks.join(allowed, "document_id", "left_semi")
 
 
 def rank_hits(scored: DataFrame, k: int) -> DataFrame:
@@ -190,7 +199,7 @@ def _taken(queries: DataFrame, limit: int) -> list | None:
 def vector_topk(
     queries: DataFrame,
     chunks: DataFrame,
-    documents: DataFrame,
+    documents: DataFrame | None,
     k: int,
     dim: int,
     discipline: str | None = None,
@@ -240,6 +249,12 @@ def assign_lists(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     return chunks.mapInArrow(nearest, f"{columns}, list_id int")
 
 
+def write_lists(listed: DataFrame, path: str, salts: int = 16) -> None:
+    """Lay the chunks out by list, so that a search reads the probed lists only. A hot list is written by many tasks."""
+    spread_out = listed.repartition(F.col("list_id"), salt_of(F.col("chunk_id"), salts=salts))
+    spread_out.write.partitionBy("list_id").parquet(path)
+
+
 def nearest_lists(matrix: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
 
@@ -247,7 +262,7 @@ def nearest_lists(matrix: np.ndarray, centres: np.ndarray, probes: int) -> np.nd
 def vector_topk_lists(
     queries: DataFrame,
     listed: DataFrame,
-    documents: DataFrame,
+    documents: DataFrame | None,
     centres: np.ndarray,
     k: int,
     dim: int,

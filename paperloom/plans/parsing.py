@@ -9,6 +9,7 @@ from paperloom.functions.scale import spread
 from paperloom.operators import enrichment as E
 from paperloom.operators import parsing as P
 from paperloom.plans.registry import query, shared_sql
+from paperloom.session import stored
 from paperloom.sources.views import Source
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -251,7 +252,8 @@ UNION ALL SELECT 'equipment_ratings', document_id, pos + 1, tag, rating FROM equ
 UNION ALL SELECT 'drawing_index', document_id, pos + 1, sheet_no, sheet_title FROM index_rows""",
 )
 def explode_children(src: Source):
-    children = P.explode_children(P.parse_documents(drawings(src)))
+    # parsed once and kept: five tables are made of it
+    children = P.explode_children(stored(P.parse_documents(drawings(src)), "parsed"))
     columns = {
         "revision_history": ("rev", "description"), "comments_response": ("client_comment", "contractor_response"),
         "legend_symbols": ("symbol", "description"), "equipment_ratings": ("tag", "rating"),

@@ -241,7 +241,9 @@ def metadata_filters(src: Source):
 def _list_search(src: Source):
     chunks = src.search_chunks.select("chunk_id", "document_id", "level", "embedding")
     centres = V.train_lists(V.usable_chunks(chunks, DIM), lists=100)
-    listed = V.assign_lists(chunks, centres)
+    path = new_folder(src.spark, "lists")
+    V.write_lists(V.assign_lists(chunks, centres), path)
+    listed = src.spark.read.parquet(path)
     return V.vector_topk_lists(
         src.vector_queries, listed, src.ref_documents, centres, 2 * LIMIT, DIM, probes=20
     )

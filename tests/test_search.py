@@ -12,6 +12,7 @@ from paperloom.operators import embedding as G
 from paperloom.operators import hybrid_search as H
 from paperloom.operators import text_search as T
 from paperloom.operators import vector_search as V
+from paperloom.session import new_folder
 
 DIM = 8
 
@@ -65,11 +66,23 @@ def test_filters_apply_before_the_cut(spark, vectors):
     assert V.vector_topk(queries.where("query_id < 0"), chunks, documents, 7, DIM).count() == 0
 
 
+def test_chunks_with_discipline_need_no_documents(spark, vectors):
+    queries, chunks, documents = vectors
+    own = chunks.withColumn("discipline", F.when(F.col("document_id") < 5, "ELC").otherwise("MEC"))
+    want = ids(V.vector_topk(queries, chunks, documents, 7, DIM, "ELC"))
+    assert ids(V.vector_topk(queries, own, None, 7, DIM, "ELC")) == want
+    some = spark.createDataFrame([(i,) for i in (3, 4)], "id long")
+    want = ids(V.vector_topk(queries, chunks, documents, 7, DIM, "ELC", some))
+    assert ids(V.vector_topk(queries, own, None, 7, DIM, "ELC", some)) == want
+
+
 def test_lists(spark, vectors):
     queries, chunks, documents = vectors
     usable = V.usable_chunks(chunks, DIM).where("chunk_id != 'zero'")
     centres = V.train_lists(usable, lists=6)
-    listed = V.assign_lists(usable, centres)
+    path = new_folder(spark, "lists")
+    V.write_lists(V.assign_lists(usable, centres), path)
+    listed = spark.read.parquet(path)
     want = brute(queries, chunks, documents, 7, set(range(9)))
     everything = V.vector_topk_lists(queries, listed, documents, centres, 7, DIM, probes=len(centres))
     assert ids(everything) == want
