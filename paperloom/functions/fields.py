@@ -19,11 +19,12 @@ REVISION_STRICT = r"\bRev(?:ision)?\b\.?\s*([A-Z0-9]+)\b"
 CONTRACT = r"(?:Contract|CTR|Agreement)[\s#:]+([A-Z0-9\-]+)"
 CONTRACT_STRICT = r"\b(?:Contract|CTR|Agreement)\b[\s#:]+(?:No\.?[\s#:]+)?([A-Z0-9\-]+)"
 PAGE_COUNT = r"(?:Page|Sheet)\s+(?:of|/)\s*(\d+)"
-PAGE_COUNT_OF = r"(\d+)\s*(?:of|/)\s*(\d+)\s*(?:pages|sheets)"
+# A number is only tried from its first digit, here and below: a long run of digits would cost quadratic time otherwise.
+PAGE_COUNT_OF = r"(?<!\d)(\d++)\s*(?:of|/)\s*(\d+)\s*(?:pages|sheets)"
 REVISION_HEADING = r"(?:Revision History|Rev(?:ision)? History|REVISION RECORD)"
 REVISION_LINE = r"^\s*([A-Z0-9]+)\s+\d{2}/\d{2}/\d{2,4}"
 COMMENT_HEADING = r"(?:Comments|COMMENTS|Comment/Response)"
-COMMENT_ITEM = r"(\d+)[\.\)]\s*(.*?)(?:\n|$)\s*(?:Response[:\s]+)?(.*?)(?=\n\d+[\.\)]|\z)"
+COMMENT_ITEM = r"(?<!\d)(\d++)[\.\)]\s*(.*?)(?:\n|$)\s*(?:Response[:\s]+)?(.*?)(?=\n\d+[\.\)]|\z)"
 LEGEND_HEADING = r"(?:Legend|LEGEND|Symbol.*?Description)"
 LEGEND_LINE = r"^([A-Za-z0-9_\-]+)\s*[-–]\s*(.+)$"
 EQUIPMENT = (
@@ -34,7 +35,7 @@ EQUIPMENT = (
     r"(\d+(?:\.\d+)?\s*(?:kW|MW|kVA|MVA))?"
 )
 INDEX_HEADING = r"(?:Drawing Index|DRAWING INDEX|Sheet Index|SHEET INDEX)"
-INDEX_LINE = r"(\d+(?:\.\d+)?)\s*[-–]\s*(.+?)(?:\n|$)"
+INDEX_LINE = r"(?<!\d)(\d+(?:\.\d+)?)\s*[-–]\s*(.+?)(?:\n|$)"
 SIGNATURE_HEADING = r"(?:Signature|SIGNATURE|Approved by|PREPARED|CHECKED|APPROVED)"
 SIGNATURE_ROLES = {"prepared_by": "Prepared By", "checked_by": "Checked By", "approved_by": "Approved By"}
 PAGE_MARKER = r"\[Page\s+(\d+)\]"
@@ -137,6 +138,14 @@ def extract_comments(text: Column) -> Column:
     return let(_section(text, COMMENT_HEADING), items)
 
 
+def _legend_section(text: Column) -> Column:
+    """The wide heading is only tried where it can match: each "Symbol" of a text without "Description" would scan it all."""
+    lower = F.lower(text)
+    after = F.instr(lower, "symbol") + F.length(F.lit("symbol"))
+    both = F.contains(lower, F.lit("symbol")) & (F.position(F.lit("description"), lower, after) > 0)
+    return F.when(both, _section(text, LEGEND_HEADING)).otherwise(_section(text, "Legend"))
+
+
 def extract_legend_symbols(text: Column) -> Column:
     def items(section: Column) -> Column:
         zipped = F.arrays_zip(
@@ -148,7 +157,7 @@ def extract_legend_symbols(text: Column) -> Column:
         )
         return F.filter(rows, lambda r: (F.length(r["symbol"]) > 1) & (r["description"] != ""))
 
-    return let(_section(text, LEGEND_HEADING), items)
+    return let(_legend_section(text), items)
 
 
 def extract_equipment_ratings(text: Column) -> Column:

@@ -73,6 +73,10 @@ def test_sections(spark):
     ]
     symbols = value(spark, X.extract_legend_symbols, "Legend\nMCB - Breaker\nM - no\nAB – dash\n")
     assert [(s.symbol, s.description) for s in symbols] == [("MCB", "Breaker"), ("AB", "dash")]
+    wide = value(spark, X.extract_legend_symbols, "SYMBOL and its Description\nAB - x\n\nLegend\nCD - y")
+    assert [(s.symbol, s.description) for s in wide] == [("AB", "x")]
+    late = value(spark, X.extract_legend_symbols, "Description of a symbol\nLegend\nCD - y")
+    assert [(s.symbol, s.description) for s in late] == [("CD", "y")]
     index = value(spark, X.extract_drawing_index, "Sheet Index\n1 - Cover\n2.1 – Plan")
     assert [(i.sheet_no, i.sheet_title) for i in index] == [("1", "Cover"), ("2.1", "Plan")]
     rating = value(spark, X.extract_equipment_ratings, "x EQP-001: 2 kW set, 230 V, 1-phase, 50 Hz, 2 kW\nABC-123: plain\n")
@@ -102,3 +106,9 @@ def test_text_helpers(spark):
         ".pdf", "", "", "", ".gz",
     ]
     assert value(spark, T.terms, "The Pumps, pump-2 und Öl") == ["pumps", "pump", "2", "und", "öl"]
+
+
+@pytest.mark.parametrize("text", ["7" * 100_000, "Symbol " * 30_000, "Legend\n" + "A" * 100_000, "AB-" * 50_000, " " * 300_000])
+def test_long_runs_stay_linear(spark, text):
+    parsed = parse_documents(spark.createDataFrame([(1, text)], "document_id long, text string"))
+    assert parsed.collect()[0].text_length == len(text)
