@@ -1,11 +1,12 @@
 """Mixture-controlled packing of all documents into sequences of a fixed number of tokens.
 
-Sources are queues of tokens. Deficit round-robin gives each queue in turn its share of every window: after k windows, queue
-j of the round has sent the difference of two floors of k * window * cumulated weight / total weight, so each window is full,
-each queue is within one token of its target after every window, and the fraction it is owed (its deficit) is carried to
-the next window. A round holds until a queue runs dry; then the last tokens of such queues are sent and the rest share the
-window anew. The rounds depend on one total per queue only and are planned on the driver for at most ``MAX_QUEUES`` queues;
-further sources share queues by hash.
+Sources are queues of tokens. Deficit round-robin credits each queue with its share of every window and sends the whole
+tokens of the credit; what is owed (the deficit, under one token) is carried to the next window, and the queue with the
+largest share, last in turn, fills up the window. After k windows a queue has thus sent floor(k * window * weight / total),
+so every window is full, and every queue but the largest stays within a token of its target. A round holds until a queue runs dry; then the last tokens
+of such queues are sent and the rest share the window anew. The rounds depend on one total per queue only and are planned on
+the driver. There are at most ``sqrt(window)`` queues, which keeps the largest share above the number of deficits it makes
+good; further sources share queues by hash.
 
 Positions are exact without passing documents through one place: each task counts its queues from zero while it writes
 token ids, and the totals per (task, queue) give where the task's queues begin, so deficits carry across partitions as well.
@@ -17,6 +18,7 @@ gives no pieces. Only the last sequence can be short.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,6 @@ from paperloom.llm.tokens import END_ID, WordTokenizer, definition_of
 from paperloom.session import new_folder, stored
 
 WINDOW = 2048
-MAX_QUEUES = 1024
 WEIGHT_UNIT = 1 << 24
 
 
@@ -40,19 +41,25 @@ WEIGHT_UNIT = 1 << 24
 class Round:
     """Windows of one division: from ``first`` on, ``windows`` of them, queue j having sent ``sent[j]`` tokens before.
 
-    ``cumulated[j]`` is the weight of the queues up to and with j. In a round of one window, ``share`` gives the tokens.
+    Queues have ``weights``; in a round of one window, ``share`` gives the tokens of each instead.
     """
 
     first: int
     windows: int
     sent: tuple[int, ...]
-    cumulated: tuple[int, ...]
+    weights: tuple[int, ...]
     share: tuple[int, ...] | None = None
 
 
-def _sent_after(k: int, cumulated: list[int], window: int) -> list[int]:
-    bounds = [k * window * c // cumulated[-1] for c in cumulated]
-    return [b - a for a, b in zip([0, *bounds], bounds, strict=False)]
+def _largest(weights: tuple[int, ...] | list[int]) -> int:
+    return max(range(len(weights)), key=lambda j: weights[j])
+
+
+def _sent_after(k: int, weights: list[int], window: int) -> list[int]:
+    whole = sum(weights)
+    sent, last = [k * window * w // whole for w in weights], _largest(weights)
+    sent[last] += k * window - sum(sent)
+    return sent
 
 
 def plan_rounds(totals: list[int], weights: list[int], window: int = WINDOW) -> list[Round]:
@@ -62,16 +69,15 @@ def plan_rounds(totals: list[int], weights: list[int], window: int = WINDOW) ->
         live = [w if n else 0 for n, w in zip(left, weights, strict=True)]
         if not any(live):
             live = [1 if n else 0 for n in left]
-        cumulated = np.cumsum(live).tolist()
         sent = tuple(t - n for t, n in zip(totals, left, strict=True))
         low, high = 0, sum(left) // window
         while low < high:
             middle = (low + high + 1) // 2
-            fits = all(s <= n for s, n in zip(_sent_after(middle, cumulated, window), left, strict=True))
+            fits = all(s <= n for s, n in zip(_sent_after(middle, live, window), left, strict=True))
             low, high = (middle, high) if fits else (low, middle - 1)
         if low:
-            rounds.append(Round(first, low, sent, tuple(cumulated)))
-            left = [n - s for n, s in zip(left, _sent_after(low, cumulated, window), strict=True)]
+            rounds.append(Round(first, low, sent, tuple(live)))
+            left = [n - s for n, s in zip(left, _sent_after(low, live, window), strict=True)]
             first += low
             continue
         share, room = [0] * len(left), min(window, sum(left))
@@ -79,12 +85,11 @@ def plan_rounds(totals: list[int], weights: list[int], window: int = WINDOW) ->
             open_ = [w if n > s else 0 for n, s, w in zip(left, share, live, strict=True)]
             if not any(open_):
                 open_ = [1 if n > s else 0 for n, s in zip(left, share, strict=True)]
-            part = _sent_after(1, np.cumsum(open_).tolist(), room)
-            for j, p in enumerate(part):
-                taken = min(p, left[j] - share[j])
+            for j, part in enumerate(_sent_after(1, open_, room)):
+                taken = min(part, left[j] - share[j])
                 share[j] += taken
                 room -= taken
-        rounds.append(Round(first, 1, sent, tuple(cumulated), tuple(share)))
+        rounds.append(Round(first, 1, sent, tuple(live), tuple(share)))
         left = [n - s for n, s in zip(left, share, strict=True)]
         first += 1
     return rounds
@@ -97,41 +102,44 @@ class Schedule:
         self.rounds, self.window = rounds, window
         self.sent = np.array([r.sent for r in rounds], dtype=np.int64).reshape(len(rounds), -1)
 
-    def _bounds(self, r: Round, queue: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the queues before ``queue``, and those up to it, have sent after k windows of the round."""
-        both = []
-        for j in (queue - 1, queue):
-            if r.share is not None:
-                both.append(k * int(sum(r.share[: j + 1])))
-            else:
-                c, all_ = (r.cumulated[j] if j >= 0 else 0), r.cumulated[-1]
-                whole, rest = np.divmod(k * self.window, all_)
-                both.append(whole * c + rest * c // all_)
-        return both[0], both[1]
+    def _sent(self, r: Round, queue: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the queues in turn before ``queue`` have sent after k windows of the round, and what it has sent itself."""
+        if r.share is not None:
+            return k * int(sum(r.share[:queue])), k * r.share[queue]
+        last, whole = _largest(r.weights), sum(r.weights)
+        others = [j for j in range(len(r.weights)) if r.weights[j] and j != last and (j <= queue or queue == last)]
+        # (k * window * weight) // whole without leaving 64 bits
+        times, rest = np.divmod(k * self.window, whole)
+        weight = np.array([r.weights[j] for j in others], dtype=np.int64)[:, None]
+        each = times * weight + rest * weight // whole
+        if queue == last:
+            before = each.sum(axis=0)
+            return before, k * self.window - before
+        own = each[others.index(queue)]
+        return each.sum(axis=0) - own, own
 
     def pieces(self, queue: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lengths of the pieces in order, the windows they go to, and their places there."""
         found, at, stop = [], start, start + length
         i = int(np.searchsorted(self.sent[:, queue], at, side="right")) - 1
         while at < stop:
-            r = self.rounds[i]
+            r, i = self.rounds[i], i + 1
             inside, total = at - r.sent[queue], stop - r.sent[queue]
-            each = r.share[queue] if r.share is not None else None
-            weight = r.cumulated[queue] - (r.cumulated[queue - 1] if queue else 0)
-            if each is None:
-                low = max(0, inside * r.cumulated[-1] // max(1, weight * self.window) - 2)
-                high = min(r.windows, -(-total * r.cumulated[-1] // max(1, weight * self.window)) + 2) if weight else low
-            else:
-                low, high = 0, 1
+            low, high = 0, 1
+            if r.share is None:
+                if not r.weights[queue]:
+                    continue
+                # the largest queue can be ahead of its share by a token of every other
+                slack, pace = len(r.weights) + 1, r.weights[queue] * self.window
+                low = max(0, (inside - slack) * sum(r.weights) // pace - 1)
+                high = min(r.windows, -(-(total + slack) * sum(r.weights) // pace) + 1)
             k = np.arange(low, high + 1, dtype=np.int64)
-            before, upto = self._bounds(r, queue, k)
-            own = upto - before
+            before, own = self._sent(r, queue, k)
             take_from, take_to = np.maximum(own[:-1], inside), np.minimum(own[1:], total)
             some = np.flatnonzero(take_to > take_from)
             place = before[1:] - before[:-1] + take_from - own[:-1]
             found.append((take_to[some] - take_from[some], r.first + k[some], place[some]))
             at += int((take_to[some] - take_from[some]).sum())
-            i += 1
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -166,14 +174,14 @@ def _queues(docs: DataFrame, max_queues: int) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = WINDOW, max_queues: int = MAX_QUEUES
+    docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = WINDOW
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``targets`` gives the proportion of tokens per source, the sources not named having none until the others are dry;
     without it, the proportions are those of the corpus, so that all queues run dry together.
     """
-    spark = docs.sparkSession
+    spark, max_queues = docs.sparkSession, math.isqrt(window)
     queues = stored(_queues(docs, max_queues), "queues")
     # one row per source
     rows = docs.select("doc_id", "text", F.col("source").alias("name")).join(broadcast_if_small(queues), "name", "left")
