@@ -100,7 +100,7 @@ class Schedule:
 
     def __init__(self, rounds: list[Round], window: int = WINDOW):
         self.rounds, self.window = rounds, window
-        self.sent = np.array([r.sent for r in rounds], dtype=np.int64).reshape(len(rounds), -1)
+        self.sent = np.array([r.sent for r in rounds], dtype=np.int64).reshape(len(rounds), len(rounds[0].sent) if rounds else 0)
 
     def _sent(self, r: Round, queue: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the queues in turn before ``queue`` have sent after k windows of the round, and what it has sent itself."""

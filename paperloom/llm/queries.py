@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import chunk_recipes, decontamination, packing, quality_gam, simhash_bytes
+from paperloom.llm import chunk_recipes, decontamination, packing, quality_gam, simhash_bytes, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKING_SQL: dict[str, str] = {}
@@ -64,6 +64,11 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@register("op4_prefix_free_dedup")
+def op4_prefix_free_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, folder, "documents"))
+
+
 @register("op5_quality_gam")
 def op5_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
     return quality_gam.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paperloom.llm import chunk_recipes, decontamination, packing, quality_gam, simhash_bytes, tokens
+from paperloom.llm import chunk_recipes, decontamination, packing, quality_gam, simhash_bytes, suffix_dedup, tokens
 from paperloom.llm.components import components
 from paperloom.llm.queries import tokenizer_path
 
@@ -322,3 +322,46 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert all(r.predicted == 1 for r in quality_gam.quality_scores(odd, labels.limit(0)).collect())
     assert quality_gam.quality_scores(none, labels).count() == 0
     assert quality_gam.without_low_quality(odd, labels.limit(0)).columns == odd.columns
+
+
+def brute_repeats(docs, n):
+    data = [(t or "").encode() for _, t in docs]
+    times = defaultdict(int)
+    for x in data:
+        for i in range(len(x) - n + 1):
+            times[x[i : i + n]] += 1
+    out = []
+    for (d, _), x in zip(docs, data, strict=True):
+        gone = bytearray(len(x))
+        for i in range(len(x) - n + 1):
+            if times[x[i : i + n]] > 1:
+                gone[i : i + n] = b"\x01" * n
+        kept = bytes(b for b, g in zip(x, gone, strict=True) if not g)
+        runs = sum(g and not before for g, before in zip(gone, b"\x00" + bytes(gone), strict=False))
+        out.append((d or 0, len(x), len(x) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [12, 200])
+def test_repeated_passages(spark, n):
+    draw = random.Random(n)
+    text = lambda k, letters="abcdefgh é": "".join(draw.choice(letters) for _ in range(k))
+    shared = [text(3 * n), text(n), text(n - 1 - n // 12), text(n + 1), "ab" * n, "x" * (3 * n)]
+    docs = [(None, None), (0, ""), (1, "short"), (2, text(5 * n)), (2, "y" * n), (3, "é" * (2 * n))]
+    for i in range(40):
+        docs.append((10 + i, text(draw.randrange(2 * n)) + draw.choice(shared)[draw.randrange(n // 2) :] + text(draw.randrange(n)) + draw.choice(shared)))
+    docs += [docs[-1], docs[-1], (99, text(2 * n) * 2), (98, text(60 * n, "ab"))]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, _row string")
+    got = suffix_dedup.without_repeats(frame, n)
+    assert sorted((r[0] or 0, *r[1:]) for r in got.collect()) == brute_repeats(docs, n)
+    assert suffix_dedup.without_repeats(frame.limit(0), n).count() == 0
+
+
+def test_repeated_passages_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROW_NUMBERS", 0)
+    test_repeated_passages(spark, 12)
+
+
+def test_repeated_passages_of_the_corpus(table):
+    got = suffix_dedup.without_repeats(table("documents")).collect()
+    assert sorted(tuple(r) for r in got) == brute_repeats([(r.doc_id, r.text) for r in table("documents").collect()], 200)
