@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import chunk_recipes, decontamination, packing, quality_gam, simhash_bytes, suffix_dedup
+from paperloom.llm import (
+    chunk_recipes,
+    decontamination,
+    license_scan,
+    packing,
+    quality_gam,
+    simhash_bytes,
+    suffix_dedup,
+    token_rollup,
+    url_rules,
+    warc_revisits,
+)
+from paperloom.session import new_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKING_SQL: dict[str, str] = {}
@@ -39,6 +52,26 @@ LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+# Verdict, host and path of the stated rules.
+STATED_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@register("op1_url_rules")
+def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The label of a page is that of the document with its number: block if it is bad or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), F.when(bad, url_rules.BLOCK).when(bad.isNotNull(), url_rules.ALLOW).alias("label")
+    )
+    return url_rules.judge_urls(table(spark, folder, "pages"), labels, STATED_RULES)
+
+
 @register(
     "op2_decontaminate",
     f"""
@@ -96,3 +129,145 @@ def op8_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_simhash_bytes")
 def op10_simhash_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bytes.near_duplicates(table(spark, folder, "documents"))
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """A full response and a revisit for each page, with matching, weak, missing or other validators and some revisits too early."""
+    kind = F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("long") % 5
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    date = F.concat(F.lit("day "), (F.col("page_id") % 365).cast("string"))
+    at = F.col("page_id") * 60
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    full = F.array(
+        pair("Content-Type", F.lit("text/html")), pair("Content-Length", F.length("html").cast("string")), pair("ETag", tag),
+        pair("Last-Modified", date), pair("Cache-Control", F.lit("max-age=60")),
+    )
+    own = F.array(pair("Date", at.cast("string")), pair("Content-Length", F.lit("0")), pair("cache-control", F.lit("no-cache")))
+    validators = (
+        F.when(kind == 0, F.array(pair("etag", tag)))
+        .when(kind == 1, F.array(pair("ETag", F.concat(F.lit("W/"), tag))))
+        .when(kind == 2, F.array(pair("Last-Modified", date)))
+        .when(kind == 3, F.array(pair("ETag", F.lit('"other"'))))
+        .otherwise(F.array().cast(warc_revisits.HEADERS))
+    )
+    both = F.array(
+        F.struct((F.col("page_id") * 2).alias("record_id"), F.col("url").alias("url"), at.alias("ts"), F.lit("response").alias("type"), full.alias("headers")),
+        F.struct(
+            (F.col("page_id") * 2 + 1).alias("record_id"),
+            F.concat("url", F.lit("#again")).alias("url"),
+            F.when(kind == 4, at - 86_400).otherwise(at + 200_000).alias("ts"),
+            F.lit("revisit").alias("type"),
+            F.concat(own, validators).alias("headers"),
+        ),
+    )
+    return pages.select(F.explode(both).alias("r")).select("r.*")
+
+
+@register(
+    "op3_warc_revisits",
+    r"""
+WITH p AS (
+  SELECT page_id, url, length(html) AS size, '"' || left(md5(html), 16) || '"' AS tag, 'day ' || CAST(page_id % 365 AS VARCHAR) AS date,
+    (CAST('0x' || left(md5(url), 4) AS INTEGER)) % 5 AS kind FROM pages
+),
+k AS (
+  SELECT *, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+    translate(regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme FROM p
+),
+h AS (
+  SELECT *, regexp_replace(translate(regexp_extract(rest, '^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(str_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query FROM k
+),
+c AS (
+  SELECT *, regexp_replace(host, CASE WHEN scheme = 'https' THEN ':443$' ELSE ':80$' END, '') || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM h
+),
+revisit AS (SELECT page_id * 2 + 1 AS record_id, url_key, kind, tag, date, page_id * 60 AS spot, CASE WHEN kind = 4 THEN page_id * 60 - 86400 ELSE page_id * 60 + 200000 END AS ts FROM c),
+response AS (SELECT page_id * 2 AS response_id, url_key, page_id * 60 AS ts, tag, date, size FROM c),
+met AS (
+  SELECT v.*, r.response_id, r.tag AS old_tag, r.date AS old_date, r.size,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.response_id DESC) AS n
+  FROM revisit v LEFT JOIN response r ON v.url_key = r.url_key AND r.ts < v.ts
+),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN kind IN (0, 1) THEN CASE WHEN tag = old_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN kind = 2 THEN CASE WHEN date = old_date THEN 'resolved' ELSE 'mismatch' END WHEN kind = 3 THEN 'mismatch' ELSE 'unverified' END AS status
+  FROM met WHERE n = 1
+)
+SELECT record_id, url_key, response_id, status, CASE WHEN status IN ('resolved', 'unverified') THEN
+  'Content-Type: text/html' || chr(10) || 'Content-Length: ' || CAST(size AS VARCHAR)
+  || CASE WHEN kind IN (0, 1) THEN '' ELSE chr(10) || 'ETag: ' || old_tag END
+  || CASE WHEN kind = 2 THEN '' ELSE chr(10) || 'Last-Modified: ' || old_date END
+  || chr(10) || 'Date: ' || CAST(spot AS VARCHAR) || chr(10) || 'cache-control: no-cache'
+  || CASE kind WHEN 0 THEN chr(10) || 'etag: ' || tag WHEN 1 THEN chr(10) || 'ETag: W/' || tag WHEN 2 THEN chr(10) || 'Last-Modified: ' || date ELSE '' END END AS headers
+FROM judged
+""",
+)
+def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(archive_records(table(spark, folder, "pages")))
+    return found.select(
+        "record_id", "url_key", "response_id", "status",
+        F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n").alias("headers"),
+    )
+
+
+TEMPLATES = ", ".join(
+    f"({n}, '{label}', '{text}', {str(n < len(license_scan.PHRASES)).lower()})"
+    for n, (label, text) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES])
+)
+
+
+@register(
+    "op7_license_scan",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
+t AS (SELECT template, label, phrase, str_split(body, ' ') AS w FROM (VALUES {TEMPLATES}) AS v(template, label, body, phrase)),
+known AS (SELECT template, label, phrase, len(w) - 1 AS pairs, i - 1 AS place, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
+placed AS (SELECT r, i - 1 AS spot, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+votes AS (SELECT DISTINCT r, template, label, pairs, phrase, spot - place AS diagonal, place FROM placed JOIN known USING (pair)),
+lines AS (SELECT DISTINCT r, template, phrase, diagonal FROM votes),
+steps AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= CASE WHEN phrase THEN 0 ELSE {license_scan.NEIGHBOURS} END
+    THEN 0 ELSE 1 END AS apart FROM lines
+),
+runs AS (SELECT r, template, diagonal, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM steps),
+merged AS (
+  SELECT r, template, label, phrase, pairs, run, count(DISTINCT place) AS seen, min(diagonal + place) AS first, max(diagonal + place) AS last
+  FROM votes JOIN runs USING (r, template, diagonal) GROUP BY ALL
+),
+good AS (
+  SELECT *, seen / pairs AS share FROM merged WHERE CASE WHEN phrase THEN seen = pairs
+    ELSE seen / pairs >= {license_scan.COVERED} AND last - first + 1 <= {license_scan.STRETCH} * pairs END
+),
+found AS (
+  SELECT r, count(*) FILTER (phrase) AS n_base, min(first) FILTER (phrase) AS first_word, max(first) FILTER (phrase) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM good GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN found USING (r)
+""",
+)
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, folder, "documents"))
+
+
+@register("op9_token_rollup")
+def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents inserted, toxic ones deleted, those with repeated lines revised; the deletion is delivered twice."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id").distinct()
+    counters = {"word_bpe_49k": token_rollup.bpe_tokens(tokenizer_path()), "words_1": token_rollup.word_tokens}
+    lines = F.split("text", "\n")
+    repeated = F.coalesce(F.size(F.array_distinct(lines)) < F.size(lines), F.lit(False))
+    first = stored(token_rollup.counted(docs.withColumn("repeated", repeated), counters), "token-ledger")
+    gone = stored(first.join(toxic, "doc_id", "left_semi"), "deleted")
+    left = docs.where(repeated).join(toxic, "doc_id", "left_anti")
+    after = token_rollup.counted(left.withColumn("text", F.array_join(F.array_distinct(lines), "\n")), counters)
+    rollup = token_rollup.TokenRollup(spark, new_folder(spark, "token-rollup"))
+    rollup.commit(0, token_rollup.inserted(first))
+    rollup.commit(1, token_rollup.deleted(gone))
+    rollup.commit(2, token_rollup.revised(first.where("repeated").join(toxic, "doc_id", "left_anti"), after))
+    rollup.commit(1, token_rollup.deleted(gone))
+    return rollup.totals()
