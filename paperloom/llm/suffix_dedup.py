@@ -1,6 +1,6 @@
 """Removal of repeated passages by prefix-free parsing.
 
-Every string of ``n`` bytes (200) holds a trigger: the place of the smallest of its rolling hashes over n/3 bytes, the last
+Every string of ``n`` bytes (200) holds a trigger: the place of the smallest of its rolling hashes over n/5 bytes, the last
 one among equals. Triggers depend on content alone, so equal strings have theirs at the same place, wherever they stand. The
 strings of a text that share one trigger follow each other and form a phrase, the text from the first byte of the first to
 the last byte of the last, and the ordered phrases are the parse of the text. Phrases overlap such that each string of n
@@ -11,10 +11,11 @@ needs it, follows from three ranks, each found by grouping on all executors inst
 bytes (only phrases whose trigger bytes occur again are looked at further, which drops nearly all of an unrepetitive corpus),
 by the whole phrase in the parse (all strings of a phrase that occurs twice are repeated, however often it occurs), and by the
 suffixes of the dictionary, cut at n bytes, for phrases that share a trigger with a different phrase. Suffixes of equal rank
-are neighbours with a common prefix of n bytes; those that stand for two occurrences or more cover the bytes to remove.
+are neighbours with a common prefix of n bytes; those that stand for two occurrences or more cover the bytes to remove. The
+phrases of a trigger meet in one task if there are at most ``BUCKET``; those of a more frequent one are dealt out by suffix.
 
-Phrases and suffixes are told apart by 128-bit XXH3 hashes of their bytes; trigger hashes only narrow the search. A text is
-known by the number of its row in a copy written once, so that repeated rows and ids are separate documents.
+Phrases are told apart by 128-bit XXH3 hashes of their bytes, as are dealt-out suffixes; trigger hashes only narrow the
+search. A text is known by the number of its row in a copy written once, so that repeated rows and ids are separate documents.
 
 Null texts are empty. Texts shorter than n lose nothing. All copies of a repeated string lose it. A null id is passed on, and
 an empty table gives an empty result. Columns other than id and text are not read.
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.scale import is_small
-from paperloom.session import new_folder, stored
+from paperloom.session import Scratch, stored
 
 MIN_BYTES = 200
 BROADCAST_ROW_NUMBERS = 1_000_000
+BUCKET = 4096
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -106,7 +108,7 @@ def trigger_table(texts: DataFrame, n: int) -> DataFrame:
     """The trigger hash of every phrase."""
 
     def triggers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rolling = RollingHash(n // 3)
+        rolling = RollingHash(n // 5)
         for batch in batches:
             found = [parse(np.frombuffer(t.encode(), dtype=np.uint8), rolling, n)[0] for t in batch["text"]]
             values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, int),) * 2
@@ -119,7 +121,7 @@ def phrase_table(texts: DataFrame, n: int) -> DataFrame:
     """One row per phrase of the parse: its trigger, the hash of its bytes, and its place."""
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rolling = RollingHash(n // 3)
+        rolling = RollingHash(n // 5)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("_row", "trigger", "p1", "p2", "at", "n")}
             for row, text in zip(batch["_row"].tolist(), batch["text"], strict=True):
@@ -134,23 +136,73 @@ def phrase_table(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInPandas(phrases, "_row long, trigger long, p1 long, p2 long, at long, n long")
 
 
-def suffix_table(texts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:
-    """Hash of every suffix, cut at n bytes, of the dictionary's phrases, where it stands and how many occurrences it has."""
+def phrase_bodies(texts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:
+    """The dictionary's phrases with their bytes, and the number k of phrases that share their trigger."""
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("s1", "s2", "_row", "at", "n")}
+            out = []
             for row, text, places in zip(batch["_row"].tolist(), batch["text"], batch["places"], strict=True):
                 data = text.encode()
-                at = np.concatenate([np.arange(p["at"], p["at"] + p["n"]) for p in places])
-                names = _hashed(data, zip(at.tolist(), (at + n).tolist(), strict=True))
-                many = np.concatenate([np.full(p["n"], p["occurs"]) for p in places])
-                for c, v in (("s1", names[:, 0]), ("s2", names[:, 1]), ("_row", np.full(at.size, row)), ("at", at), ("n", many)):
+                out += [(p["trigger"], p["k"], p["occurs"], row, p["at"], data[p["at"] : p["at"] + p["n"] - 1 + n]) for p in places]
+            yield pd.DataFrame(out, columns=["trigger", "k", "occurs", "_row", "at", "body"])
+
+    places = dictionary.groupBy("_row").agg(F.collect_list(F.struct("trigger", "k", "at", "n", "occurs")).alias("places"))
+    return _beside(texts, places).mapInPandas(bodies, "trigger long, k long, occurs long, _row long, at long, body binary")
+
+
+def compare_bucket(phrases: list[dict], n: int) -> list[tuple[int, int, int]]:
+    """Spans (_row, start, end) of the strings of n bytes that phrases of one occurrence share with others."""
+    times: dict[bytes, int] = {}
+    for p in phrases:
+        body, occurs = p["body"], p["occurs"]
+        for i in range(len(body) - n + 1):
+            part = body[i : i + n]
+            times[part] = times.get(part, 0) + occurs
+    out: list[tuple[int, int, int]] = []
+    for p in phrases:
+        if p["occurs"] > 1:
+            continue
+        body, open_ = p["body"], -1
+        last = len(body) - n
+        for i in range(last + 2):
+            again = i <= last and times[body[i : i + n]] > 1
+            if again and open_ < 0:
+                open_ = i
+            elif not again and open_ >= 0:
+                out.append((p["_row"], p["at"] + open_, p["at"] + i - 1 + n))
+                open_ = -1
+    return out
+
+
+def bucket_spans(bodies: DataFrame, n: int) -> DataFrame:
+    """Spans found among the phrases of each trigger, gathered in one task."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([s for phrases in batch["phrases"] for s in compare_bucket(phrases, n)], columns=["_row", "start", "end"])
+
+    grouped = bodies.groupBy("trigger").agg(F.collect_list(F.struct("occurs", "_row", "at", "body")).alias("phrases"))
+    return grouped.select("phrases").mapInPandas(compare, "_row long, start long, end long")
+
+
+def suffix_spans(bodies: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """The same spans, one per string, by grouping the hashes of all suffixes."""
+
+    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("s1", "s2", "_row", "at", "n")}
+            for row, first, body, many in zip(batch["_row"].tolist(), batch["at"].tolist(), batch["body"], batch["occurs"].tolist(), strict=True):
+                i = np.arange(len(body) - n + 1)
+                names = _hashed(body, zip(i.tolist(), (i + n).tolist(), strict=True))
+                for c, v in (("s1", names[:, 0]), ("s2", names[:, 1]), ("_row", np.full(i.size, row)), ("at", i + first), ("n", np.full(i.size, many))):
                     out[c].append(v)
             yield _frame(out, dict.fromkeys(out, np.int64))
 
-    places = dictionary.groupBy("_row").agg(F.collect_list(F.struct("at", "n", "occurs")).alias("places"))
-    return _beside(texts, places).mapInPandas(suffixes, "s1 long, s2 long, _row long, at long, n long")
+    found = scratch.stored(bodies.mapInPandas(suffixes, "s1 long, s2 long, _row long, at long, n long"), "suffixes")
+    shared = found.groupBy("s1", "s2").agg(F.sum("n").alias("times")).where("times > 1").select("s1", "s2")
+    parts = found.where("n = 1").join(scratch.stored(shared, "shared"), ["s1", "s2"])
+    return parts.select("_row", F.col("at").alias("start"), (F.col("at") + n).alias("end"))
 
 
 def _beside(texts: DataFrame, lists: DataFrame) -> DataFrame:
@@ -161,25 +213,25 @@ def _beside(texts: DataFrame, lists: DataFrame) -> DataFrame:
     return texts.join(lists, "_row")
 
 
-def repeated_spans(texts: DataFrame, n: int = MIN_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, n: int, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     """(_row, start, end): spans that cover exactly the bytes of strings of n bytes that start at two places or more."""
     again = trigger_table(texts, n).groupBy("trigger").agg(F.sum("n").alias("times")).where("times > 1").select("trigger")
-    parsed = stored(phrase_table(texts, n).join(stored(again, "triggers"), "trigger"), "phrases")
-    dictionary = stored(
+    parsed = scratch.stored(phrase_table(texts, n).join(scratch.stored(again, "triggers"), "trigger"), "phrases")
+    dictionary = scratch.stored(
         parsed.groupBy("trigger", "p1", "p2").agg(
             F.count(F.lit(1)).alias("occurs"), F.first("_row").alias("_row"), F.first("at").alias("at"), F.first("n").alias("n")
         ),
         "dictionary",
     )
-    repeated = dictionary.where("occurs > 1").select("trigger", "p1", "p2")
-    whole = parsed.join(stored(repeated, "repeated"), ["trigger", "p1", "p2"]).select("_row", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + n).alias("end"))
+    phrase = ["trigger", "p1", "p2"]
+    repeated = scratch.stored(dictionary.where("occurs > 1").select(*phrase), "repeated")
+    whole = parsed.join(repeated, phrase).select("_row", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + n).alias("end"))
     # triggers under which different phrases stand, one of them alone
     mixed = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("k"), F.min("occurs").alias("least")).where("k > 1 and least = 1")
-    compared = dictionary.join(stored(mixed.select("trigger"), "mixed"), "trigger")
-    suffixes = stored(suffix_table(texts, compared, n), "suffixes")
-    shared = suffixes.groupBy("s1", "s2").agg(F.sum("n").alias("times")).where("times > 1").select("s1", "s2")
-    parts = suffixes.where("n = 1").join(stored(shared, "shared"), ["s1", "s2"]).select("_row", F.col("at").alias("start"), (F.col("at") + n).alias("end"))
-    return whole.union(parts)
+    compared = dictionary.join(scratch.stored(mixed.select("trigger", "k"), "mixed"), "trigger").select("trigger", "k", "occurs", "_row", "at", "n")
+    bodies = scratch.stored(phrase_bodies(texts, compared, n), "bodies", compression="zstd")
+    near = bucket_spans(bodies.where(F.col("k") <= bucket), n)
+    return whole.union(near).union(suffix_spans(bodies.where(F.col("k") > bucket), n, scratch))
 
 
 REPORT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -202,19 +254,21 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def without_repeats(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, n: int = MIN_BYTES, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that are left."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    path = new_folder(spark, "texts")
+    scratch = Scratch(spark)
     # ids travel as text, which keeps large ones exact beside nulls
-    copy = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    copy.write.option("compression", "zstd").parquet(path)
-    copy = spark.read.schema(copy.schema).parquet(path)
-    lists = stored(
-        repeated_spans(copy.select("_row", "text"), n).groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans"
+    copy = Scratch(spark).stored(
+        docs.select(
+            F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        ),
+        "texts",
+        compression="zstd",
     )
+    spans = repeated_spans(copy.select("_row", "text"), n, scratch, bucket)
+    lists = stored(spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop()
     numbers = lists.select("_row")
     if is_small(numbers, BROADCAST_ROW_NUMBERS):
         untouched = copy.join(F.broadcast(numbers), "_row", "left_anti").select(

@@ -359,6 +359,7 @@ def test_repeated_passages(spark, n):
 
 def test_repeated_passages_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROW_NUMBERS", 0)
+    monkeypatch.setattr(suffix_dedup.without_repeats, "__defaults__", (200, 2))
     test_repeated_passages(spark, 12)
 
 
