@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scale import broadcast_if_small
-from paperloom.llm.tokens import END_ID, WordTokenizer, definition_of
+from paperloom.llm.tokens import END_ID, definition_of, shared_tokenizer
 from paperloom.session import new_folder, stored
 
 WINDOW = 2048
@@ -100,46 +100,58 @@ class Schedule:
 
     def __init__(self, rounds: list[Round], window: int = WINDOW):
         self.rounds, self.window = rounds, window
+        self.turns: dict[tuple[int, int], tuple] = {}
         self.sent = np.array([r.sent for r in rounds], dtype=np.int64).reshape(len(rounds), len(rounds[0].sent) if rounds else 0)
 
-    def _sent(self, r: Round, queue: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the queues in turn before ``queue`` have sent after k windows of the round, and what it has sent itself."""
+    def _turn(self, i: int, queue: int) -> tuple[int, bool, np.ndarray]:
+        """Total weight of a round, whether ``queue`` is its last, and the weights in turn up to it, its own at the end."""
+        if (i, queue) not in self.turns:
+            weights = self.rounds[i].weights
+            last = _largest(weights)
+            before = [w for j, w in enumerate(weights) if w and j not in (last, queue) and (j < queue or queue == last)]
+            in_turn = before if queue == last else [*before, weights[queue]]
+            self.turns[i, queue] = sum(weights), queue == last, np.array(in_turn, dtype=np.int64)[:, None]
+        return self.turns[i, queue]
+
+    def _sent(self, i: int, queue: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the queues in turn before ``queue`` have sent after k windows of round i, and what it has sent itself."""
+        r = self.rounds[i]
         if r.share is not None:
             return k * int(sum(r.share[:queue])), k * r.share[queue]
-        last, whole = _largest(r.weights), sum(r.weights)
-        others = [j for j in range(len(r.weights)) if r.weights[j] and j != last and (j <= queue or queue == last)]
+        whole, last, weight = self._turn(i, queue)
         # (k * window * weight) // whole without leaving 64 bits
         times, rest = np.divmod(k * self.window, whole)
-        weight = np.array([r.weights[j] for j in others], dtype=np.int64)[:, None]
         each = times * weight + rest * weight // whole
-        if queue == last:
+        if last:
             before = each.sum(axis=0)
             return before, k * self.window - before
-        own = each[others.index(queue)]
-        return each.sum(axis=0) - own, own
+        return each[:-1].sum(axis=0), each[-1]
 
     def pieces(self, queue: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lengths of the pieces in order, the windows they go to, and their places there."""
         found, at, stop = [], start, start + length
         i = int(np.searchsorted(self.sent[:, queue], at, side="right")) - 1
         while at < stop:
-            r, i = self.rounds[i], i + 1
+            r = self.rounds[i]
             inside, total = at - r.sent[queue], stop - r.sent[queue]
             low, high = 0, 1
             if r.share is None:
                 if not r.weights[queue]:
+                    i += 1
                     continue
                 # the largest queue can be ahead of its share by a token of every other
                 slack, pace = len(r.weights) + 1, r.weights[queue] * self.window
-                low = max(0, (inside - slack) * sum(r.weights) // pace - 1)
-                high = min(r.windows, -(-(total + slack) * sum(r.weights) // pace) + 1)
+                whole = self._turn(i, queue)[0]
+                low = max(0, (inside - slack) * whole // pace - 1)
+                high = min(r.windows, -(-(total + slack) * whole // pace) + 1)
             k = np.arange(low, high + 1, dtype=np.int64)
-            before, own = self._sent(r, queue, k)
+            before, own = self._sent(i, queue, k)
             take_from, take_to = np.maximum(own[:-1], inside), np.minimum(own[1:], total)
             some = np.flatnonzero(take_to > take_from)
             place = before[1:] - before[:-1] + take_from - own[:-1]
             found.append((take_to[some] - take_from[some], r.first + k[some], place[some]))
             at += int((take_to[some] - take_from[some]).sum())
+            i += 1
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -147,7 +159,7 @@ def _encoded(docs: DataFrame, definition: str) -> DataFrame:
     """doc_id, queue, ids, n, and the task with the place of the document among the tokens of its queue there."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, sent, task = WordTokenizer(definition), {}, TaskContext.get().partitionId()
+        tokenizer, sent, task = shared_tokenizer(definition), {}, TaskContext.get().partitionId()
         end = np.array([END_ID], dtype="<u2").tobytes()
         for batch in batches:
             ids = [x + end for x in tokenizer.encode(batch["text"].tolist())]

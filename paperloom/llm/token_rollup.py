@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import WORD, lower_ascii
-from paperloom.llm.tokens import WordTokenizer, definition_of
+from paperloom.llm.tokens import definition_of, shared_tokenizer
 
 GROUP = ["source", "lang", "version"]
 SCHEMA = "source string, lang string, version string, docs long, tokens long"
@@ -27,11 +27,9 @@ def bpe_tokens(path: str):
     definition = definition_of(path)
 
     def count(text: Column) -> Column:
-        state: dict[str, WordTokenizer] = {}
-
         @F.pandas_udf("long")
         def of(texts: pd.Series) -> pd.Series:
-            tokenizer = state.setdefault("tokenizer", WordTokenizer(definition)) if not state else state["tokenizer"]
+            tokenizer = shared_tokenizer(definition)
             return pd.Series([len(ids) // 2 for ids in tokenizer.encode(texts.tolist())], dtype="int64")
 
         return of(text)

@@ -1,71 +1,102 @@
 """Token ids of a public word-level BPE, with a cache over words.
 
 The tokenizer lower-cases, drops white space and splits letters, digits and marks before it merges, so a text's ids are the
-ids of its pieces one after the other. Pieces of plain letters that a task has not met are encoded together in one call and
-told apart by the end-of-word mark; any other piece is encoded alone. Texts with characters whose splitting or normal form
-could cross a piece (beyond Latin-1, apostrophes, special tokens) are cut at white space only.
+ids of its chunks between blanks one after the other, and those of a chunk the ids of its runs of letters and of other
+characters. Runs of letters go straight to the merges, spelt in the characters that stand for their bytes there. Chunks whose
+splitting or normal form could cross such a run (characters beyond Latin-1, apostrophes, special tokens) are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from types import ModuleType
 
-import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 400_000
+CACHE_CHUNKS = 500_000
 END_ID = 1
-_PLAIN = re.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
-_PIECES = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^\s a-z\xdf-\xf6\xf8-\xff]+").findall
+_PLAIN = re.compile(r"[\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
+_RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff]+").findall
 _LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
-_CHUNKS = re.compile(r"[^ \n\t\r]+").findall
+
+
+def _byte_characters() -> list[str]:
+    """Printable stand-ins of the 256 bytes in byte-level BPE: themselves if printable in Latin-1, the rest from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
 
 
 class WordTokenizer:
-    """Little-endian 16-bit ids of whole texts; ``definition`` is the content of the tokenizer's file."""
+    """16-bit ids of whole texts, as bytes; ``definition`` is the content of the tokenizer's file."""
 
     def __init__(self, definition: str):
         self.inner = Tokenizer.from_str(definition)
-        vocabulary = self.inner.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(65536, dtype=bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _alone(self, piece: str) -> bytes:
-        return np.array(self.inner.encode(piece, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        words = [p for p in pieces if _LETTERS(p)]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u2")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                self.cache.update((w, self._alone(w)) for w in part)
-                continue
-            data = ids.tobytes()
-            bounds = [0, *(2 * stops).tolist()]
-            self.cache.update(zip(part, (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
-        self.cache.update((p, self._alone(p)) for p in pieces - self.cache.keys())
+        self.merge = self.inner.model.tokenize
+        self.characters = _byte_characters()
+        self.runs: dict[str, bytes] = {}
+        self.chunks = _Chunks(self._chunk)
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.inner.encode(text, add_special_tokens=False).ids)
+
+    def _run(self, run: str) -> bytes:
+        known = self.runs.get(run)
+        if known is None:
+            if not _LETTERS(run):
+                known = self._whole(run)
+            else:
+                spelt = run if run.isascii() else "".join(self.characters[b] for b in run.encode())
+                known = _packed([token.id for token in self.merge(spelt)])
+            self.runs[run] = known
+        return known
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _PLAIN(chunk) and "<|" not in chunk:
+            return b"".join(map(self._run, _RUNS(chunk.lower())))
+        return self._whole(chunk)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without the end id."""
-        split = []
-        for text in texts:
-            text = text or ""
-            split.append(_PIECES(text.lower()) if _PLAIN(text) and "<|" not in text else _CHUNKS(text))
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
         out = []
-        for at in range(0, len(split), 256):
-            group = split[at : at + 256]
-            new = set().union(*group) - self.cache.keys()
-            if new:
-                self._learn(new)
-            out += [b"".join(map(self.cache.__getitem__, pieces)) for pieces in group]
+        for text in texts:
+            if len(self.chunks) > CACHE_CHUNKS:
+                self.chunks.clear()
+            if len(self.runs) > CACHE_CHUNKS:
+                self.runs.clear()
+            out.append(b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
         return out
 
 
+class _Chunks(dict):
+    """Ids of chunks, worked out when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.encode(chunk)
+        return ids
+
+
+def shared_tokenizer(definition: str) -> WordTokenizer:
+    """The tokenizer of this worker process, kept with what it has met from one task to the next.
+
+    It is held by a module of the process, since the code of a task is unpacked anew for each.
+    """
+    made = sys.modules.setdefault("paperloom_tokenizers", ModuleType("paperloom_tokenizers")).__dict__
+    if definition not in made:
+        made[definition] = WordTokenizer(definition)
+    return made[definition]
+
+
 def definition_of(path: str) -> str:
     """Content of the tokenizer's file, read on the driver and sent to the tasks; a few megabytes, whatever the data."""
     with open(path, encoding="utf-8") as file:
