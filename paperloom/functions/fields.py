@@ -60,13 +60,19 @@ def extract_document_number(text: Column) -> Column:
     return first_group(text, DOCUMENT_NUMBER, "dU", 0)
 
 
-def extract_title(text: Column) -> Column:
+def extract_title(text: Column, window: int | None = None, lines_after: int | None = None) -> Column:
+    """A named title, or else the first suitable line after the document number.
+
+    That line is looked for in all that follows, or in the first ``window`` characters and ``lines_after`` lines of it.
+    """
+
     def long_enough(title: Column) -> Column:
         return F.when(F.length(title) > 5, title)
 
     named = [let(squeeze(F.regexp_extract(text, f"(?dUi){p}", 1)), long_enough) for p in TITLE_PATTERNS]
-    after_number = F.regexp_extract(text, f"(?dUs){DOCUMENT_NUMBER}(.{{0,200}})", 1)
-    lines = F.transform(F.slice(F.split(after_number, "\n"), 1, 3), strip)
+    reach = ".*" if window is None else f".{{0,{window}}}"
+    found = F.split(F.regexp_extract(text, f"(?dUs){DOCUMENT_NUMBER}({reach})", 1), "\n")
+    lines = F.transform(found if lines_after is None else F.slice(found, 1, lines_after), strip)
     suitable = F.filter(lines, lambda line: (F.length(line) > 5) & ~line.rlike(r"^[A-Z0-9\-]+\z"))
     return F.coalesce(*named, F.get(suitable, F.lit(0)))
 
@@ -110,7 +116,7 @@ def extract_revision_history(text: Column) -> Column:
             lambda parts: F.struct(
                 F.regexp_extract(line, f"(?dU){REVISION_LINE}", 1).alias("rev"),
                 F.get(parts, F.lit(1)).alias("date"),
-                F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 3, 1_000_000), " ")).alias("description"),
+                F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(3), F.size(parts)), " ")).alias("description"),
                 strip(line).alias("raw"),
             ),
         )

@@ -27,9 +27,12 @@ EXTRACTION_PROMPT = (
 
 
 def extraction_prompts(docs: DataFrame, max_chars: int = 8000) -> DataFrame:
-    """id, prompt. The model sees at most ``max_chars`` characters of the text."""
+    """id, part, prompt. A text longer than ``max_chars`` is asked about in as many prompts as it takes."""
     before, after = EXTRACTION_PROMPT
-    return docs.select("id", F.concat(F.lit(before), F.substring("text", 1, max_chars), F.lit(after)).alias("prompt"))
+    last = F.greatest(F.ceil(F.length("text") / max_chars), F.lit(1)).cast("int") - 1
+    parts = docs.select("id", "text", F.explode(F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))).alias("part"))
+    piece = F.substring(F.col("text"), F.col("part") * max_chars + 1, F.lit(max_chars))
+    return parts.select("id", "part", F.concat(F.lit(before), piece, F.lit(after)).alias("prompt"))
 
 
 def _unfenced(response: Column) -> Column:

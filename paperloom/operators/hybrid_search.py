@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.constants import SEARCH_LIMIT, TEXT_WEIGHT, VECTOR_WEIGHT
 from paperloom.functions.scale import broadcast_if_small
-from paperloom.operators.text_search import term_frequency, text_topk
+from paperloom.operators.text_search import text_topk
 from paperloom.operators.vector_search import metadata_filters, rank_hits, vector_topk
 
 
@@ -40,18 +40,18 @@ def hybrid_search(
     discipline: str | None = None,
     document_ids: DataFrame | None = None,
     frequency: DataFrame | None = None,
+    candidates: int | None = None,
 ) -> DataFrame:
-    """Both branches with 2 x limit candidates each, then fusion.
+    """Both branches, then fusion of their ``candidates`` best hits each, 2 x limit unless given.
 
-    queries: query_id, query, embedding. chunks: chunk_id, document_id, level, embedding.
+    queries: query_id, query, embedding. chunks: chunk_id, document_id, level, embedding. Both branches return chunks of
+    existing documents that pass the filters only; terms are weighted over the whole index.
     """
-    vector_hits = vector_topk(queries, chunks, documents, 2 * limit, dim, discipline, document_ids)
-    if discipline or document_ids is not None:
-        ids = metadata_filters(chunks.select("chunk_id", "document_id"), documents, discipline, document_ids)
-        allowed = index.join(ids.select("chunk_id"), "chunk_id", "left_semi")
-        frequency = term_frequency(index) if frequency is None else frequency
-        index = allowed
-    text_hits = text_topk(queries, index, statistics, 2 * limit, frequency)
+    candidates = candidates or 2 * limit
+    vector_hits = vector_topk(queries, chunks, documents, candidates, dim, discipline, document_ids)
+    # the filters meet what has matched: neither vectors nor the index are shuffled for them
+    allowed = metadata_filters(chunks.drop("embedding"), documents, discipline, document_ids)
+    text_hits = text_topk(queries, index, statistics, candidates, frequency, allowed=allowed)
     return hybrid_fuse(vector_hits, text_hits, limit)
 
 

@@ -19,8 +19,8 @@ def page_of(filtered: DataFrame, newest: str, id_col: str, limit: int, offset: i
 def list_documents(
     documents: DataFrame, page: int = 1, page_size: int = 20, discipline: str | None = None, status: str | None = None
 ) -> DataFrame:
-    if page < 1 or not 1 <= page_size <= 100:
-        raise ValueError("page starts at 1 and page_size lies in 1..100")
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size start at 1")
     chosen = documents.where(F.col("status") == (status or APPROVED))
     if discipline:
         chosen = chosen.where(F.col("discipline") == discipline)
@@ -125,8 +125,8 @@ def list_actions(
     job_id: str | None = None,
     success: bool | None = None,
 ) -> DataFrame:
-    if not 1 <= limit <= 1000 or offset < 0:
-        raise ValueError("limit lies in 1..1000 and offset is not negative")
+    if limit < 1 or offset < 0:
+        raise ValueError("limit starts at 1 and offset is not negative")
     chosen = actions
     for column, value in (("action_type", action_type), ("document_id", document_id), ("job_id", job_id)):
         if value:
@@ -138,8 +138,8 @@ def list_actions(
 
 def action_stats(actions: DataFrame, hours: int, as_of: Column) -> DataFrame:
     """Totals, counts by type and by decision in one pass: dimension, key, actions and, in the totals row, rates."""
-    if not 1 <= hours <= 168:
-        raise ValueError("hours lies in 1..168")
+    if hours < 1:
+        raise ValueError("hours starts at 1")
     recent = actions.where(F.col("created_at") >= as_of - F.expr(f"INTERVAL {hours} HOURS"))
     grouped = recent.groupingSets(
         [[], [F.col("action_type")], [F.col("decision")]], F.col("action_type"), F.col("decision")
@@ -169,8 +169,8 @@ def action_stats(actions: DataFrame, hours: int, as_of: Column) -> DataFrame:
     return rows.unionByName(zero).groupBy("dimension", "key").agg(*[F.max(c).alias(c) for c in figures])
 
 
-def document_lines(documents: DataFrame) -> DataFrame:
-    """Printable form of the documents: defaults for missing values and titles of at most 38 characters."""
+def document_lines(documents: DataFrame, width: int | None = None) -> DataFrame:
+    """Printable form of the documents: defaults for missing values, and titles whole or cut at ``width``."""
 
     def filled(column: str) -> Column:
         return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("N/A"))
@@ -178,7 +178,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return documents.select(
         "id",
         filled("document_number").alias("document_number"),
-        F.substring(filled("title"), 1, 38).alias("title"),
+        (filled("title") if width is None else F.substring(filled("title"), 1, width)).alias("title"),
         "discipline",
         F.coalesce("page_count", F.lit(0)).alias("page_count"),
         "status",

@@ -148,7 +148,11 @@ def text_topk(
     k: int,
     frequency: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
-    """query_id, chunk_id, score (at most 1), rank."""
-    scored = text_rank(text_match(index, query_terms(queries), frequency, max_rows), statistics)
+    """query_id, chunk_id, score (at most 1), rank. ``allowed`` (chunk_id) bounds the hits, not the weights of terms."""
+    matched = text_match(index, query_terms(queries), frequency, max_rows)
+    if allowed is not None:
+        matched = matched.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    scored = text_rank(matched, statistics)
     return rank_hits(scored.withColumn("score", F.least("score", F.lit(1.0))), k)

@@ -6,6 +6,8 @@ is judged within its own row: no product of rules and documents, and no grouping
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ INPUT_COLUMNS = [
     "document_number", "title", "revision", "issue_status", "contract_number", "discipline", "page_count",
 ]
 ALL_RULES, GENERAL_RULES = "*all", "*general"
+# Verdict (passed, message, details) of a rule of type custom, from the fields of a document and the rule.
+CustomRule = Callable[[Column, Column], Column]
 _RULE_COLUMNS = ["id", "name", "rule_type", "def_type", "def_field", "def_pattern", "bad_pattern"]
 
 
@@ -30,9 +34,13 @@ def rules_from_definitions(rules: DataFrame) -> DataFrame:
     )
 
 
+# What a rule's pattern is run inside of: from the start of the value.
+_MATCH = r"(?dU)\A(?:", ")"
+
+
 def _compile_error(spark, pattern: str) -> bool:
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"{_MATCH[0]}{pattern}{_MATCH[1]}")
         return False
     except Exception:
         return True
@@ -115,7 +123,7 @@ def rule_pattern_match(fields: Column, rule: Column) -> Column:
     field, pattern = rule["def_field"], rule["def_pattern"]
     value = F.try_element_at(fields, field)
     subject = F.when(F.map_contains_key(fields, field), F.coalesce(value, F.lit("None"))).otherwise(F.lit(""))
-    matches = F.regexp_like(subject, F.concat(F.lit(r"(?dU)\A(?:"), pattern, F.lit(")")))
+    matches = F.regexp_like(subject, F.concat(F.lit(_MATCH[0]), pattern, F.lit(_MATCH[1])))
     details = F.create_map(F.lit("field"), field, F.lit("pattern"), pattern, F.lit("value"), value)
     return (
         F.when(~_present(field) | ~_present(pattern), _verdict(F.lit(False), F.lit("Rule missing 'field' or 'pattern'")))
@@ -149,12 +157,12 @@ def judge(fields: Column, rule: Column, custom: Column | None = None) -> Column:
     )
 
 
-def judged(documents: DataFrame, rules: DataFrame) -> DataFrame:
-    """Documents with ``verdicts``: one struct per applicable rule, in rule order."""
+def judged(documents: DataFrame, rules: DataFrame, custom: CustomRule | None = None) -> DataFrame:
+    """Documents with ``verdicts``: one struct per applicable rule, in rule order. ``custom`` judges rules of type custom."""
 
     def entry(fields: Column, rule: Column) -> Column:
         return let(
-            judge(fields, rule),
+            judge(fields, rule, None if custom is None else custom(fields, rule)),
             lambda v: F.struct(
                 rule["id"].alias("rule_id"), rule["name"].alias("rule_name"), rule["rule_type"].alias("rule_type"),
                 v["passed"].alias("passed"), v["message"].alias("message"), v["details"].alias("details"),
@@ -165,7 +173,7 @@ def judged(documents: DataFrame, rules: DataFrame) -> DataFrame:
     return computed_once(with_rules(documents, rules), "verdicts", verdicts).drop("rules")
 
 
-def validate_documents(documents: DataFrame, rules: DataFrame) -> DataFrame:
+def validate_documents(documents: DataFrame, rules: DataFrame, custom: CustomRule | None = None) -> DataFrame:
     """document_id, document_number, passed, rules_evaluated, rules_failed, failed_rules, warnings.
 
     Only failures of blocking rules reject a document; all other failures are warnings.
@@ -173,7 +181,7 @@ def validate_documents(documents: DataFrame, rules: DataFrame) -> DataFrame:
     failed = F.filter("verdicts", lambda v: ~v["passed"] & (v["rule_type"] == BLOCKING))
     warned = F.filter("verdicts", lambda v: ~v["passed"] & (v["rule_type"] != BLOCKING))
     return (
-        judged(documents, rules)
+        judged(documents, rules, custom)
         .select(
             F.col("id").alias("document_id"), "document_number",
             F.size("verdicts").alias("rules_evaluated"), failed.alias("failed_rules"), warned.alias("warnings"),

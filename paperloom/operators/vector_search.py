@@ -16,6 +16,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from paperloom.constants import CHILD, VECTOR_LISTS
 from paperloom.functions.scale import broadcast_if_small, salt_of
@@ -62,6 +64,10 @@ class _Best:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a batch as rows; they must all be there and of one length."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or len(np.unique(lengths)) > 1:
+        raise ValueError("vectors of one length are wanted")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -112,17 +118,16 @@ def rank_hits(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _score_sent(
-    chunks: DataFrame, query_ids: list, queries: np.ndarray, k: int, lists_of: np.ndarray | None = None
+    chunks: DataFrame, query_ids: list, kind: DataType, queries: np.ndarray, k: int, lists_of: np.ndarray | None = None
 ) -> DataFrame:
     """Scores with the query matrix sent to every task. ``lists_of[q]`` are the lists that query q looks into."""
     spark = chunks.sparkSession
     sent = spark.sparkContext.broadcast((query_ids, queries, lists_of))
-    query_type = "long" if isinstance(query_ids[0], int) else "string"
-    schema = f"query_id {query_type}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
+    schema = f"query_id {kind.simpleString()}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of_queries, q_matrix, probed = sent.value
-        query_arrow = pa.int64() if isinstance(ids_of_queries[0], int) else pa.string()
+        query_arrow = to_arrow_type(kind)
         chunk_arrow = None
         best = _Best(len(ids_of_queries), k)
         everyone = np.arange(len(ids_of_queries))
@@ -190,6 +195,11 @@ def _score_blocks(queries: DataFrame, chunks: DataFrame, k: int, block_queries:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
 
 
+def _no_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    query_id = F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id")
+    return chunks.select(query_id, "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
+
+
 def _taken(queries: DataFrame, limit: int) -> list | None:
     """The queries, if there are at most ``limit`` of them."""
     rows = queries.select("query_id", "embedding").limit(limit + 1).collect()
@@ -214,15 +224,13 @@ def vector_topk(
     allowed = metadata_filters(usable_chunks(chunks, dim), documents, discipline, document_ids)
     rows = _taken(queries.where(F.size("embedding") == dim), max_sent)
     if rows == []:
-        return allowed.select(
-            F.lit(None).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")
-        ).where(F.lit(False))
+        return _no_hits(queries, allowed)
     if rows is None:
         listed = queries.where(F.size("embedding") == dim).withColumn("list_id", F.lit(0))
         scored = _score_blocks(listed, allowed.withColumn("list_id", F.lit(0)), k, max_sent, block_chunks)
     else:
         matrix = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
-        scored = _score_sent(allowed, [r["query_id"] for r in rows], matrix, k)
+        scored = _score_sent(allowed, [r["query_id"] for r in rows], queries.schema["query_id"].dataType, matrix, k)
     return rank_hits(scored.where(~F.isnan("score")), k)
 
 
@@ -234,7 +242,11 @@ def train_lists(vectors: DataFrame, lists: int = VECTOR_LISTS, seed: int = 42) -
 
 
 def assign_lists(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Adds list_id, the nearest centre. Written partitioned by list_id, a search reads the probed lists only."""
+    """Adds list_id, the nearest centre, to the chunks that have a vector of the centres' length; others are left out.
+
+    Written partitioned by list_id, a search reads the probed lists only.
+    """
+    chunks = chunks.where(F.size("embedding") == centres.shape[1])
     sent = chunks.sparkSession.sparkContext.broadcast(centres)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +288,8 @@ def vector_topk_lists(
     allowed = metadata_filters(usable_chunks(listed, dim), documents, discipline, document_ids)
     right = queries.where(F.size("embedding") == dim)
     rows = _taken(right, max_sent)
+    if rows == []:
+        return _no_hits(queries, allowed)
     if rows is None:
         spread = assign_probes(right, centres, probes)
         scored = _score_blocks(spread, allowed, k, max_sent, block_chunks)
@@ -284,7 +298,8 @@ def vector_topk_lists(
         probed = nearest_lists(matrix, centres, probes)
         wanted = sorted({int(n) for n in probed.reshape(-1)})
         scored = _score_sent(
-            allowed.where(F.col("list_id").isin(wanted)), [r["query_id"] for r in rows], matrix, k, probed
+            allowed.where(F.col("list_id").isin(wanted)), [r["query_id"] for r in rows], queries.schema["query_id"].dataType,
+            matrix, k, probed,
         )
     return rank_hits(scored.where(~F.isnan("score")), k)
 

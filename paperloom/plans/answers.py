@@ -137,7 +137,7 @@ def unanswerable_queries(src: Source):
 
 shared_sql(
     "conversation_queries",
-    "SELECT conv_id AS query_id, max(CASE WHEN turn = 0 THEN text END) AS query FROM conversations GROUP BY conv_id",
+    "SELECT query_id, query FROM asked_questions",
 )
 shared_sql(
     "question_log",
@@ -149,10 +149,7 @@ FROM conversation_queries q JOIN parsed_answers a ON a.query_id = q.query_id""",
 
 
 def question_log(src: Source):
-    asked = src.conversations.groupBy(F.col("conv_id").alias("query_id")).agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("query")
-    )
-    return I.qa_log(asked, I.parse_answers(src.answers), citations(src), context(src), now(), "answer-v1")
+    return I.qa_log(src.asked_questions, I.parse_answers(src.answers), citations(src), context(src), now(), "answer-v1")
 
 
 @query("qa_log", "SELECT * FROM question_log")

@@ -47,7 +47,7 @@ SCALAR_SQL = {
         f"CASE WHEN length({_title_sql(p)}) > 5 THEN {_title_sql(p)} END"
         for p in (r"Title[:\s]+(.+)", r"Document Title[:\s]+(.+)", r"Drawing Title[:\s]+(.+)")
     )
-    + rf", list_filter(list_transform(list_slice(string_split(regexp_extract(text, '(?s){_NUMBER}(.{{0,200}})', 1), chr(10)), 1, 3), "
+    + rf", list_filter(list_transform(string_split(regexp_extract(text, '(?s){_NUMBER}(.*)', 1), chr(10)), "
     + rf"lambda l: trim(l, {_BLANKS})), lambda l: length(l) > 5 AND NOT regexp_full_match(l, '[A-Z0-9\-]+'))[1])",
     "revision": r"nullif(upper(regexp_extract(text, '(?i)Rev(?:ision)?\.?\s*([A-Z0-9]+)', 1)), '')",
     "issue_status": _status_sql(),
@@ -305,7 +305,8 @@ def results(src: Source):
 
 @query(
     "extraction_prompts",
-    f"SELECT doc_id AS id, '{E.EXTRACTION_PROMPT[0]}' || substr(text, 1, 8000) || '{E.EXTRACTION_PROMPT[1]}' AS prompt FROM documents",
+    f"""SELECT id, CAST(part AS INT) AS part, '{E.EXTRACTION_PROMPT[0]}' || substr(text, part * 8000 + 1, 8000) || '{E.EXTRACTION_PROMPT[1]}' AS prompt
+FROM (SELECT doc_id AS id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 8000) AS BIGINT), 1))) AS part FROM documents)""",
 )
 def extraction_prompts(src: Source):
     return E.extraction_prompts(src.documents.withColumnRenamed("doc_id", "id"))

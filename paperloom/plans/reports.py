@@ -145,7 +145,7 @@ def verify_counts(src: Source):
 
 @query(
     "document_lines",
-    """SELECT id, coalesce(document_number, 'N/A') AS document_number, substr(title, 1, 38) AS title, discipline, page_count, status FROM ref_documents""",
+    """SELECT id, coalesce(document_number, 'N/A') AS document_number, title, discipline, page_count, status FROM ref_documents""",
 )
 def document_lines(src: Source):
     return R.document_lines(src.ref_documents)

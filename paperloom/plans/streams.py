@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import content_hash
 from paperloom.operators import activity as M
 from paperloom.plans.admission import time_text
 from paperloom.plans.registry import query, shared_sql
@@ -77,19 +76,17 @@ def activity_windows_batch(src: Source):
 
 @query(
     "ingest_stream",
-    """SELECT u.file_hash, 'Checking' AS status, substr(sha256('job:' || u.file_hash), 1, 32) AS job_id FROM (SELECT DISTINCT file_hash FROM uploads) u
-WHERE u.file_hash NOT IN (SELECT file_hash FROM stored_documents)""",
+    """SELECT u.file_hash, 'store/' || u.file_hash || u.extension AS original_path, 'Checking' AS status,
+  substr(sha256('job:' || u.file_hash), 1, 32) AS job_id, u.discipline
+FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY arrival) AS n FROM upload_ext) u
+WHERE n = 1 AND u.file_hash NOT IN (SELECT file_hash FROM stored_documents)""",
 )
 def ingest_stream(src: Source):
     root = new_folder(src.spark, "ingest")
-    rows = src.stream_table("documents").select(
-        content_hash(F.col("text")).alias("file_hash"), F.col("doc_id").alias("arrival"),
-        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"),
-        F.lit(None).cast("string").alias("discipline"), F.col("_metadata.file_modification_time").alias("seen_at"),
-    )
+    rows = src.view("uploads", streaming=True)
     stored = src.stored_documents
     ingest.ingest_stream(rows, lambda: stored, "store", f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return src.spark.read.parquet(f"{root}/out").select("file_hash", "status", "job_id")
+    return src.spark.read.parquet(f"{root}/out").select("file_hash", "original_path", "status", "job_id", "discipline")
 
 
 @query("continuous_validation", "SELECT document_id, passed, rules_evaluated, rules_failed FROM judgements")

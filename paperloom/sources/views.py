@@ -116,17 +116,20 @@ SELECT * FROM (VALUES
   (9, 'inactive', 'blocking', NULL, 'required_field', 'revision', NULL, false)
 ) AS t(id, name, rule_type, discipline, def_type, def_field, def_pattern, active)""",
     "answers": """
-SELECT conv_id AS query_id,
-  CASE conv_id % 3 WHEN 0 THEN 'ANSWER: ' || substr(replace(text, chr(10), ' '), 1, 40) || chr(10) || 'CONFIDENCE: High' || chr(10) || 'CITATIONS: ARG-E-EL-' || lpad(CAST(conv_id % 100 AS STRING), 2, '0') || '-001 · Sheet 2, ZZZ-E-EL-00-999 · Page 4'
+SELECT conv_id * 1000 + turn AS query_id,
+  CASE conv_id % 3 WHEN 0 THEN 'ANSWER: ' || replace(text, chr(10), ' ') || chr(10) || 'CONFIDENCE: High' || chr(10) || 'CITATIONS: ARG-E-EL-' || lpad(CAST(conv_id % 100 AS STRING), 2, '0') || '-001 · Sheet 2, ZZZ-E-EL-00-999 · Page 4'
     WHEN 1 THEN 'plain answer ' || CAST(conv_id AS STRING)
     ELSE 'ANSWER: x' || chr(10) || 'CONFIDENCE: unsure' END AS response
-FROM conversations WHERE role = 'assistant' AND turn = 1""",
-    # every turn of a conversation stands for one retrieved chunk of its question
+FROM conversations WHERE role = 'assistant'""",
+    # every turn of a conversation stands for one retrieved chunk of each of its answers
     "answer_context": """
-SELECT conv_id AS query_id, CAST(turn AS INT) AS rank, conv_id * 1000 + turn AS chunk_id,
-  'ARG-E-EL-' || lpad(CAST(conv_id % 100 AS STRING), 2, '0') || '-' || lpad(CAST(CAST((turn + turn % 2) / 2 AS BIGINT) AS STRING), 3, '0') AS document_number,
-  'Turn of ' || role AS title, text AS content
-FROM conversations""",
+SELECT a.conv_id * 1000 + a.turn AS query_id, CAST(c.turn AS INT) AS rank, c.conv_id * 1000 + c.turn AS chunk_id,
+  'ARG-E-EL-' || lpad(CAST(c.conv_id % 100 AS STRING), 2, '0') || '-' || lpad(CAST(CAST((c.turn + c.turn % 2) / 2 AS BIGINT) AS STRING), 3, '0') AS document_number,
+  'Turn of ' || c.role AS title, c.text AS content
+FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant'""",
+    "asked_questions": """
+SELECT a.conv_id * 1000 + a.turn AS query_id, max(CASE WHEN c.turn = 0 THEN c.text END) AS query
+FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' GROUP BY a.conv_id * 1000 + a.turn""",
     "corpus_documents": """
 SELECT doc_id AS id,
   'ARG-E-EL-' || lpad(CAST(doc_id % 100 AS STRING), 2, '0') || '-' || lpad(CAST(doc_id % 1000 AS STRING), 3, '0') AS document_number,

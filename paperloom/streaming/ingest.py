@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +19,10 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def _earlier_hashes(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """Hashes of the batches written before this one; None before the first."""
-    try:
-        written = spark.read.parquet(path)
-    except AnalysisException:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    written = spark.read.schema("file_hash string, batch_id long").option("basePath", path).parquet(path)
     return written.where(F.col("batch_id") < batch_id).select("file_hash")
 
 
@@ -33,26 +32,24 @@ def ingest_stream(
     upload_dir: str,
     path: str,
     checkpoint: str,
-    horizon: str = "7 days",
     available_now: bool = True,
 ):
     """Admit each new content once.
 
-    files: stream of file_hash, arrival, path, discipline, seen_at. Repeats within ``horizon`` are dropped by the state
-    store. Older ones are found in the hash columns of ``existing()``, read again for every batch, and of the batches
-    written so far.
+    files: stream of file_hash, arrival, path, discipline. Of the files of a batch with one hash the first arrival
+    is admitted. Hashes seen before are found in the hash columns of ``existing()``, read again for every batch, and of the
+    batches written so far.
     """
 
     def admit(batch: DataFrame, batch_id: int) -> None:
-        new = first_arrivals(batch.drop("seen_at")).join(existing().select("file_hash"), "file_hash", "left_anti")
+        new = first_arrivals(batch).join(existing().select("file_hash"), "file_hash", "left_anti")
         earlier = _earlier_hashes(batch.sparkSession, path, batch_id)
         if earlier is not None:
             new = new.join(earlier, "file_hash", "left_anti")
         now = F.current_timestamp().cast("timestamp_ntz")
         _write_batch(new_document_records(new, upload_dir, now), path, batch_id)
 
-    distinct = files.withWatermark("seen_at", horizon).dropDuplicatesWithinWatermark(["file_hash"])
-    return for_each_batch(distinct, admit, checkpoint, available_now)
+    return for_each_batch(files, admit, checkpoint, available_now)
 
 
 def continuous_validation(

@@ -194,3 +194,39 @@ def test_vector_expressions(spark):
     rows = df.select(cosine_similarity(F.col("a"), F.col("b")).alias("c"), l2_normalize(F.col("a")).alias("n")).collect()
     assert rows[0].c == pytest.approx(0.96) and rows[0].n == pytest.approx([0.6, 0.8])
     assert rows[1].c is None and rows[1].n == [0.0, 0.0]
+
+
+def test_one_schema_whatever_the_number_of_queries(vectors):
+    queries, chunks, documents = vectors
+    for kind in ("int", "long", "string"):
+        asked = queries.withColumn("query_id", F.col("query_id").cast(kind))
+        sent = V.vector_topk(asked, chunks, documents, 3, DIM)
+        blocked = V.vector_topk(asked, chunks, documents, 3, DIM, max_sent=5, block_chunks=40)
+        none = V.vector_topk(asked.limit(0), chunks, documents, 3, DIM)
+        assert sent.dtypes == blocked.dtypes == none.dtypes and none.count() == 0
+
+
+def test_lists_beside_bad_vectors_and_without_queries(spark, vectors):
+    queries, chunks, documents = vectors
+    centres = np.eye(3)
+    rows = [("a", [1.0, 0.0, 0.0]), ("long", [1.0] * 5), ("b", [0.0, 0.0, 1.0]), ("short", [1.0]), ("none", None)]
+    frame = spark.createDataFrame([(i, 1, "child", v) for i, v in rows], "chunk_id string, document_id long, level string, embedding array<double>")
+    listed = V.assign_lists(frame.coalesce(1), centres)
+    assert {r.chunk_id: r.list_id for r in listed.collect()} == {"a": 0, "b": 2}
+    known = V.assign_lists(chunks, V._unit(np.random.default_rng(1).normal(size=(4, DIM))))
+    hits = V.vector_topk_lists(queries.limit(0), known, documents, np.eye(4, DIM), 3, DIM)
+    assert hits.count() == 0
+
+
+def test_hybrid_search_leaves_orphans_out(spark):
+    chunks = spark.createDataFrame(
+        [("kept", 1, "child", "blue pump", [1.0, 0.0]), ("orphan", 2, "child", "blue pump", [1.0, 0.0]), ("other", 3, "child", "blue pump", [0.0, 1.0])],
+        "chunk_id string, document_id long, level string, content string, embedding array<double>",
+    )
+    documents = spark.createDataFrame([(1, "ELC"), (3, "MEC")], "id long, discipline string")
+    queries = spark.createDataFrame([(1, "blue pump", [1.0, 0.0])], "query_id long, query string, embedding array<double>")
+    found = lambda **more: [
+        r.chunk_id
+        for r in H.hybrid_search(queries, chunks, documents, T.build_text_index(chunks), T.text_statistics(chunks), 2, **more).orderBy("rank").collect()
+    ]
+    assert found() == ["kept", "other"] and found(discipline="MEC") == ["other"] and found(candidates=1, limit=5) == ["kept"]

@@ -46,7 +46,7 @@ def test_ingest_twice_admits_once(spark, tmp_path):
 
     def run():
         stream = one_file_at_a_time(spark, rows.schema, path)
-        ingest.ingest_stream(stream, lambda: existing, "store", out, str(tmp_path / "cp"), horizon="1 day").awaitTermination()
+        ingest.ingest_stream(stream, lambda: existing, "store", out, str(tmp_path / "cp")).awaitTermination()
         return sorted(r.file_hash for r in spark.read.parquet(out).collect())
 
     parts(rows, path, 3)
@@ -56,6 +56,21 @@ def test_ingest_twice_admits_once(spark, tmp_path):
     assert run() == want
 
 
+def test_first_arrival_of_a_hash_is_admitted(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(5, "late.dwg", "MEC", "h"), (0, "first.pdf", "ELC", "h"), (1, "b.png", None, "g")], "arrival long, path string, discipline string, file_hash string"
+    )
+    none = spark.createDataFrame([], "file_hash string")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.coalesce(1).write.parquet(path)
+    for _ in range(2):
+        stream = one_file_at_a_time(spark, rows.schema, path)
+        ingest.ingest_stream(stream, lambda: none, "store", out, str(tmp_path / "cp")).awaitTermination()
+        got = {(r.original_path, r.discipline) for r in spark.read.parquet(out).collect()}
+        assert got == {("store/h.pdf", "ELC"), ("store/g.png", None)} and spark.read.parquet(out).count() == 2
+        rows.where("arrival = 5").withColumn("arrival", F.lit(-1).cast("long")).coalesce(1).write.mode("append").parquet(path)
+
+
 def test_windows_and_rules_per_batch(spark, tmp_path):
     actions = spark.range(400).select(
         F.col("id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 900).alias("created_at"), (F.col("id") % 5 != 0).alias("success"),

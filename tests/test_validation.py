@@ -135,3 +135,24 @@ def test_audit_metadata(spark):
     assert json.loads(rows["validate"].metadata)["rejection_note"] is None
     assert json.loads(rows["qa"].metadata)["cited_document_ids"] == ["D"] and rows["qa"].model_version is None
     assert (rows["ocr"].confidence_score, rows["qa"].entity_type, rows["qa"].entity_id) == (0.5, "query", None)
+
+
+def test_patterns_that_break_only_inside_the_match_fail_their_rule(spark):
+    rules = [
+        (1, "quote", "warning", None, "pattern_match", "title", r"\QABC", True),
+        (2, "comment", "warning", None, "pattern_match", "title", "(?x) a # note", True),
+        (3, "fine", "blocking", None, "pattern_match", "title", "T", True),
+    ]
+    row = outcome(spark, rules, (1, "N", "T", "ELC"))[1]
+    assert row.passed and [w.rule_name for w in row.warnings] == ["quote", "comment"]
+
+
+def test_custom_rules_have_a_hook(spark):
+    rules = spark.createDataFrame([(1, "own", "blocking", None, "custom", None, None, True)], RULES)
+
+    def long_title(fields, rule):
+        return J._verdict(F.length(fields["title"]) > 3, F.lit("title length"))
+
+    docs = documents(spark, (1, "N", "Title", "ELC"), (2, "N", "T", "ELC"))
+    got = {r.document_id: r.passed for r in J.validate_documents(docs, rules, long_title).collect()}
+    assert got == {1: True, 2: False}
