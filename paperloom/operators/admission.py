@@ -127,6 +127,19 @@ def ingest_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def count_outcomes(uploads: DataFrame, existing: DataFrame) -> DataFrame:
+    """The same summary without the outcome of each upload: counted per hash before the hashes meet the known ones."""
+    refused = F.count_if(rejection_of_upload(F.col("path"), F.col("discipline")).isNotNull())
+    per_hash = uploads.groupBy("file_hash").agg(F.count(F.lit(1)).alias("n"), refused.alias("refused"))
+    known = existing.select("file_hash", F.lit(True).alias("known")).distinct()
+    new = F.count_if((F.col("n") > F.col("refused")) & F.col("known").isNull())
+    sums = per_hash.join(known, "file_hash", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), new.alias("successful"), F.coalesce(F.sum("refused"), F.lit(0)).alias("failed")
+    )
+    already = F.col("total") - F.col("failed") - F.col("successful")
+    return sums.select("total", "successful", already.alias("already_exists"), "failed")
+
+
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """All tables without the given documents and their dependent rows. The document table is ``documents``."""
     gone = ids.select(F.col("id").alias("gone_id")).distinct()

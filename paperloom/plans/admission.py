@@ -141,7 +141,7 @@ SELECT count(*) AS total, count(*) FILTER (outcome = 'successful') AS successful
   count(*) FILTER (outcome = 'failed') AS failed FROM o""",
 )
 def ingest_summary(src: Source):
-    return A.ingest_summary(A.upload_outcomes(src.uploads, src.stored_documents))
+    return A.count_outcomes(src.uploads, src.stored_documents)
 
 
 @query(

@@ -85,3 +85,5 @@ def test_outcomes(spark, outcome, n):
     ).withColumn("discipline", F.lit(None).cast("string"))
     existing = spark.createDataFrame([("z", 9, "Approved")], "file_hash string, id long, status string")
     assert A.ingest_summary(A.upload_outcomes(rows, existing)).collect()[0][outcome] == n
+    assert A.count_outcomes(rows, existing).collect() == A.ingest_summary(A.upload_outcomes(rows, existing)).collect()
+    assert A.count_outcomes(rows.limit(0), existing).collect()[0][outcome] == 0

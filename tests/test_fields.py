@@ -37,7 +37,10 @@ def value(spark, expression, text):
         (X.extract_page_count, "3 of 9 sheets", 9),
         (X.extract_page_count, "Sheet of 99999999999", None),
         (X.extract_title, "Title: ab\nDrawing Title:  Main   Panel ", "Main Panel"),
-        (X.extract_title, "AB-C-DE-12-345\n AB-1\n short\nLayout of pumps", None),
+        # the whole text is looked at, unless a window is asked for
+        (X.extract_title, "AB-C-DE-12-345\n AB-1\n short\nLayout of pumps", "Layout of pumps"),
+        (lambda text: X.extract_title(text, lines_after=3), "AB-C-DE-12-345\n AB-1\n short\nLayout of pumps", None),
+        (lambda text: X.extract_title(text, window=9), "AB-C-DE-12-345\n AB-1\n short\nLayout of pumps", None),
         (X.extract_title, "AB-C-DE-12-345\n SHEET-00001\nLayout of pumps", "Layout of pumps"),
         (X.extract_title, "Title: A\rB longer", "A B longer"),
         (X.extract_page_numbers, "[Page 2] x [page  13]", [2, 13]),
