@@ -291,10 +291,10 @@ def test_rounds_send_everything_once(weights):
 def test_additive_model_learns_single_features_and_a_pair():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(4000, len(quality_gam.FEATURES)))
-    y = ((x[:, 0] > 0.3) ^ (x[:, 3] * x[:, 5] > 0)).astype(float)
+    y = ((x[:, 0] > 0.3) + 2 * (x[:, 3] * x[:, 5] > 0) + 0.3 * draw.normal(size=4000) > 1.5).astype(float)
     model = quality_gam.PairwiseAdditiveModel().fit(x[:3000], y[:3000])
     assert (3, 5) in model.pairs
-    assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.7
+    assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
     slow = [
         model.base
         + sum(t[np.searchsorted(c, v, side="right")] for c, t, v in zip(model.cuts, model.tables, row, strict=True))
