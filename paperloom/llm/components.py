@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a minimum per node and a join; each round is written to the shared folder, so lineage stays short and a
-lost executor costs tasks of one round. Nothing but one checksum per round reaches the driver.
+Every step is a minimum per node and a join. The minima are combined before the shuffle and written, so that both sides of
+the join are dealt out anew and AQE can split a node with a large part of all links. Each round is written to the shared
+folder, so lineage stays short and a lost executor costs tasks of one round. Nothing but one checksum per round reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Joins each larger neighbour of a node to the smallest of its neighbourhood."""
     both = _both_ways(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them; edges point from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = _checksum(edges)
     while True:
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        edges = stored(_small_star(stored(_large_star(edges), "stars")), "stars")
         now = _checksum(edges)
         if now == before:
             return edges

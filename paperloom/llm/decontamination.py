@@ -6,8 +6,9 @@ form one sequence whose suffix array gives the Burrows-Wheeler transform; a wave
 are searched backwards together, occurrences are located by walking to the nearest sampled suffix position, and the spans of
 each document are merged. A phrase never crosses documents.
 
-The benchmark reaches the tasks in blocks of at most ``BLOCK_CHARS`` characters, one pass over the documents for each, so
-memory in a task is bounded however large the benchmark is; an Arrow batch bounds the shard.
+The benchmark reaches the tasks in blocks of about ``BLOCK_CHARS`` characters, one pass over the documents for each, written
+before the next one begins. A task therefore holds the phrases of one block, however large the benchmark is; an Arrow batch
+bounds the shard.
 
 Null and empty texts have no words and are never hit. Benchmark rows that share an id are one item; rows without an id hit
 words but are not counted as items. Repeated document rows each get their own result. An empty benchmark hits nothing.
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import stored
+
 PHRASE_WORDS = 13
 SAMPLE = 8
 BLOCK_CHARS = 8_000_000
@@ -241,6 +244,7 @@ def find_contamination(
     empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     out = docs.withColumn(name, nothing)
     for block in range(blocks):
+        out = stored(out, "contamination") if block else out
         mine = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
         phrases = Phrases([tuple(r) for r in mine.collect()], phrase_words)
         out = out.withColumn(name, _searched(F.col(text_col), F.col(name) if block else empty, phrases))

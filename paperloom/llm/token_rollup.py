@@ -73,7 +73,7 @@ class TokenRollup:
     def commit(self, batch: int, changes: DataFrame) -> None:
         """Write the batch, or replace it by the same if it was there before."""
         totals = changes.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batches/batch={batch}")
+        totals.write.mode("overwrite").parquet(f"{self.folder}/batches/batch={batch}")
 
     def _exists(self, part: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
@@ -101,4 +101,4 @@ class TokenRollup:
         """Snapshot of all batches up to ``upto``, which must not be committed again."""
         rows = self._read("batches", "batch").where(F.col("batch") <= upto)
         sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/snapshots/upto={upto}")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/snapshots/upto={upto}")

@@ -16,6 +16,7 @@ from types import ModuleType
 from tokenizers import Tokenizer
 
 CACHE_CHUNKS = 500_000
+CACHE_CHARS = 64
 END_ID = 1
 _PLAIN = re.compile(r"[\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff]+").findall
@@ -54,7 +55,8 @@ class WordTokenizer:
             else:
                 spelt = run if run.isascii() else "".join(self.characters[b] for b in run.encode())
                 known = _packed([token.id for token in self.merge(spelt)])
-            self.runs[run] = known
+            if len(run) <= CACHE_CHARS:
+                self.runs[run] = known
         return known
 
     def _chunk(self, chunk: str) -> bytes:
@@ -75,14 +77,16 @@ class WordTokenizer:
 
 
 class _Chunks(dict):
-    """Ids of chunks, worked out when first asked for."""
+    """Ids of chunks, worked out when first asked for; those of long chunks are not kept, which bounds the cache."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.encode(chunk)
+        ids = self.encode(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            self[chunk] = ids
         return ids
 
 
