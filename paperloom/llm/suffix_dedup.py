@@ -10,9 +10,10 @@ The dictionary holds every distinct phrase once with its number of occurrences.
 needs it, follows from three ranks, each found by grouping on all executors instead of sorting bytes: by the trigger's own
 bytes (only phrases whose trigger bytes occur again are looked at further, which drops nearly all of an unrepetitive corpus),
 by the whole phrase in the parse (all strings of a phrase that occurs twice are repeated, however often it occurs), and by the
-suffixes of the dictionary, cut at n bytes, for phrases that share a trigger with a different phrase. Suffixes of equal rank
-are neighbours with a common prefix of n bytes; those that stand for two occurrences or more cover the bytes to remove. The
-phrases of a trigger meet in one task if there are at most ``BUCKET``; those of a more frequent one are dealt out by suffix.
+suffixes of the dictionary, cut at n bytes, for phrases that share a trigger with a different phrase. The dictionary is split
+by trigger into parts with a suffix array each; neighbours in it with a common prefix of n bytes that stand for two
+occurrences in the parse or more cover the bytes to remove. Parts hold whole triggers of at most ``BUCKET`` phrases; the
+suffixes of a more frequent one are dealt out by hash.
 
 Phrases are told apart by 128-bit XXH3 hashes of their bytes, as are dealt-out suffixes; trigger hashes only narrow the
 search. A text is known by the number of its row in a copy written once, so that repeated rows and ids are separate documents.
@@ -38,6 +39,7 @@ from paperloom.session import Scratch, stored
 MIN_BYTES = 200
 BROADCAST_ROW_NUMBERS = 1_000_000
 BUCKET = 4096
+PART_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -151,36 +153,68 @@ def phrase_bodies(texts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:
     return _beside(texts, places).mapInPandas(bodies, "trigger long, k long, occurs long, _row long, at long, body binary")
 
 
-def compare_bucket(phrases: list[dict], n: int) -> list[tuple[int, int, int]]:
-    """Spans (_row, start, end) of the strings of n bytes that phrases of one occurrence share with others."""
-    times: dict[bytes, int] = {}
-    for p in phrases:
-        body, occurs = p["body"], p["occurs"]
-        for i in range(len(body) - n + 1):
-            part = body[i : i + n]
-            times[part] = times.get(part, 0) + occurs
-    out: list[tuple[int, int, int]] = []
-    for p in phrases:
-        if p["occurs"] > 1:
-            continue
-        body, open_ = p["body"], -1
-        last = len(body) - n
-        for i in range(last + 2):
-            again = i <= last and times[body[i : i + n]] > 1
-            if again and open_ < 0:
-                open_ = i
-            elif not again and open_ >= 0:
-                out.append((p["_row"], p["at"] + open_, p["at"] + i - 1 + n))
-                open_ = -1
-    return out
+def rank_windows(data: np.ndarray, width: int) -> np.ndarray:
+    """Rank of the ``width`` bytes from each place, by doubling from seven on; bytes beyond the end count as zeros."""
+    known = min(7, width)
+    padded = np.append(data, np.zeros(width, dtype=data.dtype)).astype(np.int64)
+    ranks = sum(padded[i : i + len(data)] << (8 * (known - 1 - i)) for i in range(known))
+    ranks = np.unique(ranks, return_inverse=True)[1]
+    while known < width:
+        step = min(known, width - known)
+        ahead = np.append(ranks[step:], np.zeros(step, dtype=np.int64))
+        ranks = np.unique(ranks * len(data) + ahead, return_inverse=True)[1]
+        known += step
+    return ranks
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` in the order of their suffixes cut at ``depth`` bytes, and where a suffix has these in common with the last."""
+    ranks = rank_windows(data, depth)[starts]
+    order = np.argsort(ranks, kind="stable")
+    in_order = ranks[order]
+    return starts[order], np.concatenate(([False], in_order[1:] == in_order[:-1]))
+
+
+def compare_dictionary(phrases: list[dict], n: int) -> list[tuple[int, int, int]]:
+    """Spans (_row, start, end) of the strings of n bytes that phrases of one occurrence share with others.
+
+    The dictionary's suffix array gives them: neighbours with n bytes in common stand for as many occurrences as their phrases
+    have in the parse.
+    """
+    data = np.frombuffer(b"\0".join([*(p["body"] for p in phrases), b""]), dtype=np.uint8)
+    sizes = np.array([len(p["body"]) for p in phrases])
+    occurs, row, at = (np.array([p[c] for p in phrases]) for c in ("occurs", "_row", "at"))
+    phrase = np.repeat(np.arange(len(phrases)), sizes + 1)
+    inside = np.arange(len(data)) - (np.cumsum(sizes + 1) - sizes - 1)[phrase]
+    order, same = suffix_array(data, np.flatnonzero(inside + n <= sizes[phrase]), n)
+    group = np.cumsum(~same)
+    times = np.bincount(group, occurs[phrase[order]])[group]
+    again = np.zeros(len(data) + 1, dtype=np.int8)
+    again[order] = (times > 1) & (occurs[phrase[order]] == 1)
+    # the place after a phrase begins no string of n bytes, so that runs end with their phrase
+    edges = np.flatnonzero(np.diff(again, prepend=0))
+    first, last = edges[::2], edges[1::2] - 1
+    owner = phrase[first]
+    return list(zip(row[owner].tolist(), (at[owner] + inside[first]).tolist(), (at[owner] + inside[last] + n).tolist(), strict=True))
 
 
 def bucket_spans(bodies: DataFrame, n: int) -> DataFrame:
-    """Spans found among the phrases of each trigger, gathered in one task."""
+    """Spans found in suffix arrays of parts of the dictionary that hold all phrases of their triggers."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def spans(part: list[dict]) -> pd.DataFrame:
+            return pd.DataFrame(compare_dictionary(part, n), columns=["_row", "start", "end"])
+
         for batch in batches:
-            yield pd.DataFrame([s for phrases in batch["phrases"] for s in compare_bucket(phrases, n)], columns=["_row", "start", "end"])
+            part, size = [], 0
+            for phrases in batch["phrases"]:
+                part += list(phrases)
+                size += sum(len(p["body"]) for p in phrases)
+                if size >= PART_BYTES:
+                    yield spans(part)
+                    part, size = [], 0
+            if part:
+                yield spans(part)
 
     grouped = bodies.groupBy("trigger").agg(F.collect_list(F.struct("occurs", "_row", "at", "body")).alias("phrases"))
     return grouped.select("phrases").mapInPandas(compare, "_row long, start long, end long")
