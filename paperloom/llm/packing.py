@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from paperloom.session import new_folder, stored
 
 WINDOW = 2048
 WEIGHT_UNIT = 1 << 24
+ROWS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -158,23 +160,33 @@ class Schedule:
 def _encoded(docs: DataFrame, definition: str) -> DataFrame:
     """doc_id, queue, ids, n, and the task with the place of the document among the tokens of its queue there."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "doc_id string, queue long, task long, begin long, n long, ids binary"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, sent, task = shared_tokenizer(definition), {}, TaskContext.get().partitionId()
         end = np.array([END_ID], dtype="<u2").tobytes()
-        for batch in batches:
-            ids = [x + end for x in tokenizer.encode(batch["text"].tolist())]
-            begin = []
-            for queue, x in zip(batch["queue"].tolist(), ids, strict=True):
-                begin.append(sent.get(queue, 0))
-                sent[queue] = begin[-1] + len(x) // 2
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "queue": batch["queue"], "task": task, "begin": begin, "n": [len(x) // 2 for x in ids], "ids": ids}
-            )
+        for whole in batches:
+            # texts become Python strings a few at a time
+            for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                ids = [x + end for x in tokenizer.encode(batch.column("text").to_pylist())]
+                begin = []
+                for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
+                    begin.append(sent.get(queue, 0))
+                    sent[queue] = begin[-1] + len(x) // 2
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        batch.column("queue"),
+                        pa.array([task] * len(ids), pa.int64()),
+                        pa.array(begin, pa.int64()),
+                        pa.array([len(x) // 2 for x in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
+                    ],
+                    ["doc_id", "queue", "task", "begin", "n", "ids"],
+                )
 
     # ids travel as text, which keeps large ones exact beside nulls
-    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        encode, "doc_id string, queue long, task long, begin long, n long, ids binary"
-    )
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(encode, schema)
 
 
 def _queues(docs: DataFrame, max_queues: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token ids of a public word-level BPE, with a cache over words.
 
 The tokenizer lower-cases, drops white space and splits letters, digits and marks before it merges, so a text's ids are the
-ids of its chunks between blanks one after the other, and those of a chunk the ids of its runs of letters and of other
-characters. Runs of letters go straight to the merges, spelt in the characters that stand for their bytes there. Chunks whose
+ids of its chunks between blanks one after the other, and those of a chunk the ids of its runs of letters, single digits and
+runs of marks. Runs of letters go straight to the merges, spelt in the characters that stand for their bytes there. Chunks whose
 splitting or normal form could cross such a run (characters beyond Latin-1, apostrophes, special tokens) are encoded whole.
 """
 
@@ -15,11 +15,12 @@ from types import ModuleType
 
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
+CACHE_RUNS = 250_000
 CACHE_CHARS = 64
 END_ID = 1
 _PLAIN = re.compile(r"[\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
-_RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff]+").findall
+_RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^0-9a-z\xdf-\xf6\xf8-\xff]+").findall
 _LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
 
@@ -70,7 +71,7 @@ class WordTokenizer:
         for text in texts:
             if len(self.chunks) > CACHE_CHUNKS:
                 self.chunks.clear()
-            if len(self.runs) > CACHE_CHUNKS:
+            if len(self.runs) > CACHE_RUNS:
                 self.runs.clear()
             out.append(b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
         return out
