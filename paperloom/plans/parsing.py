@@ -9,7 +9,8 @@ from paperloom.functions.scale import spread
 from paperloom.operators import enrichment as E
 from paperloom.operators import parsing as P
 from paperloom.plans.registry import query, shared_sql
-from paperloom.session import stored
+from paperloom.session import new_folder, stored
+from paperloom.sources import tables
 from paperloom.sources.views import Source
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -269,6 +270,21 @@ def explode_children(src: Source):
     return result
 
 
+@query(
+    "write_child_tables",
+    """SELECT 'revision_history' AS table_name, count(*) AS n FROM history_rows
+UNION ALL SELECT 'comments_response', count(*) FROM comment_rows
+UNION ALL SELECT 'legend_symbols', count(*) FROM legend_rows
+UNION ALL SELECT 'equipment_ratings', count(*) FROM equipment_rows
+UNION ALL SELECT 'drawing_index', count(*) FROM index_rows""",
+)
+def write_child_tables(src: Source):
+    root = new_folder(src.spark, "tables")
+    children = P.explode_children(stored(P.parse_documents(drawings(src)), "parsed"))
+    tables.write_tables(children, root)
+    return tables.table_counts({name: tables.read_table(src.spark, root, name) for name in children})
+
+
 # Merging of model responses
 
 

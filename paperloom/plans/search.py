@@ -238,14 +238,14 @@ def metadata_filters(src: Source):
     return hits.select("query_id", "chunk_id", _nine(), "rank")
 
 
-def _list_search(src: Source):
+def _list_search(src: Source, probes: int = 20):
     chunks = src.search_chunks.select("chunk_id", "document_id", "level", "embedding")
     centres = V.train_lists(V.usable_chunks(chunks, DIM), lists=100)
     path = new_folder(src.spark, "lists")
     V.write_lists(V.assign_lists(chunks, centres), path)
     listed = src.spark.read.parquet(path)
     return V.vector_topk_lists(
-        src.vector_queries, listed, src.ref_documents, centres, 2 * LIMIT, DIM, probes=20
+        src.vector_queries, listed, src.ref_documents, centres, 2 * LIMIT, DIM, probes=probes
     )
 
 
@@ -260,6 +260,22 @@ def vector_topk_ivf_recall(src: Source):
     return V.recall(_list_search(src), exact)
 
 
+@query("vector_topk_all_lists", _label_hits(""))
+def vector_topk_all_lists(src: Source):
+    """A search that probes every list finds what the exact one does."""
+    return _list_search(src, probes=100).select("query_id", "chunk_id", _nine(), "rank")
+
+
+@query(
+    "vector_topk_ivf_recall_bound",
+    f"""SELECT count(*) AS hits, true AS enough FROM ({_label_hits("")})""",
+)
+def vector_topk_ivf_recall_bound(src: Source):
+    """At least half of the exact hits are found in a fifth of the lists."""
+    exact = V.vector_topk(src.vector_queries, src.search_chunks, src.ref_documents, 2 * LIMIT, DIM)
+    return V.recall(_list_search(src), exact).select("hits", (F.col("recall") >= 0.5).alias("enough"))
+
+
 @query("build_text_index", "SELECT term, chunk_id, CAST(tf AS INT) AS tf, CAST(chunk_terms AS INT) AS chunk_terms FROM text_index")
 def build_text_index(src: Source):
     return T.build_text_index(corpus_chunks(src))

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import content_hash
 from paperloom.operators import admission as A
 from paperloom.sources.files import format_table, route_format, scan_files
 from paperloom.sources.tables import read_table, rewrite_partitions, write_tables
@@ -65,6 +68,8 @@ def test_files_and_tables(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(name.encode())
     found = scan_files(spark, str(tmp_path / "in"))
     assert sorted(bytes(r.content) for r in found.collect()) == [b"a.pdf", b"b.pdf"]
+    hashed = found.select("length", content_hash(F.col("content"))).collect()
+    assert sorted(tuple(r) for r in hashed) == sorted((5, hashlib.sha256(x).hexdigest()) for x in (b"a.pdf", b"b.pdf"))
     documents = spark.createDataFrame([(1, "ELC"), (2, "MEC")], "id long, discipline string")
     write_tables({"documents": documents}, str(tmp_path / "t"))
     changed = spark.createDataFrame([(5, "MEC")], "id long, discipline string")
