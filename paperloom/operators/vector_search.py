@@ -21,6 +21,7 @@ from pyspark.sql.types import DataType
 
 from paperloom.constants import CHILD, VECTOR_LISTS
 from paperloom.functions.scale import broadcast_if_small, salt_of
+from paperloom.session import stored
 
 # Queries that may be sent to every task: 4096 vectors of 384 doubles are 12 MB.
 MAX_SENT_QUERIES = 4096
@@ -283,8 +284,13 @@ def vector_topk_lists(
     document_ids: DataFrame | None = None,
     max_sent: int = MAX_SENT_QUERIES,
     block_chunks: int = BLOCK_CHUNKS,
+    reach: np.ndarray | None = None,
 ) -> DataFrame:
-    """Approximate search: each query looks into its ``probes`` nearest lists of the chunks from ``assign_lists``."""
+    """Search over lists: each query looks into its ``probes`` nearest lists of the chunks from ``assign_lists``.
+
+    With the ``reach`` of the lists, a second pass looks into every other list that can still hold one of the k best, and
+    the hits are those of :func:`vector_topk`. Without it they are approximate: what lies in other lists is not found.
+    """
     allowed = metadata_filters(usable_chunks(listed, dim), documents, discipline, document_ids)
     right = queries.where(F.size("embedding") == dim)
     rows = _taken(right, max_sent)
@@ -294,31 +300,93 @@ def vector_topk_lists(
         spread = assign_probes(right, centres, probes)
         scored = _score_blocks(spread, allowed, k, max_sent, block_chunks)
     else:
+        ids, kind = [r["query_id"] for r in rows], queries.schema["query_id"].dataType
         matrix = _unit(np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), dim))
         probed = nearest_lists(matrix, centres, probes)
-        wanted = sorted({int(n) for n in probed.reshape(-1)})
-        scored = _score_sent(
-            allowed.where(F.col("list_id").isin(wanted)), [r["query_id"] for r in rows], queries.schema["query_id"].dataType,
-            matrix, k, probed,
-        )
-    return rank_hits(scored.where(~F.isnan("score")), k)
+        scored = _score_sent(_of_lists(allowed, probed), ids, kind, matrix, k, probed)
+    hits = rank_hits(scored.where(~F.isnan("score")), k)
+    if reach is None or probes >= len(centres):
+        return hits
+    hits = stored(hits, "probed-hits")
+    floors = hits.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    if rows is None:
+        spread = assign_probes(right.join(floors, "query_id", "left"), centres, probes, reach)
+        more = _score_blocks(stored(spread, "further-probes"), allowed, k, max_sent, block_chunks)
+    else:
+        known = {r["query_id"]: r["floor"] for r in floors.collect()}
+        further = further_lists(matrix, centres, probes, reach, np.array([known.get(q, -np.inf) for q in ids]))
+        if not further.any():
+            return hits
+        # lists that a query does not look into are numbered -1
+        wanted = np.where(further, np.arange(len(centres)), -1)
+        more = _score_sent(_of_lists(allowed, wanted), ids, kind, matrix, k, wanted)
+    return rank_hits(hits.drop("rank").union(more.where(~F.isnan("score"))), k)
+
 
+def _of_lists(chunks: DataFrame, numbers: np.ndarray) -> DataFrame:
+    return chunks.where(F.col("list_id").isin(np.unique(numbers).tolist()))
 
-def assign_probes(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """One row per query and list to look into."""
-    sent = queries.sparkSession.sparkContext.broadcast(centres)
+
+def list_reach(listed: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Per list the largest angle between its centre and a vector in it; below zero for a list without any.
+
+    One pass over the lists, made once for a layout. Filters leave out vectors only, so that it bounds filtered searches too.
+    """
+    sent = listed.sparkSession.sparkContext.broadcast(centres)
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(sent.value), np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                numbers = batch.column(1).to_numpy(zero_copy_only=False)
+                near = (_unit(_matrix(batch.column(0))) * sent.value[numbers]).sum(axis=1)
+                np.fmin.at(least, numbers, near)
+        some = np.flatnonzero(np.isfinite(least))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(least[some])], ["list_id", "near"])
+
+    right = listed.where(F.size("embedding") == centres.shape[1]).select("embedding", "list_id")
+    reach = np.full(len(centres), -1.0)
+    for r in right.mapInArrow(farthest, "list_id int, near double").groupBy("list_id").agg(F.min("near").alias("near")).collect():
+        reach[r["list_id"]] = np.arccos(np.clip(r["near"], -1.0, 1.0))
+    return reach
+
+
+def further_lists(matrix: np.ndarray, centres: np.ndarray, probes: int, reach: np.ndarray, floors: np.ndarray) -> np.ndarray:
+    """For each query and list: whether the list is not probed and can hold a vector as good as the query's floor.
+
+    No vector is nearer to the query than the angle to its list's centre less the list's reach.
+    """
+    near = np.arccos(np.clip(matrix @ centres.T, -1.0, 1.0)) - reach
+    best = np.where(near > 0, np.cos(np.maximum(near, 0.0)), 1.0)
+    # as much as rounding can move an angle near zero, and equal scores count
+    able = (reach >= 0) & ~(best < floors[:, None] - 1e-6)
+    np.put_along_axis(able, nearest_lists(matrix, centres, probes), False, axis=1)
+    return able
+
+
+def assign_probes(queries: DataFrame, centres: np.ndarray, probes: int, reach: np.ndarray | None = None) -> DataFrame:
+    """One row per query and list to look into; with ``reach``, the lists to look into after that, given the ``floor``."""
+    sent = queries.sparkSession.sparkContext.broadcast((centres, reach))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, reach = sent.value
         for batch in batches:
-            near = nearest_lists(_unit(_matrix(batch.column(1))), sent.value, probes).astype(np.int32)
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+            if batch.num_rows == 0:
+                continue
+            matrix = _unit(_matrix(batch.column(1)))
+            if reach is None:
+                near = nearest_lists(matrix, centres, probes)
+                rows, numbers = np.repeat(np.arange(batch.num_rows), near.shape[1]), near.reshape(-1)
+            else:
+                floors = batch.column(2).to_numpy(zero_copy_only=False)
+                rows, numbers = np.nonzero(further_lists(matrix, centres, probes, reach, np.nan_to_num(floors, nan=-np.inf)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(near.reshape(-1))],
+                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(numbers.astype(np.int32))],
                 ["query_id", "embedding", "list_id"],
             )
 
     kinds = dict(queries.dtypes)
-    return queries.select("query_id", "embedding").mapInArrow(
+    return queries.select("query_id", "embedding", *["floor"] * (reach is not None)).mapInArrow(
         spread, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, list_id int"
     )
 

@@ -100,6 +100,38 @@ def test_recall_on_test_vectors(spark):
     assert row.recall >= 0.5
 
 
+def test_lists_with_their_reach_find_all_hits(spark, vectors):
+    queries, chunks, documents = vectors
+    usable = V.usable_chunks(chunks, DIM)
+    centres = V.train_lists(usable.where("chunk_id != 'zero'"), lists=12)
+    listed = V.assign_lists(usable, centres)
+    reach = V.list_reach(listed, centres)
+    want = brute(queries, chunks, documents, 7, set(range(9)))
+    assert ids(V.vector_topk_lists(queries, listed, documents, centres, 7, DIM, probes=1)) != want
+    assert ids(V.vector_topk_lists(queries, listed, documents, centres, 7, DIM, probes=1, reach=reach)) == want
+    blocks = V.vector_topk_lists(queries, listed, documents, centres, 7, DIM, probes=1, max_sent=3, block_chunks=25, reach=reach)
+    assert ids(blocks) == want
+    # so few chunks pass that a query's own lists hold less than k of them
+    few = spark.createDataFrame([(3,)], "id long")
+    filtered = V.vector_topk_lists(queries, listed, documents, centres, 7, DIM, probes=1, document_ids=few, reach=reach)
+    assert ids(filtered) == brute(queries, chunks, documents, 7, {3})
+
+
+def test_lists_out_of_reach_are_not_read():
+    centres = np.eye(3)
+    able = V.further_lists(np.array([[1.0, 0.0, 0.0]] * 2), centres, 1, np.array([0.1, 0.2, -1.0]), np.array([0.9, -np.inf]))
+    assert able.tolist() == [[False, False, False], [False, True, False]]
+
+
+def test_list_search_of_the_query_finds_nine_tenths(spark):
+    from paperloom.plans.catalogue import spark_queries
+
+    asked = spark_queries()
+    row = asked["vector_topk_ivf_recall"](spark, "/root/testdata/sf0.01").collect()[0]
+    assert row.recall >= 0.9
+    assert asked["vector_topk_ivf_recall_bound"](spark, "/root/testdata/sf0.01").collect()[0].enough
+
+
 WORDS = ["pump", "valve", "motor", "panel", "cable", "relay"]
 
 
