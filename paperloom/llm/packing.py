@@ -1,16 +1,16 @@
 """Mixture-controlled packing of all documents into sequences of a fixed number of tokens.
 
-Sources are queues of tokens. Deficit round-robin credits each queue with its share of every window and sends the whole
-tokens of the credit; what is owed (the deficit, under one token) is carried to the next window, and the queue with the
-largest share, last in turn, fills up the window. After k windows a queue has thus sent floor(k * window * weight / total),
-so every window is full, and every queue but the largest stays within a token of its target. A round holds until a queue runs dry; then the last tokens
-of such queues are sent and the rest share the window anew. The rounds depend on one total per queue only and are planned on
-the driver. There are at most ``sqrt(window)`` queues, which keeps the largest share above the number of deficits it makes
-good; further sources share queues by hash.
+Every source is a queue of tokens, however many there are. The queues are the leaves of a binary tree, heaviest first, each
+node cut where its weight is nearest to halved. Of the first m tokens of a node, its left child sends m times its share,
+rounded half up, and the right child the rest: all of these counts only grow, and they add up to m. Deficits are thus carried
+from window to window without being passed on, and the first k windows hold k * window tokens of which every queue has sent its
+share to within two tokens, since no child of two leaves or more has over two thirds of its parent. Within a window, queues
+follow each other in the order of the tree. A round holds until a queue runs dry; the rest then share anew. Queues without weight
+wait until those with weight are dry and then share by what they have. The driver keeps a few numbers per queue and round.
 
 Positions are exact without passing documents through one place: each task counts its queues from zero while it writes
 token ids, and the totals per (task, queue) give where the task's queues begin, so deficits carry across partitions as well.
-Every document then computes its own pieces; token ids are never shuffled.
+Every document then computes its own pieces; token ids are shuffled only if totals per (task, queue) are too many to be broadcast.
 
 Null and empty texts are one end id. A null source is a queue of its own. Repeated rows are packed repeatedly. An empty table
 gives no pieces. Only the last sequence can be short.
@@ -18,10 +18,9 @@ gives no pieces. Only the last sequence can be short.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -41,59 +40,80 @@ ROWS_AT_ONCE = 256
 
 @dataclass(frozen=True)
 class Round:
-    """Windows of one division: from ``first`` on, ``windows`` of them, queue j having sent ``sent[j]`` tokens before.
+    """``length`` tokens after the first ``first``. Its ``queues``, heaviest first, had ``sent`` as many tokens before.
 
-    Queues have ``weights``; in a round of one window, ``share`` gives the tokens of each instead.
+    ``ends`` are the running sums of their weights, with a zero in front.
     """
 
     first: int
-    windows: int
-    sent: tuple[int, ...]
-    weights: tuple[int, ...]
-    share: tuple[int, ...] | None = None
-
-
-def _largest(weights: tuple[int, ...] | list[int]) -> int:
-    return max(range(len(weights)), key=lambda j: weights[j])
-
-
-def _sent_after(k: int, weights: list[int], window: int) -> list[int]:
-    whole = sum(weights)
-    sent, last = [k * window * w // whole for w in weights], _largest(weights)
-    sent[last] += k * window - sum(sent)
-    return sent
+    length: int
+    queues: np.ndarray
+    sent: np.ndarray
+    ends: np.ndarray
+
+    def path(self, member: int) -> list[tuple[int, int, bool]]:
+        """From the root to a leaf: the weight of the node, that of its left child, and whether the way goes left."""
+        low, high, steps = 0, len(self.queues), []
+        while high - low > 1:
+            start, end = int(self.ends[low]), int(self.ends[high])
+            cut = int(np.searchsorted(self.ends[low + 1 : high], (start + end) // 2)) + low + 1
+            if cut == high or (cut > low + 1 and start + end - 2 * int(self.ends[cut - 1]) <= 2 * int(self.ends[cut]) - start - end):
+                cut -= 1
+            left = member < cut
+            steps.append((end - start, int(self.ends[cut]) - start, left))
+            low, high = (low, cut) if left else (cut, high)
+        return steps
+
+    def fits(self, dtype: type) -> bool:
+        """Whether twice a number of tokens times a weight can be held."""
+        return 2 * (self.length + 1) * int(self.ends[-1]) <= np.iinfo(dtype).max
+
+
+def _sent(path: list[tuple[int, int, bool]], m):
+    """Of the first ``m`` tokens, how many the queues in front of a leaf have sent, and how many its own."""
+    before = m * 0
+    for whole, left, to_left in path:
+        part = (2 * m * left + whole) // (2 * whole)
+        if to_left:
+            m = part
+        else:
+            before, m = before + part, m - part
+    return before, m
+
+
+def _position(path: list[tuple[int, int, bool]], i):
+    """Place in the round of the leaf's token number ``i``."""
+    for whole, left, to_left in reversed(path):
+        if to_left:
+            i = -(-(2 * i + 1) * whole // (2 * left)) - 1
+        else:
+            i = (2 * i + 1) * whole // (2 * (whole - left))
+    return i
 
 
 def plan_rounds(totals: list[int], weights: list[int], window: int = WINDOW) -> list[Round]:
-    """Rounds that send all ``totals``; a queue without weight waits until those with weight are dry."""
-    left, rounds, first = list(totals), [], 0
-    while any(left):
-        live = [w if n else 0 for n, w in zip(left, weights, strict=True)]
-        if not any(live):
-            live = [1 if n else 0 for n in left]
-        sent = tuple(t - n for t, n in zip(totals, left, strict=True))
-        low, high = 0, sum(left) // window
-        while low < high:
-            middle = (low + high + 1) // 2
-            fits = all(s <= n for s, n in zip(_sent_after(middle, live, window), left, strict=True))
-            low, high = (middle, high) if fits else (low, middle - 1)
-        if low:
-            rounds.append(Round(first, low, sent, tuple(live)))
-            left = [n - s for n, s in zip(left, _sent_after(low, live, window), strict=True)]
-            first += low
-            continue
-        share, room = [0] * len(left), min(window, sum(left))
-        while room:
-            open_ = [w if n > s else 0 for n, s, w in zip(left, share, live, strict=True)]
-            if not any(open_):
-                open_ = [1 if n > s else 0 for n, s in zip(left, share, strict=True)]
-            for j, part in enumerate(_sent_after(1, open_, room)):
-                taken = min(part, left[j] - share[j])
-                share[j] += taken
-                room -= taken
-        rounds.append(Round(first, 1, sent, tuple(live), tuple(share)))
-        left = [n - s for n, s in zip(left, share, strict=True)]
-        first += 1
+    """Rounds that send all ``totals``, whatever the window; a queue without weight waits until those with weight are dry."""
+    left, totals, weights = (np.array(x, dtype=np.int64) for x in (totals, totals, weights))
+    rounds, first = [], 0
+    while left.any():
+        live = np.flatnonzero((left > 0) & (weights > 0))
+        if live.size:
+            shares = weights[live]
+        else:  # all run dry together
+            live = np.flatnonzero(left)
+            shares = left[live]
+        order = np.argsort(-shares, kind="stable")
+        live, shares = live[order], shares[order]
+        made = Round(first, int(left[live].sum()), live, (totals - left)[live], np.append(0, np.cumsum(shares)))
+        if not np.array_equal(shares, left[live]):
+            paths = [made.path(j) for j in range(len(live))]
+            dry = min(_position(p, n) for p, n in zip(paths, left[live].tolist(), strict=True))
+            made = replace(made, length=min(made.length, dry))
+            left[live] -= np.array([_sent(p, made.length)[1] for p in paths], dtype=np.int64)
+        else:
+            left[live] = 0
+        rounds.append(made)
+        first += made.length
     return rounds
 
 
@@ -102,58 +122,41 @@ class Schedule:
 
     def __init__(self, rounds: list[Round], window: int = WINDOW):
         self.rounds, self.window = rounds, window
-        self.turns: dict[tuple[int, int], tuple] = {}
-        self.sent = np.array([r.sent for r in rounds], dtype=np.int64).reshape(len(rounds), len(rounds[0].sent) if rounds else 0)
-
-    def _turn(self, i: int, queue: int) -> tuple[int, bool, np.ndarray]:
-        """Total weight of a round, whether ``queue`` is its last, and the weights in turn up to it, its own at the end."""
-        if (i, queue) not in self.turns:
-            weights = self.rounds[i].weights
-            last = _largest(weights)
-            before = [w for j, w in enumerate(weights) if w and j not in (last, queue) and (j < queue or queue == last)]
-            in_turn = before if queue == last else [*before, weights[queue]]
-            self.turns[i, queue] = sum(weights), queue == last, np.array(in_turn, dtype=np.int64)[:, None]
-        return self.turns[i, queue]
-
-    def _sent(self, i: int, queue: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the queues in turn before ``queue`` have sent after k windows of round i, and what it has sent itself."""
-        r = self.rounds[i]
-        if r.share is not None:
-            return k * int(sum(r.share[:queue])), k * r.share[queue]
-        whole, last, weight = self._turn(i, queue)
-        # (k * window * weight) // whole without leaving 64 bits
-        times, rest = np.divmod(k * self.window, whole)
-        each = times * weight + rest * weight // whole
-        if last:
-            before = each.sum(axis=0)
-            return before, k * self.window - before
-        return each[:-1].sum(axis=0), each[-1]
+        self.orders = [np.argsort(r.queues) for r in rounds]
+        self.known: dict[int, list[tuple]] = {}
+
+    def _turns(self, queue: int) -> list[tuple]:
+        """The rounds of a queue: the round, the queue's path, and what it has sent before and after."""
+        if queue not in self.known:
+            found = []
+            for r, order in zip(self.rounds, self.orders, strict=True):
+                at = int(np.searchsorted(r.queues, queue, sorter=order))
+                if at < len(order) and r.queues[order[at]] == queue:
+                    path, sent = r.path(order[at]), int(r.sent[order[at]])
+                    found.append((r, path, sent, sent + _sent(path, r.length)[1], np.int64 if r.fits(np.int64) else object))
+            self.known[queue] = found
+        return self.known[queue]
 
     def pieces(self, queue: int, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lengths of the pieces in order, the windows they go to, and their places there."""
-        found, at, stop = [], start, start + length
-        i = int(np.searchsorted(self.sent[:, queue], at, side="right")) - 1
-        while at < stop:
-            r = self.rounds[i]
-            inside, total = at - r.sent[queue], stop - r.sent[queue]
-            low, high = 0, 1
-            if r.share is None:
-                if not r.weights[queue]:
-                    i += 1
-                    continue
-                # the largest queue can be ahead of its share by a token of every other
-                slack, pace = len(r.weights) + 1, r.weights[queue] * self.window
-                whole = self._turn(i, queue)[0]
-                low = max(0, (inside - slack) * whole // pace - 1)
-                high = min(r.windows, -(-(total + slack) * whole // pace) + 1)
-            k = np.arange(low, high + 1, dtype=np.int64)
-            before, own = self._sent(i, queue, k)
-            take_from, take_to = np.maximum(own[:-1], inside), np.minimum(own[1:], total)
+        found, stop = [], start + length
+        for r, path, sent, after, kind in self._turns(queue):
+            inside, total = max(start, sent) - sent, min(stop, after) - sent
+            if inside >= total:
+                continue
+            low, high = ((r.first + _position(path, i)) // self.window for i in (inside, total - 1))
+            if high - low < total - inside:
+                k = np.arange(low, high + 1, dtype=np.int64)
+            else:  # a small share: most windows between hold none of it
+                at = _position(path, np.arange(inside, total, dtype=np.int64).astype(kind))
+                k = np.unique((r.first + at).astype(np.int64) // self.window)
+            edges = np.clip(np.concatenate((k, k + 1)) * self.window - r.first, 0, r.length)
+            before, own = (x.astype(np.int64) for x in _sent(path, edges.astype(kind)))
+            n = len(k)
+            take_from, take_to = np.maximum(own[:n], inside), np.minimum(own[n:], total)
             some = np.flatnonzero(take_to > take_from)
-            place = before[1:] - before[:-1] + take_from - own[:-1]
-            found.append((take_to[some] - take_from[some], r.first + k[some], place[some]))
-            at += int((take_to[some] - take_from[some]).sum())
-            i += 1
+            place = r.first + edges[:n] - k * self.window + before[n:] - before[:n] + take_from - own[:n]
+            found.append(((take_to - take_from)[some], k[some], place[some]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -189,12 +192,10 @@ def _encoded(docs: DataFrame, definition: str) -> DataFrame:
     return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(encode, schema)
 
 
-def _queues(docs: DataFrame, max_queues: int) -> DataFrame:
-    """Number of the queue by source: 0 is the null source, and beyond ``max_queues`` sources share by hash."""
+def _queues(docs: DataFrame) -> DataFrame:
+    """Number of the queue by source, not without gaps: 0 is the null source."""
     names = docs.select(F.col("source").alias("name")).where("name is not null").distinct()
-    if names.limit(max_queues).count() < max_queues:
-        return names.withColumn("queue", F.row_number().over(Window.orderBy("name")).cast("long"))
-    return names.withColumn("queue", F.pmod(F.xxhash64("name"), F.lit(max_queues - 1)) + 1)
+    return stored(names.withColumn("queue", F.monotonically_increasing_id() + 1), "queues")
 
 
 def pack(
@@ -205,8 +206,7 @@ def pack(
     ``targets`` gives the proportion of tokens per source, the sources not named having none until the others are dry;
     without it, the proportions are those of the corpus, so that all queues run dry together.
     """
-    spark, max_queues = docs.sparkSession, math.isqrt(window)
-    queues = stored(_queues(docs, max_queues), "queues")
+    spark, queues = docs.sparkSession, _queues(docs)
     # one row per source
     rows = docs.select("doc_id", "text", F.col("source").alias("name")).join(broadcast_if_small(queues), "name", "left")
     path = new_folder(spark, "token-ids")
@@ -218,17 +218,14 @@ def pack(
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     begins = stored(by_task.select("queue", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "queue-begins")
 
-    totals = [0] * max_queues
-    for r in by_task.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r["queue"]] = r["n"]
+    sums = by_task.groupBy("queue").agg(F.sum("n").alias("n")).toArrow().sort_by("queue")
+    numbers, totals = (sums.column(c).to_numpy() for c in ("queue", "n"))
     if targets is None:
-        shares = totals
+        weights = totals
     else:
-        shares = [0.0] * max_queues
-        for r in queues.where(F.col("name").isin(list(targets))).collect():
-            shares[r["queue"]] += targets[r["name"]]
-    most = sum(shares) or 1
-    weights = [max(1, round(s * WEIGHT_UNIT / most)) if s else 0 for s in shares]
+        shares = {r["queue"]: targets[r["name"]] for r in queues.where(F.col("name").isin(list(targets))).collect()}
+        most = sum(shares.values()) or 1
+        weights = [max(1, round(s * WEIGHT_UNIT / most)) if (s := shares.get(q)) else 0 for q in numbers.tolist()]
     schedule = Schedule(plan_rounds(totals, weights, window), window)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +233,7 @@ def pack(
             out = []
             for doc, queue, begin, n, ids in zip(*(batch[c].tolist() for c in ("doc_id", "queue", "at", "n", "ids")), strict=True):
                 wide = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                lengths, sequence, place = schedule.pieces(queue, begin, n)
+                lengths, sequence, place = schedule.pieces(int(np.searchsorted(numbers, queue)), begin, n)
                 start = 0
                 for length, s, p in zip(lengths.tolist(), sequence.tolist(), place.tolist(), strict=True):
                     out.append((doc, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, s, p))

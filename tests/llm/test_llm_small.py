@@ -288,6 +288,64 @@ def test_rounds_send_everything_once(weights):
     assert all(n == 16 for k, n in filled.items() if k != max(filled))
 
 
+def sent_by_window(schedule, totals):
+    sent = np.zeros((len(totals), -(-sum(totals) // schedule.window)), dtype=np.int64)
+    spans = defaultdict(list)
+    for q, n in enumerate(totals):
+        at = 0
+        while at < n:
+            step = min(n - at, 1 + (at * 7 + q) % 900)
+            lengths, window, place = schedule.pieces(q, at, step)
+            assert lengths.sum() == step
+            np.add.at(sent[q], window, lengths)
+            for k, a, x in zip(window.tolist(), place.tolist(), lengths.tolist(), strict=True):
+                spans[k].append((a, x))
+            at += step
+    for found in spans.values():
+        at = 0
+        for a, x in sorted(found):
+            assert a == at
+            at += x
+        assert at == schedule.window or found is spans[max(spans)]
+    return sent
+
+
+@pytest.mark.parametrize("queues", [46, 700])
+def test_many_sources_keep_their_mixture_in_every_window(queues):
+    draw = np.random.default_rng(queues)
+    totals = np.maximum(1, draw.pareto(0.7, queues) * 40).astype(int).clip(max=200_000).tolist()
+    sent = sent_by_window(packing.Schedule(packing.plan_rounds(totals, totals)), totals)
+    whole, run = sum(totals), np.cumsum(sent, axis=1)[:, :-1]
+    want = np.outer(totals, np.arange(1, run.shape[1] + 1) * 2048) / whole
+    assert np.abs(run - want).max() < 2
+
+
+def test_sources_not_named_wait_among_many():
+    totals, weights = [500 + 11 * i for i in range(90)], [0] * 90
+    weights[7], weights[50] = 3, 1
+    sent = sent_by_window(packing.Schedule(packing.plan_rounds(totals, weights, 64), 64), totals)
+    named = (totals[7] + totals[50]) // 64
+    others = np.delete(sent, [7, 50], axis=0).sum(axis=0)
+    assert not others[:named].any() and others[named + 1 :].all()
+    assert np.abs(3 * sent[50, :9].cumsum() - sent[7, :9].cumsum()).max() <= 8
+
+
+def test_large_counts_stay_exact():
+    totals = [10**12 + 7, 3 * 10**12 + 1, 5, 10**6]
+    schedule = packing.Schedule(packing.plan_rounds(totals, totals))
+    for q, n in enumerate(totals):
+        lengths, window, place = schedule.pieces(q, n - 5, 5)
+        assert lengths.sum() == 5 and window.max() <= sum(totals) // 2048 and (place >= 0).all()
+
+
+def test_packing_of_more_sources_than_the_window_has_room_for(spark):
+    docs = [(i, f"word {i} " * (1 + i % 5 * 8), f"s{i % 60}") for i in range(240)]
+    pieces = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), tokenizer_path(), {"s3": 1.0}).collect()
+    check_packing([d[:2] for d in docs], pieces)
+    named = [p for p in pieces if p.doc_id % 60 == 3]
+    assert sorted((p.sequence_id, p.offset) for p in pieces)[: len(named)] == sorted((p.sequence_id, p.offset) for p in named)
+
+
 def test_additive_model_learns_single_features_and_a_pair():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(4000, len(quality_gam.FEATURES)))
