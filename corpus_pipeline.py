@@ -30,8 +30,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all remaining documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of all remaining documents, with their token ids, in sequences of 2048 tokens."""
+    return packing.pieces(docs, tokenizer_path())
 
 
 STAGES = [

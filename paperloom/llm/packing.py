@@ -18,12 +18,10 @@ gives no pieces. Only the last sequence can be short.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -198,10 +196,13 @@ def _queues(docs: DataFrame) -> DataFrame:
     return stored(names.withColumn("queue", F.monotonically_increasing_id() + 1), "queues")
 
 
-def pack(
+def pieces(
     docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = WINDOW
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+
+    ``ids`` are the token ids of the piece as 32-bit little-endian numbers. The pieces of a sequence in order of their
+    offsets are the sequence; see :func:`sequences`.
 
     ``targets`` gives the proportion of tokens per source, the sources not named having none until the others are dry;
     without it, the proportions are those of the corpus, so that all queues run dry together.
@@ -228,23 +229,47 @@ def pack(
         weights = [max(1, round(s * WEIGHT_UNIT / most)) if (s := shares.get(q)) else 0 for q in numbers.tolist()]
     schedule = Schedule(plan_rounds(totals, weights, window), window)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, queue, begin, n, ids in zip(*(batch[c].tolist() for c in ("doc_id", "queue", "at", "n", "ids")), strict=True):
-                wide = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                lengths, sequence, place = schedule.pieces(int(np.searchsorted(numbers, queue)), begin, n)
-                start = 0
-                for length, s, p in zip(lengths.tolist(), sequence.tolist(), place.tolist(), strict=True):
-                    out.append((doc, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, s, p))
-                    start += length
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    columns = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # ids are twice as wide when they leave, so a few documents at a time
+            for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                queue = np.searchsorted(numbers, batch.column("queue").to_numpy()).tolist()
+                found = [schedule.pieces(*x) for x in zip(queue, batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+                lengths, sequence, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                owner = np.repeat(np.arange(batch.num_rows), [len(x[0]) for x in found])
+                ends, tokens = np.cumsum(lengths), batch.column("n").to_numpy()
+                start = ends - lengths - (np.cumsum(tokens) - tokens)[owner]
+                ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u2").astype("<u4")
+                edges = (4 * np.append(0, ends)).astype(np.int32)
+                cut_ids = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(owner)), pa.array(start), pa.array(lengths), cut_ids,
+                     pa.array(tokens[owner]), pa.array(sequence), pa.array(place)],
+                    columns,
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = encoded.join(broadcast_if_small(begins), ["queue", "task"]).select(
         "doc_id", "queue", (F.col("before") + F.col("begin")).alias("at"), "n", "ids"
     )
-    packed = placed.mapInPandas(
-        cut, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    packed = placed.mapInArrow(
+        cut, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
     return packed.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The packed sequences, from their pieces: sequence_id, n_tokens, ids."""
+    joined = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return joined.select("sequence_id", ids.alias("ids")).select("sequence_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+def pack(
+    docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None = None, window: int = WINDOW
+) -> DataFrame:
+    """The pieces with the CRC-32 of their ids as ids_crc32 in place of them."""
+    packed = pieces(docs, tokenizer_path, targets, window)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

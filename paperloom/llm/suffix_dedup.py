@@ -19,19 +19,20 @@ Phrases are told apart by 128-bit XXH3 hashes of their bytes, as are dealt-out s
 search. A text is known by the number of its row in a copy written once, so that repeated rows and ids are separate documents.
 
 Null texts are empty. Texts shorter than n lose nothing. All copies of a repeated string lose it. A null id is passed on, and
-an empty table gives an empty result. Columns other than id and text are not read.
+an empty table gives an empty result. Other columns are passed on.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paperloom.functions.scale import is_small
 from paperloom.session import Scratch, stored
@@ -40,6 +41,7 @@ MIN_BYTES = 200
 BROADCAST_ROW_NUMBERS = 1_000_000
 BUCKET = 4096
 PART_BYTES = 1 << 18
+ROWS_AT_ONCE = 256
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -268,35 +270,39 @@ def repeated_spans(texts: DataFrame, n: int, scratch: Scratch, bucket: int = BUC
     return whole.union(near).union(suffix_spans(bodies.where(F.col("k") > bucket), n, scratch))
 
 
-REPORT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-            data = text.encode()
-            merged: list[list[int]] = []
-            for a, b in sorted((s["start"], s["end"]) for s in spans) if spans is not None else ():
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            edges = [0, *(x for span in merged for x in span), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((doc, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def without_repeats(docs: DataFrame, n: int = MIN_BYTES, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that are left."""
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    scratch = Scratch(spark)
-    # ids travel as text, which keeps large ones exact beside nulls
-    copy = Scratch(spark).stored(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-        ),
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+            kept, removed = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                data = text.encode()
+                merged: list[list[int]] = []
+                for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(b, merged[-1][1])
+                    else:
+                        merged.append([a, b])
+                edges = [0, *(x for span in merged for x in span), len(data)]
+                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                removed.append([{"start": a, "end": b} for a, b in merged])
+            spans = pa.array(removed, batch.schema.field("spans").type)
+            sizes = pa.array([len(k) + sum(s["end"] - s["start"] for s in r) for k, r in zip(kept, removed, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), sizes, spans, pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
+
+
+def deduplicated(docs: DataFrame, n: int = MIN_BYTES, bucket: int = BUCKET) -> DataFrame:
+    """All columns of the documents but the text, with n_bytes, spans and kept.
+
+    ``spans`` are the bytes removed, from ``start`` to before ``end``, in order and apart; ``kept`` are the bytes that are
+    left, as binary, since a repeated string may begin or end within a character.
+    """
+    scratch = Scratch(docs.sparkSession)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    copy = Scratch(docs.sparkSession).stored(
+        docs.select(F.struct(*others).alias("row"), F.monotonically_increasing_id().alias("_row"), F.coalesce("text", F.lit("")).alias("text")),
         "texts",
         compression="zstd",
     )
@@ -304,15 +310,23 @@ def without_repeats(docs: DataFrame, n: int = MIN_BYTES, bucket: int = BUCKET) -
     lists = stored(spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     scratch.drop()
     numbers = lists.select("_row")
+    schema = StructType().add("row", copy.schema["row"].dataType).add("n_bytes", "long").add("spans", lists.schema["spans"].dataType).add("kept", "binary")
     if is_small(numbers, BROADCAST_ROW_NUMBERS):
         untouched = copy.join(F.broadcast(numbers), "_row", "left_anti").select(
-            "doc_id",
-            F.octet_length("text").cast("long").alias("n_bytes"),
-            F.lit(0).cast("long").alias("n_removed"),
-            F.lit(0).cast("long").alias("n_spans"),
-            F.sha2("text", 256).alias("kept_sha256"),
+            "row", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(SPANS).alias("spans"), F.col("text").cast("binary").alias("kept")
         )
-        cut = _beside(copy, lists).mapInPandas(_cut, REPORT).union(untouched)
+        cut = _beside(copy, lists).select("row", "text", "spans").mapInArrow(_cut, schema).union(untouched)
     else:
-        cut = copy.join(lists, "_row", "left").mapInPandas(_cut, REPORT)
-    return cut.withColumn("doc_id", F.col("doc_id").cast(kind))
+        cut = copy.join(lists, "_row", "left").select("row", "text", "spans").mapInArrow(_cut, schema)
+    return cut.select("row.*", "n_bytes", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, n: int = MIN_BYTES, bucket: int = BUCKET) -> DataFrame:
+    """Figures of :func:`deduplicated`: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that are left."""
+    return deduplicated(docs.select("doc_id", "text"), n, bucket).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

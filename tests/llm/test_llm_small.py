@@ -346,6 +346,32 @@ def test_packing_of_more_sources_than_the_window_has_room_for(spark):
     assert sorted((p.sequence_id, p.offset) for p in pieces)[: len(named)] == sorted((p.sequence_id, p.offset) for p in named)
 
 
+def test_packed_sequences_hold_the_ids_of_all_documents(odd, none):
+    plain = Tokenizer.from_file(tokenizer_path())
+    want = sorted([*plain.encode(t or "", add_special_tokens=False).ids, 1] for _, t, *_ in ODD)
+    packed = packing.pieces(odd, tokenizer_path(), window=64)
+    rows, whole = packed.collect(), {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    assert all(len(r.ids) == 4 * r.length for r in rows)
+    assert all(r.n_tokens == 64 for s, r in whole.items() if s != max(whole))
+    # a document's ids, read from the sequences at the places of its pieces
+    found = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id or 0, r.doc_tokens, r.start, r.sequence_id)):
+        at = np.frombuffer(whole[r.sequence_id].ids, dtype="<u4")[r.offset : r.offset + r.length].tolist()
+        assert at == np.frombuffer(r.ids, dtype="<u4").tolist()
+        found[r.doc_id, r.doc_tokens].append((r.start, at))
+    single = [sum((ids for _, ids in x), []) for (d, _), x in found.items() if d != 4]
+    assert sorted(single) == sorted([*plain.encode(t or "", add_special_tokens=False).ids, 1] for d, t, *_ in ODD if d != 4)
+    assert sum(len(r.ids) // 4 for r in rows) == sum(map(len, want))
+    assert packing.sequences(packing.pieces(none, tokenizer_path())).count() == 0
+
+
+def test_the_pipeline_ends_in_token_ids(spark, odd):
+    import corpus_pipeline
+
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, "")
+    assert {"ids", "sequence_id", "offset"} <= set(last.columns)
+
+
 def test_additive_model_learns_single_features_and_a_pair():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(4000, len(quality_gam.FEATURES)))
@@ -424,3 +450,18 @@ def test_repeated_passages_by_shuffle(spark, monkeypatch):
 def test_repeated_passages_of_the_corpus(table):
     got = suffix_dedup.without_repeats(table("documents")).collect()
     assert sorted(tuple(r) for r in got) == brute_repeats([(r.doc_id, r.text) for r in table("documents").collect()], 200)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_deduplicated_texts_and_their_columns(spark, monkeypatch, rows):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROW_NUMBERS", rows)
+    docs = [(1, "abc" + "repeated é passage" + "xyz", "a", 2**60 + 1), (2, "repeated é passage", None, None), (None, "", "c", 3), (4, None, "d", 4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, _row long")
+    got = {r.doc_id: r for r in suffix_dedup.deduplicated(frame, 12).collect()}
+    assert suffix_dedup.deduplicated(frame, 12).columns == ["doc_id", "lang", "_row", "n_bytes", "spans", "kept"]
+    assert {d: (r.lang, r._row, r.n_bytes, bytes(r.kept), [tuple(s) for s in r.spans]) for d, r in got.items()} == {
+        1: ("a", 2**60 + 1, 25, b"abcxyz", [(3, 22)]),
+        2: (None, None, 19, b"", [(0, 19)]),
+        None: ("c", 3, 0, b"", []),
+        4: ("d", 4, 0, b"", []),
+    }
