@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.session import stored
@@ -24,3 +24,18 @@ def words(text: Column) -> Column:
 def numbered(df: DataFrame, purpose: str, name: str = "_row") -> DataFrame:
     """``df`` written once with a number for each row, so that every later read of a row sees the same number."""
     return stored(df.withColumn(name, F.monotonically_increasing_id()), purpose)
+
+
+def in_order(df: DataFrame, order: list[Column], purpose: str, name: str) -> DataFrame:
+    """``df`` with the place of each row in the given order, from 0 on, which must leave no ties that matter.
+
+    Rows are sorted by ranges and counted per range; one row per range is then summed up, so no task sees all rows.
+    """
+    sort = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the lower 33 bits of the id count the rows of a partition
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = stored(sort.withColumn("_range", F.spark_partition_id()).withColumn("_inside", inside), purpose)
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
