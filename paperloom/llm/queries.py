@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import (
+    apportionment,
     chunk_recipes,
     decontamination,
     divergence,
@@ -274,6 +275,71 @@ def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
+@register(
+    "op11_mix_sources",
+    rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || left(md5('{apportionment.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS draw FROM documents
+),
+named AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source)),
+weighed AS (SELECT *, number % 3 + 1 AS weight FROM named),
+-- in order of size by weight, the first k targets are cut, for the least k that leaves the next one whole
+tried AS (
+  SELECT *, lead(size / weight, 1, 'infinity'::DOUBLE) OVER o AS next, sum(size) OVER () - 3 * sum(size) OVER o AS rest, sum(weight) OVER () - sum(weight) OVER o AS free
+  FROM weighed WINDOW o AS (ORDER BY size / weight, number ROWS UNBOUNDED PRECEDING)
+),
+levels AS (
+  SELECT CAST(rest AS BIGINT) AS rest, CAST(free AS BIGINT) AS free, next, 1 AS n FROM tried WHERE free > 0
+  UNION ALL SELECT sum(size), sum(weight), min(size / weight), 0 FROM weighed
+),
+level AS (SELECT rest, free FROM levels WHERE CAST(rest AS DOUBLE) / free <= 3 * next OR rest = 0 ORDER BY free DESC LIMIT 1),
+targets AS (
+  SELECT number, source, size, CASE WHEN CAST(weight * rest AS DOUBLE) / free > 3 * size THEN CAST(3 * size AS DOUBLE) ELSE CAST(weight * rest AS DOUBLE) / free END AS target
+  FROM weighed, level
+),
+house AS (SELECT CAST((2 * sum(size) + {apportionment.BLOCK_WORDS}) // {2 * apportionment.BLOCK_WORDS} AS BIGINT) AS h, max(target) AS most FROM targets),
+quotients AS (SELECT number, target / (2 * k + 1) AS quotient FROM (SELECT number, target, unnest(range(CAST(floor(target / {apportionment.BLOCK_WORDS}) AS BIGINT) + 3)) AS k FROM targets) WHERE target > 0),
+ranked AS (SELECT number, row_number() OVER (ORDER BY quotient DESC, number) AS place FROM quotients),
+seats AS (SELECT number, count(*) AS seats FROM ranked, house WHERE place <= h GROUP BY number),
+budgets AS (SELECT t.*, least(coalesce(seats, 0) * {apportionment.BLOCK_WORDS}, 3 * size) AS budget FROM targets t LEFT JOIN seats USING (number)),
+sources AS (
+  SELECT number, source, size AS source_size, target, CASE WHEN size > 0 THEN budget // size ELSE 0 END AS repeats,
+    least((size + {apportionment.BLOCK_WORDS - 1}) // {apportionment.BLOCK_WORDS}, CAST(floor(CASE WHEN size > 0 THEN budget % size ELSE 0 END / {float(apportionment.BLOCK_WORDS)} + 0.5) AS BIGINT)) AS blocks
+  FROM budgets
+),
+placed AS (
+  SELECT d.*, number, source_size, target, repeats, blocks, draw * {apportionment.SHARDS} // 4294967296 AS shard
+  FROM d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source
+),
+located AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY number ORDER BY shard, draw, CAST(doc_id AS VARCHAR), size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed
+),
+-- a block belongs to the shard of the document in which it starts
+starts AS (
+  SELECT number, shard, blocks, unnest(range(CAST((start + {apportionment.BLOCK_WORDS - 1}) // {apportionment.BLOCK_WORDS} AS BIGINT), CAST((start + size + {apportionment.BLOCK_WORDS - 1}) // {apportionment.BLOCK_WORDS} AS BIGINT))) AS block FROM located
+),
+cells AS (SELECT number, shard, any_value(blocks) AS blocks, count(*) AS n, min(block) AS first FROM starts GROUP BY number, shard),
+votes AS (SELECT number, shard, row_number() OVER (PARTITION BY number ORDER BY n / CAST(2 * k + 1 AS DOUBLE) DESC, shard) <= blocks AS won FROM (SELECT *, unnest(range(n)) AS k FROM cells)),
+quotas AS (SELECT number, shard, count(*) FILTER (won) AS quota FROM votes GROUP BY number, shard),
+drawn AS (SELECT *, CAST('0x' || left(md5('{apportionment.SEED}:' || number || ':' || shard), 8) AS BIGINT) AS shift FROM cells JOIN quotas USING (number, shard)),
+picked AS (
+  SELECT number, block FROM starts JOIN drawn USING (number, shard)
+  WHERE ((block - first) * CASE shift % 3 WHEN 0 THEN {apportionment.STEPS[0]} WHEN 1 THEN {apportionment.STEPS[1]} ELSE {apportionment.STEPS[2]} END + shift) % n < quota
+),
+spans AS (
+  SELECT r, sum(least((block + 1) * {apportionment.BLOCK_WORDS}, start + size) - greatest(block * {apportionment.BLOCK_WORDS}, start)) AS words
+  FROM (SELECT r, number, start, size, unnest(range(CAST(start // {apportionment.BLOCK_WORDS} AS BIGINT), CAST((start + size - 1) // {apportionment.BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM located WHERE size > 0)
+  JOIN picked USING (number, block) GROUP BY r
+)
+SELECT doc_id, size, source_size, target, CAST(repeats * size + coalesce(words, 0) AS BIGINT) AS taken FROM located LEFT JOIN spans USING (r)
+""",
+)
+def op11_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    mix = apportionment.mix_sources(table(spark, folder, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", apportionment.taken_words(mix).alias("taken"))
+
+
 @register(
     "op12_source_divergence",
     r"""
