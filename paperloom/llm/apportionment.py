@@ -28,7 +28,7 @@ from paperloom.llm.common import in_order, numbered
 from paperloom.session import stored
 
 SIZED_WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 32
+BLOCK_WORDS = 16
 SHARDS = 1024
 MOST_REPEATS = 3
 SEED = 11
