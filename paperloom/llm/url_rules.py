@@ -7,6 +7,10 @@ the label at large). Kept rules are indexed under their rarest token. URLs are r
 distinct combination of these is matched once through the index and checked for all tokens of a rule, and the rule of
 highest confidence decides (then of higher support, then block before allow). URLs that no rule fits are allowed.
 
+Tokens that stand in exactly the same labelled pages are one item, named by the least of them, when rules are mined: rules that
+differ in such tokens only are one rule, which fits a URL that has any of them. Mining thus does not grow with the length of a URL,
+whose own tokens are all one item; tokens without enough support are left out first.
+
 Stated rules come first: one fits its host and all subdomains if the path starts with its path; the longest host and path
 together wins, then the longer host.
 
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.scale import broadcast_if_small
-from paperloom.llm.common import lower_ascii
+from paperloom.llm.common import lower_ascii, numbered
 from paperloom.session import stored
 
 MIN_SUPPORT = 0.005
@@ -66,6 +70,17 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
+def token_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, name) of the tokens with support; those in the same rows of (_row, tokens) have one name."""
+    rows = labelled.count()
+    row = lambda seed: F.bit_xor(F.xxhash64("_row", F.lit(seed)))
+    each = labelled.select("_row", F.explode("tokens").alias("token")).groupBy("token")
+    # two hashes of the set of rows beside its size tell sets apart
+    sets = stored(each.agg(F.count("*").alias("n"), row(1).alias("a"), row(2).alias("b")).where(F.col("n") >= min_support * rows), "token-sets")
+    names = sets.groupBy("n", "a", "b").agg(F.min("token").alias("name"))
+    return sets.join(names, ["n", "a", "b"]).select("token", "name")
+
+
 def mine_rules(
     labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_gain: float = MIN_GAIN
 ) -> DataFrame:
@@ -122,13 +137,22 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     parts = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     tokens = parts.select("page_id", "host", "path", url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     known = labels.where("page_id is not null and label is not null").groupBy("page_id").agg(F.max("label").alias("label"))
-    mined = stored(mine_rules(tokens.join(known, "page_id")), "rules")
+    labelled = numbered(tokens.join(known, "page_id").select("tokens", "label"), "labelled-pages")
+    classes = stored(token_classes(labelled), "token-classes")
+    items = labelled.select("_row", "label", F.explode_outer("tokens").alias("token")).join(broadcast_if_small(classes), "token", "left")
+    items = items.groupBy("_row", "label").agg(F.collect_set("name").alias("tokens"))
+    mined = stored(mine_rules(items), "rules")
     # bounded by the support
-    used = sorted(r[0] for r in mined.select(F.explode("tokens")).distinct().collect())
-    vocabulary = F.array(*map(F.lit, used)) if used else F.array().cast("array<string>")
+    used = classes.join(mined.select(F.explode("tokens").alias("name")).distinct(), "name").select("token", "name").collect()
+    vocabulary = F.array(*[F.lit(r.token) for r in used]) if used else F.array().cast("array<string>")
+    other = [F.lit(x) for r in used if r.token != r.name for x in (r.token, r.name)]
+    named = F.array_intersect("tokens", vocabulary)
+    if other:
+        renamed = F.create_map(*other)
+        named = F.array_distinct(F.transform(named, lambda x: F.coalesce(F.try_element_at(renamed, x), x)))
     name, verdict = stated_rule(rules, F.col("host"), F.col("path"))
     signed = tokens.select(
-        "page_id", "host", "path", name.alias("rule"), verdict.alias("stated"), F.array_sort(F.array_intersect("tokens", vocabulary)).alias("signature")
+        "page_id", "host", "path", name.alias("rule"), verdict.alias("stated"), F.array_sort(named).alias("signature")
     )
     verdicts = stored(match_rules(signed.select("signature").distinct(), mined), "verdicts")
     return signed.join(broadcast_if_small(verdicts), "signature", "left").select(
