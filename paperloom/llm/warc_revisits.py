@@ -9,7 +9,7 @@ The join as of a time works within (URL, stretch of time) first and carries the
 so a URL with a large part of all records is split by time, and only numbers and times take part; headers are fetched for
 the pairs that result.
 
-A null URL or time never matches. Of responses at the same time the one written last in the numbered copy wins. Header names
+A null URL or time never matches. Of responses at the same time the one with the larger record_id wins. Header names
 are compared without case, repeated headers are kept in order, and null headers are none. Repeated rows are resolved each. An
 empty table gives an empty result.
 """
@@ -58,9 +58,9 @@ def merge_headers(response: Column, revisit: Column) -> Column:
 
 def latest_earlier(records: DataFrame, stretch: int = STRETCH_SECONDS) -> DataFrame:
     """(_row, found) of revisits: number of the latest response with the same key and an earlier time, or null."""
-    response = F.when(F.col("full"), F.struct(F.col("ts").alias("ts"), F.col("_row").alias("row")))
-    events = records.where("key is not null and ts is not null").select("key", "ts", "_row", "full", F.floor(F.col("ts") / stretch).alias("part"))
-    last = events.where("full").groupBy("key", "part").agg(F.max(F.struct("ts", F.col("_row").alias("row"))).alias("last"))
+    response = F.when(F.col("full"), F.struct("ts", "record_id", F.col("_row").alias("row")))
+    events = records.where("key is not null and ts is not null").select("key", "ts", "record_id", "_row", "full", F.floor(F.col("ts") / stretch).alias("part"))
+    last = events.where("full").groupBy("key", "part").agg(F.max(F.struct("ts", "record_id", F.col("_row").alias("row"))).alias("last"))
     parts = events.select("key", "part").distinct().join(last, ["key", "part"], "left")
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = stored(parts.select("key", "part", F.max("last").over(before).alias("carried")), "carried")
