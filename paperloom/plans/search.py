@@ -14,6 +14,7 @@ from paperloom.functions.vectors import cosine_similarity, l2_normalize
 from paperloom.operators import embedding as G
 from paperloom.operators import hybrid_search as H
 from paperloom.operators import text_search as T
+from paperloom.operators import vector_codes as C
 from paperloom.operators import vector_search as V
 from paperloom.plans.chunking import corpus_chunks
 from paperloom.plans.registry import query, shared_sql
@@ -238,25 +239,36 @@ def metadata_filters(src: Source):
     return hits.select("query_id", "chunk_id", _nine(), "rank")
 
 
-def _list_search(src: Source, *asked, probes: int = 20):
-    """Hits of the queries of each table in ``asked``, over one layout of the lists."""
+def _layout(src: Source):
+    """Lists of chunks with codes, their centres and their reach."""
     chunks = src.search_chunks.select("chunk_id", "document_id", "level", "embedding")
     centres = V.train_lists(V.usable_chunks(chunks, DIM), lists=100)
     path = new_folder(src.spark, "lists")
-    V.write_lists(V.assign_lists(chunks, centres), path)
+    V.write_lists(C.with_codes(V.assign_lists(chunks, centres), DIM), path)
     listed = src.spark.read.parquet(path)
-    reach = V.list_reach(V.usable_chunks(listed, DIM), centres)
-    return [
-        V.vector_topk_lists(q, listed, src.ref_documents, centres, 2 * LIMIT, DIM, probes=probes, reach=reach) for q in asked
-    ]
+    return listed, centres, V.list_reach(V.usable_chunks(listed, DIM), centres)
+
 
+def _list_search(src: Source, *asked, **filters):
+    """Hits of the queries of each table in ``asked``, over one layout of the lists."""
+    listed, centres, reach = _layout(src)
+    return [C.vector_topk_codes(q, listed, src.ref_documents, centres, reach, 2 * LIMIT, DIM, probes=20, **filters) for q in asked]
 
-@query("vector_topk_ivf")
+
+@query("vector_topk_ivf", _label_hits(""))
 def vector_topk_ivf(src: Source):
+    """Over lists and codes, with the hits of the exact search."""
     return _list_search(src, src.vector_queries)[0].select("query_id", "chunk_id", _nine(), "rank")
 
 
-@query("vector_topk_ivf_recall")
+@query("vector_topk_ivf_filtered", _label_hits(" WHERE discipline = 'MEC' AND status = 'Approved'"))
+def vector_topk_ivf_filtered(src: Source):
+    approved = src.ref_documents.where(F.col("status") == "Approved").select("id")
+    hits = _list_search(src, src.vector_queries, discipline="MEC", document_ids=approved)[0]
+    return hits.select("query_id", "chunk_id", _nine(), "rank")
+
+
+@query("vector_topk_ivf_recall", f"SELECT count(*) AS hits, count(*) AS found, CAST(1 AS DOUBLE) AS recall FROM ({_label_hits('')})")
 def vector_topk_ivf_recall(src: Source):
     exact = V.vector_topk(src.vector_queries, src.search_chunks, src.ref_documents, 2 * LIMIT, DIM)
     return V.recall(_list_search(src, src.vector_queries)[0], exact)
@@ -264,8 +276,10 @@ def vector_topk_ivf_recall(src: Source):
 
 @query("vector_topk_all_lists", _label_hits(""))
 def vector_topk_all_lists(src: Source):
-    """A search that probes every list finds what the exact one does."""
-    return _list_search(src, src.vector_queries, probes=100)[0].select("query_id", "chunk_id", _nine(), "rank")
+    """A search of full vectors that probes every list finds what the exact one does."""
+    listed, centres, _ = _layout(src)
+    hits = V.vector_topk_lists(src.vector_queries, listed, src.ref_documents, centres, 2 * LIMIT, DIM, probes=100)
+    return hits.select("query_id", "chunk_id", _nine(), "rank")
 
 
 @query(

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import content_hash
 from paperloom.operators import admission as A
+from paperloom.plans.catalogue import spark_queries
 from paperloom.sources.files import format_table, route_format, scan_files
 from paperloom.sources.tables import read_table, rewrite_partitions, write_tables
 
@@ -92,3 +94,9 @@ def test_outcomes(spark, outcome, n):
     assert A.ingest_summary(A.upload_outcomes(rows, existing)).collect()[0][outcome] == n
     assert A.count_outcomes(rows, existing).collect() == A.ingest_summary(A.upload_outcomes(rows, existing)).collect()
     assert A.count_outcomes(rows.limit(0), existing).collect()[0][outcome] == 0
+
+
+def test_scanned_files_of_the_test_tables(spark, folder):
+    found = spark_queries()["scan_files"](spark, folder).collect()
+    want = {p.name: p.read_bytes() for p in Path(folder).glob("*.parquet")}
+    assert {(r.file_name, r.length, r.n_bytes, r.file_hash) for r in found} == {(n, len(b), len(b), hashlib.sha256(b).hexdigest()) for n, b in want.items()}
