@@ -157,6 +157,8 @@ SELECT o_orderkey AS document_id,
 FROM orders""",
 }
 
+FILES_PER_TRIGGER = 16
+
 
 class Source:
     """The tables and views of one data folder."""
@@ -169,8 +171,9 @@ class Source:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stream_table(self, name: str) -> DataFrame:
-        """The same table as a file stream."""
+        """The same table as a file stream, a bounded number of files at a time."""
         reader = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet")
+        reader = reader.option("maxFilesPerTrigger", FILES_PER_TRIGGER)
         return reader.parquet(self.folder)
 
     def view(self, name: str, streaming: bool = False) -> DataFrame:

@@ -1,8 +1,14 @@
-"""Status changes of jobs as a stream."""
+"""Status changes of jobs as a stream, in two stateful steps.
+
+The first step is keyed by (job, day) and leaves one row per change of a day in a micro-batch, so that a job with many events
+is worked on by many tasks and hands only its changes to the second step. That one is keyed by job and holds its last status.
+When a job has finished, a timer is set in event time; once the watermark has passed it, the state of the job is removed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,45 +19,76 @@ from paperloom.constants import FINAL_STATUSES
 from paperloom.operators.activity import status_message
 from paperloom.operators.reports import progress_of
 
+_EVENT = "job_id string, seq long, ts timestamp, status string"
+_COLUMNS = ["job_id", "seq", "ts", "status"]
+
+
+class DailyChanges(StatefulProcessor):
+    """Of the events of one day of a job in a micro-batch, in the order of (ts, seq), those whose status is not that of the one before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        day = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        yield day.loc[day["status"].ne(day["status"].shift()) | (day.index == day.index[0]), _COLUMNS]
+
+    def close(self) -> None:
+        pass
+
 
 class LastStatus(StatefulProcessor):
     """Keeps the last status of a job and lets only changes through, until a final status has been seen.
 
-    The events of a micro-batch are put in order by (ts, seq). Between micro-batches, arrival decides.
+    The changes of a micro-batch are put in order by (ts, seq). Between micro-batches, arrival decides. ``keep`` after the event
+    that finished the job, its state goes.
     """
 
+    def __init__(self, keep: timedelta):
+        self.keep = int(keep.total_seconds() * 1000)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self._last = handle.getValueState("last", "status string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self._last.get()[0] if self._last.exists() else None
-        frames = [f for f in rows]
-        if last in FINAL_STATUSES or not frames:
+        seen = self._last.exists()
+        last = self._last.get()[0] if seen else None
+        if last in FINAL_STATUSES:
             return
-        events = pd.concat(frames).sort_values(["ts", "seq"], kind="stable")
-        final = events["status"].isin(FINAL_STATUSES)
-        events = events[final.cumsum().shift(fill_value=0) == 0]
-        before = events["status"].shift(fill_value=last) if last is not None else events["status"].shift()
-        changed = events[(events["status"] != before) | before.isna()]
-        self._last.update((events["status"].iloc[-1],))
-        if len(changed):
-            yield changed[["job_id", "seq", "ts", "status"]]
+        found = []
+        for event in sorted((row for frame in rows for row in frame[_COLUMNS].itertuples(index=False)), key=lambda e: (e.ts, e.seq)):
+            if event.status != last or not seen:
+                found.append(event)
+                last, seen = event.status, True
+            if last in FINAL_STATUSES:
+                self.handle.registerTimer(int(event.ts.timestamp() * 1000) + self.keep)
+                break
+        self._last.update((last,))
+        if found:
+            yield pd.DataFrame(found, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def status_changes(events: DataFrame) -> DataFrame:
+def status_changes(events: DataFrame, lateness: str = "1 day", keep: timedelta = timedelta(days=7)) -> DataFrame:
     """Stream of job_id, seq, ts, status -> job_id, seq, ts, status, progress.
 
-    A micro-batch of one job is held in one task: bound it with maxFilesPerTrigger or maxBytesPerTrigger at the source.
+    Events that are late by more than ``lateness`` are dropped, and nothing is remembered of a job that finished ``keep`` before
+    the watermark. A task holds the events of one day of a job in a micro-batch: bound it with maxFilesPerTrigger or
+    maxBytesPerTrigger at the source.
     """
-    rows = events.select("job_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "status")
-    changes = rows.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=LastStatus(),
-        outputStructType="job_id string, seq long, ts timestamp, status string",
-        outputMode="append",
-        timeMode="none",
+    rows = events.select("job_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", lateness)
+    daily = rows.withColumn("day", F.date_trunc("day", "ts")).groupBy("job_id", "day").transformWithStateInPandas(
+        statefulProcessor=DailyChanges(), outputStructType=_EVENT, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts"
+    )
+    changes = daily.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=LastStatus(keep), outputStructType=_EVENT, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts"
     )
     return changes.withColumn("progress", progress_of(F.col("status")))
 

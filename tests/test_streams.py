@@ -35,6 +35,28 @@ def test_status_changes_over_batches(spark, tmp_path):
     assert got == want and any(r[3] == 100 for r in got)
 
 
+def test_state_of_finished_jobs_goes(spark, tmp_path):
+    """Each file is a day. Jobs finish on the first one, other events move the watermark on."""
+    day = lambda n, s: f"2024-01-{n:02d} 00:00:{s:02d}"
+    days = [
+        [(f"j{i}", s, day(1, s), "Approved" if s == 3 else "Checking") for i in range(30) for s in range(6)] + [("open", 0, day(1, 0), "Checking")],
+        [("j0", 9, day(2, 9), "Checking"), ("open", 1, day(2, 0), "Checking"), ("open", 2, day(2, 1), "Other")],
+        [("open", 3, day(12, 0), "Other")],
+        [("open", 4, day(25, 0), "Checking")],
+    ]
+    schema = "job_id string, seq long, ts string, status string"
+    path = str(tmp_path / "in")
+    for rows in days:
+        spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    stream = status.status_changes(one_file_at_a_time(spark, "job_id string, seq long, ts timestamp, status string", path))
+    running = runs.append_to(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    running.awaitTermination()
+    held = [max(o["numRowsTotal"] for o in p["stateOperators"]) for p in running.recentProgress if p["stateOperators"]]
+    assert max(held) >= 31 and held[-1] <= 2
+    got = sorted((r.job_id, r.seq, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.job_id in ("open", "j0", "j7"))
+    assert got == [(j, s, x) for j in ("j0", "j7") for s, x in ((0, "Checking"), (3, "Approved"))] + [("open", 0, "Checking"), ("open", 2, "Other"), ("open", 4, "Checking")]
+
+
 def test_ingest_twice_admits_once(spark, tmp_path):
     rows = spark.range(90).select(
         F.col("id").alias("arrival"), F.concat(F.lit("f"), "id", F.lit(".pdf")).alias("path"), F.lit("ELC").alias("discipline"),
