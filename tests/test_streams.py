@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import activity as M
 from paperloom.streaming import activity, ingest, runs, status
+from paperloom.streaming.known import HashIndex
 
 
 def parts(df, path, n):
@@ -93,6 +96,67 @@ def test_first_arrival_of_a_hash_is_admitted(spark, tmp_path):
         rows.where("arrival = 5").withColumn("arrival", F.lit(-1).cast("long")).coalesce(1).write.mode("append").parquet(path)
 
 
+def hashes(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "file_hash string")
+
+
+def test_index_of_known_hashes(spark, tmp_path):
+    index = HashIndex(spark, str(tmp_path / "index"))
+    asked = hashes(spark, "aa9", "bb9", "zz9")
+    names = lambda before: sorted(r.file_hash for r in index.known(asked, before).collect())
+    kept = {}
+    assert names(5) == []
+    index.append(0, hashes(spark, "aa1", "bb1", "cc1", "aa1", None))
+    index.append(1, hashes(spark, "aa2", "dd1"))
+    index.append(2, hashes(spark, "bb2"))
+    assert (names(0), names(1), names(2), names(3)) == ([], ["aa1", "bb1"], ["aa1", "aa2", "bb1"], ["aa1", "aa2", "bb1", "bb2"])
+    # of the prefixes, those of the hashes asked for are read: files of others may hold anything
+    for prefix in ("cc", "dd"):
+        for file in (tmp_path / "index" / "batches").glob(f"*/prefix={prefix}/*.parquet"):
+            kept[file] = file.read_bytes()
+            file.with_name(f".{file.name}.crc").unlink()
+            file.write_bytes(b"nothing")
+    assert len(kept) == 2 and names(3) == ["aa1", "aa2", "bb1", "bb2"]
+    for file, content in kept.items():
+        file.write_bytes(content)
+    index.append(2, hashes(spark, "bb3"))  # run again
+    index.compact(1)
+    assert names(3) == ["aa1", "aa2", "bb1", "bb3"] and names(1) == ["aa1", "bb1"]
+    assert index._parts(9) == ([1], [2])
+    index.compact(1)
+    index.append(3, hashes(spark, "zz1"))
+    index.compact(3)
+    index.remove_compacted()
+    assert names(4) == ["aa1", "aa2", "bb1", "bb3", "zz1"] and index._parts(9) == ([3], [])
+    # a base that was not written to its end is not read
+    (tmp_path / "index" / "base" / "upto=8" / "prefix=aa").mkdir(parents=True)
+    assert names(9) == names(4)
+
+
+def test_a_batch_that_died_half_way_is_admitted_again(spark, tmp_path):
+    """The first micro-batch leaves no index, the second none of its records."""
+    rows = spark.range(12).select(F.col("id").alias("arrival"), F.concat(F.lit("f"), "id", F.lit(".pdf")).alias("path"), F.lit("ELC").alias("discipline"), F.concat(F.lit("h"), F.col("id") % 5).alias("file_hash"))
+    path, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    parts(rows, path, 3)
+    none = hashes(spark).where("false")
+
+    def run():
+        ingest.ingest_stream(one_file_at_a_time(spark, rows.schema, path), lambda: none, "store", out, checkpoint, compact_every=1).awaitTermination()
+        return sorted(r.file_hash for r in spark.read.parquet(out).collect())
+
+    want = [f"h{i}" for i in range(5)]
+    assert run() == want
+    before = {p.name for p in (tmp_path / "out" / "batch_id=0").iterdir()}
+    shutil.rmtree(tmp_path / "cp" / "commits")
+    shutil.rmtree(tmp_path / "cp-hashes")
+    for name in ("batch_id=1", "batch_id=2"):
+        (tmp_path / "out" / name / "_SUCCESS").unlink()
+    shutil.rmtree(tmp_path / "cp" / "offsets")
+    shutil.rmtree(tmp_path / "cp" / "sources")
+    assert run() == want
+    assert {p.name for p in (tmp_path / "out" / "batch_id=0").iterdir()} == before
+
+
 def test_windows_and_rules_per_batch(spark, tmp_path):
     actions = spark.range(400).select(
         F.col("id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 900).alias("created_at"), (F.col("id") % 5 != 0).alias("success"),
