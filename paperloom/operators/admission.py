@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.constants import APPROVED, CHECKING, DISCIPLINES, DOCUMENT_LIMITS, FILE_TYPES, REJECTED
+from paperloom.functions.scale import broadcast_if_small
 from paperloom.functions.text import extension
+from paperloom.session import stored
 from paperloom.sources.files import supported_list
 
+# Copies of one content that a task of a shuffled join can well take.
+HEAVY_COPIES = 100_000
+
 
 def rejection_of_upload(path: Column, discipline: Column) -> Column:
     """Null for an acceptable upload, otherwise the reason; the suffix is looked at first."""
@@ -28,40 +33,53 @@ def admit_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
 
 
-def first_arrivals(incoming: DataFrame, order_col: str = "arrival") -> DataFrame:
-    """The earliest row of every hash.
+def _at_first(incoming: DataFrame, firsts: DataFrame, order_col: str) -> DataFrame:
+    """The row of every hash at its ``first_arrival``; of different rows at one arrival, the least."""
+    keys = firsts.select(F.col("file_hash").alias("_hash"), F.col("first_arrival").alias("_first"))
+    # dealt by hash and arrival, so that the copies of a hash are spread; equal rows are combined before the shuffle
+    at = incoming.join(keys, F.col("file_hash").eqNullSafe(F.col("_hash")) & F.col(order_col).eqNullSafe(F.col("_first")))
+    rows = at.select(*incoming.columns).distinct()
+    place = F.row_number().over(Window.partitionBy("file_hash").orderBy(*[c for c in incoming.columns if c != "file_hash"]))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
-    A minimum over a struct is combined before the shuffle, so a hash that holds a third of all rows costs one row
-    per task; a ranking window would sort all its copies in one task.
-    """
-    others = [c for c in incoming.columns if c not in ("file_hash", order_col)]
-    first = F.min_by(F.struct(order_col, *others), F.struct(order_col, *others))
-    return incoming.groupBy("file_hash").agg(first.alias("row")).select("file_hash", "row.*")
+
+def _per_hash(incoming: DataFrame, order_col: str) -> DataFrame:
+    return incoming.groupBy("file_hash").agg(F.min(order_col).alias("first_arrival"), F.count(F.lit(1)).alias("copies"))
+
+
+def first_arrivals(incoming: DataFrame, order_col: str = "arrival") -> DataFrame:
+    """The earliest row of every hash, found by numbers; the other columns are fetched afterwards."""
+    return _at_first(incoming, _per_hash(incoming, order_col), order_col)
 
 
 def dedup_by_hash(
-    incoming: DataFrame, existing: DataFrame, order_col: str = "arrival"
+    incoming: DataFrame, existing: DataFrame, order_col: str = "arrival", heavy_copies: int = HEAVY_COPIES
 ) -> tuple[DataFrame, DataFrame]:
     """New rows (first of every unknown hash), and repeats with the id and status they resolve to.
 
     ``existing`` has file_hash, id, status. A repeat inside ``incoming`` resolves to the arrival number of the first row.
+    What a hash resolves to is worked out once per hash, with its number of copies. Hashes of more than ``heavy_copies`` copies, of
+    which there can be only so many, are sent to all tasks, where their copies are; the others meet them in a shuffle.
     """
-    first = first_arrivals(incoming, order_col)
     known = existing.select("file_hash", F.col("id").alias("known_id"), F.col("status").alias("known_status"))
-    new = first.join(known, "file_hash", "left_anti")
-    target = first.join(known, "file_hash", "left").select(
+    target = _per_hash(incoming, order_col).join(known, "file_hash", "left").select(
         "file_hash",
-        F.col(order_col).alias("first_arrival"),
-        F.coalesce("known_id", order_col).alias("id"),
+        "first_arrival",
+        "copies",
+        F.coalesce("known_id", "first_arrival").alias("id"),
         F.coalesce("known_status", F.lit(CHECKING)).alias("status"),
         F.col("known_id").isNotNull().alias("stored"),
     )
-    # incoming is the streamed side of this join: AQE splits the partition of a hot hash
-    repeats = (
-        incoming.join(target, "file_hash")
-        .where(F.col("stored") | (F.col(order_col) != F.col("first_arrival")))
-        .drop("first_arrival", "stored")
-    )
+    target = stored(target, "hash-targets")
+    new = _at_first(incoming, target.where("not stored"), order_col)
+    heavy = target.where(F.col("copies") > heavy_copies).drop("copies")
+    if heavy.isEmpty():
+        met = incoming.join(target.drop("copies"), "file_hash")
+    else:
+        heavy = broadcast_if_small(heavy)
+        rest = incoming.join(heavy.select("file_hash"), "file_hash", "left_anti")
+        met = incoming.join(heavy, "file_hash").unionByName(rest.join(target.drop("copies"), "file_hash"))
+    repeats = met.where(F.col("stored") | (F.col(order_col) != F.col("first_arrival"))).drop("first_arrival", "stored")
     return new, repeats
 
 

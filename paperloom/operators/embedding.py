@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import EMBEDDING_DIM
 from paperloom.functions.text import content_hash, terms
+from paperloom.session import stored
 
 Encoder = Callable[[DataFrame], DataFrame]
+STORE_BUCKETS = 64
 
 
 def term_buckets(text: Column, dim: int) -> Column:
@@ -75,7 +77,8 @@ def embed_distinct(
     Contents meet the shuffle once per distinct text and task; the join back moves ids, hashes and vectors only.
     """
     hashed = chunks.select("chunk_id", *keep, content_hash(F.col("content")).alias("file_hash"), "content")
-    distinct = hashed.groupBy("file_hash").agg(F.any_value("content").alias("content"))
+    # equal hashes have equal contents; a distinct needs no buffers, which texts would turn into a sort
+    distinct = hashed.select("file_hash", "content").distinct()
     if known is not None:
         distinct = distinct.join(known.select("file_hash"), "file_hash", "left_anti")
     vectors = encoder(distinct)
@@ -84,6 +87,35 @@ def embed_distinct(
     return hashed.drop("content").join(vectors, "file_hash").select("chunk_id", *keep, "file_hash", "embedding")
 
 
+class VectorStore:
+    """Vectors of all texts encoded so far, as a table bucketed by hash.
+
+    Look-ups and the join back meet the store bucket by bucket: what is looked up is dealt out to its buckets, the stored vectors are
+    not moved. A run adds only hashes that the store lacks, and its files count once they are committed; let one run write at a time.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int = STORE_BUCKETS):
+        self.spark, self.table, self.buckets = spark, table, buckets
+
+    def vectors(self) -> DataFrame | None:
+        """file_hash, embedding; None before the first run."""
+        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
+
+    def _unknown(self, texts: DataFrame) -> DataFrame:
+        known = self.vectors()
+        return texts if known is None else texts.join(known.select("file_hash").hint("merge"), "file_hash", "left_anti")
+
+    def embed(self, chunks: DataFrame, encoder: Encoder, keep: tuple[str, ...] = ()) -> DataFrame:
+        """As :func:`embed_distinct`; texts that the store lacks are encoded and added to it."""
+        hashed = stored(chunks.select("chunk_id", *keep, content_hash(F.col("content")).alias("file_hash"), "content"), "hashed-chunks")
+        added = encoder(self._unknown(hashed.select("file_hash", "content").distinct())).select("file_hash", "embedding")
+        # one file per bucket and run
+        dealt = added.repartition(self.buckets, "file_hash")
+        dealt.write.bucketBy(self.buckets, "file_hash").sortBy("file_hash").mode("append").saveAsTable(self.table)
+        self.spark.catalog.refreshTable(self.table)
+        return hashed.drop("content").join(self.vectors().hint("merge"), "file_hash").select("chunk_id", *keep, "file_hash", "embedding")
+
+
 def reuse_statistics(chunks: DataFrame) -> DataFrame:
     """How many texts the encoder is spared: total, distinct and the share of repeats."""
     per_text = chunks.groupBy(content_hash(F.col("content")).alias("file_hash")).agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,8 @@ vectors of 64 dimensions, asked with the passages of ``text_queries``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom.constants import STOP_WORDS
@@ -148,11 +150,27 @@ def _nine(column: str = "score"):
 FROM child_texts c""",
 )
 def embed_distinct(src: Source):
-    vectors = G.embed_distinct(children(src), encoder)
+    vectors = G.embed_distinct(stored(children(src), "children"), encoder)
     mass = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5)
     return vectors.select("chunk_id", "file_hash", F.when(mass != 0, mass).alias("mass"))
 
 
+@query(
+    "vector_store",
+    """SELECT c.chunk_id, sha256(c.content) AS file_hash, (SELECT round(sum(v.v), 5) FROM child_vectors v WHERE v.chunk_id = c.chunk_id) AS mass, c.content IN (SELECT content FROM child_texts p JOIN corpus_documents d ON d.id = p.document_id WHERE d.discipline = 'ELC') AS reused
+FROM child_texts c""",
+)
+def vector_store(src: Source):
+    """The texts of one discipline are encoded first; of a run over all texts those that are left."""
+    chunks = stored(children(src), "children")
+    store = G.VectorStore(src.spark, f"paperloom_vectors_{uuid.uuid4().hex}", buckets=16)
+    first = chunks.join(src.corpus_documents.where("discipline = 'ELC'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    early = stored(store.embed(first, encoder).select("file_hash").distinct().withColumn("early", F.lit(True)), "first-run")
+    vectors = store.embed(chunks, encoder).join(early, "file_hash", "left")
+    mass = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5)
+    return vectors.select("chunk_id", "file_hash", F.when(mass != 0, mass).alias("mass"), F.col("early").isNotNull().alias("reused"))
+
+
 @query(
     "embedding_reuse",
     """SELECT CAST(count(*) AS BIGINT) AS texts, count(DISTINCT content) AS distinct_texts, round(1e0 - count(DISTINCT content) / CAST(count(*) AS DOUBLE), 9) AS reuse_ratio FROM child_texts""",

@@ -35,9 +35,27 @@ def test_dedup_keeps_everything_and_is_idempotent(spark):
     assert again.count() == 0
 
 
-def test_hot_hash_is_combined_before_the_shuffle(spark):
-    plan = A.first_arrivals(uploads(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan and "Window" not in plan
+def test_plans_have_hash_aggregates(spark):
+    new, repeats = A.dedup_by_hash(uploads(spark), spark.createDataFrame([("h1", 77, "Approved")], "file_hash string, id long, status string"))
+    for df in (A.first_arrivals(uploads(spark)), new, repeats):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_heavy_hashes_meet_their_target_everywhere(spark):
+    incoming, existing = uploads(spark), spark.createDataFrame([("h1", 77, "Approved"), ("h2", 5, "Checking")], "file_hash string, id long, status string")
+    key = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    some, rest = A.dedup_by_hash(incoming, existing, heavy_copies=100), A.dedup_by_hash(incoming, existing)
+    assert [key(df) for df in some] == [key(df) for df in rest]
+    # rows of the heavy hash are not shuffled on their way to their target
+    heavy = [r for r in some[1].where("file_hash = 'hot'").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert len(heavy) > 1
+
+
+def test_first_of_rows_at_one_arrival(spark):
+    rows = [(3, "b", "h"), (3, "a", "h"), (3, "a", "h"), (4, "a", "h"), (1, "x", None), (0, "y", None), (None, "z", "g")]
+    df = spark.createDataFrame(rows, "arrival long, path string, file_hash string")
+    assert sorted(map(str, A.first_arrivals(df).select("arrival", "path", "file_hash").collect())) == sorted(map(str, spark.createDataFrame([rows[1], rows[5], rows[6]], df.schema).collect()))
 
 
 def test_reasons(spark):

@@ -331,3 +331,23 @@ def test_hybrid_search_leaves_orphans_out(spark):
         for r in H.hybrid_search(queries, chunks, documents, T.build_text_index(chunks), T.text_statistics(chunks), 2, **more).orderBy("rank").collect()
     ]
     assert found() == ["kept", "other"] and found(discipline="MEC") == ["other"] and found(candidates=1, limit=5) == ["kept"]
+
+
+def test_stored_vectors_are_not_moved(spark):
+    rows = [(i, f"text {i % 40}") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    store = G.VectorStore(spark, "stored_vectors_test", buckets=4)
+    asked = []
+
+    def encoder(texts):
+        asked.append(texts.count())
+        return G.encode_text(texts, DIM)
+
+    want = {(r.chunk_id, tuple(r.embedding)) for r in G.embed_distinct(chunks, lambda t: G.encode_text(t, DIM)).collect()}
+    assert store.embed(chunks.where("chunk_id < 25"), encoder).count() == 25
+    got = store.embed(chunks, encoder)
+    assert {(r.chunk_id, tuple(r.embedding)) for r in got.collect()} == want
+    assert store.embed(chunks, encoder).count() == 200 and asked == [25, 15, 0] and store.vectors().count() == 40
+    # above the scan of the store there is no exchange: one for the chunks is all
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
