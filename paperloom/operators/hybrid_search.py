@@ -41,16 +41,18 @@ def hybrid_search(
     document_ids: DataFrame | None = None,
     frequency: DataFrame | None = None,
     candidates: int | None = None,
+    bitmap: DataFrame | None = None,
 ) -> DataFrame:
     """Both branches, then fusion of their ``candidates`` best hits each, 2 x limit unless given.
 
     queries: query_id, query, embedding. chunks: chunk_id, document_id, level, embedding. Both branches return chunks of
-    existing documents that pass the filters only; terms are weighted over the whole index.
+    existing documents that pass the filters only; terms are weighted over the whole index. With a ``bitmap`` of those documents,
+    vectors and matches are tested where they are.
     """
     candidates = candidates or 2 * limit
-    vector_hits = vector_topk(queries, chunks, documents, candidates, dim, discipline, document_ids)
+    vector_hits = vector_topk(queries, chunks, documents, candidates, dim, discipline, document_ids, bitmap=bitmap)
     # the filters meet what has matched: neither vectors nor the index are shuffled for them
-    allowed = metadata_filters(chunks.drop("embedding"), documents, discipline, document_ids)
+    allowed = metadata_filters(chunks.drop("embedding"), documents, discipline, document_ids, bitmap)
     text_hits = text_topk(queries, index, statistics, candidates, frequency, allowed=allowed)
     return hybrid_fuse(vector_hits, text_hits, limit)
 

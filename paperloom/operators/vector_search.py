@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from paperloom.constants import CHILD, VECTOR_LISTS
+from paperloom.functions.bitmaps import bitmap_of, common, in_bitmap
 from paperloom.functions.scale import broadcast_if_small, salt_of
 from paperloom.session import stored
 
@@ -93,12 +94,15 @@ def metadata_filters(
     documents: DataFrame | None,
     discipline: str | None = None,
     document_ids: DataFrame | None = None,
+    bitmap: DataFrame | None = None,
 ) -> DataFrame:
     """Chunks whose document exists and passes the filters; without a filter every document does.
 
-    A chunk table that carries ``discipline`` itself is filtered in its scan. With it, or without ``documents`` (chunks
+    A ``bitmap`` of the documents that pass (see ``document_bitmap``) stands for documents and filters. A chunk table that carries ``discipline`` itself is filtered in its scan. With it, or without ``documents`` (chunks
     known to be free of orphans), vectors are not shuffled to meet their documents.
     """
+    if bitmap is not None:
+        return in_bitmap(chunks, "document_id", bitmap)
     allowed = None
     if "discipline" in chunks.columns or documents is None:
         if discipline:
@@ -112,6 +116,13 @@ def metadata_filters(
     return chunks if allowed is None else chunks.join(allowed, "document_id", "left_semi")
 
 
+def document_bitmap(by_discipline: DataFrame, discipline: str | None = None, document_ids: DataFrame | None = None) -> DataFrame:
+    """The documents that pass the filters, from the bitmaps of each discipline (``bitmap_of(documents, "id", "discipline")``)."""
+    chosen = by_discipline.where(F.col("discipline") == discipline) if discipline else by_discipline
+    known = chosen.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return known if document_ids is None else common(known, bitmap_of(document_ids, "id"))
+
+
 def rank_hits(scored: DataFrame, k: int) -> DataFrame:
     """The k best per query with their rank; equal scores are ordered by chunk."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
@@ -217,12 +228,13 @@ def vector_topk(
     document_ids: DataFrame | None = None,
     max_sent: int = MAX_SENT_QUERIES,
     block_chunks: int = BLOCK_CHUNKS,
+    bitmap: DataFrame | None = None,
 ) -> DataFrame:
     """Exact search over children by cosine similarity: query_id, chunk_id, score, rank.
 
     queries: query_id, embedding. chunks: chunk_id, document_id, level, embedding. Filters apply before the cut.
     """
-    allowed = metadata_filters(usable_chunks(chunks, dim), documents, discipline, document_ids)
+    allowed = metadata_filters(usable_chunks(chunks, dim), documents, discipline, document_ids, bitmap)
     rows = _taken(queries.where(F.size("embedding") == dim), max_sent)
     if rows == []:
         return _no_hits(queries, allowed)

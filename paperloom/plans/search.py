@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paperloom.constants import STOP_WORDS
+from paperloom.functions.bitmaps import bitmap_of
 from paperloom.functions.text import content_hash
 from paperloom.functions.vectors import cosine_similarity, l2_normalize
 from paperloom.operators import embedding as G
@@ -127,10 +128,10 @@ class Corpus:
         self.vectors = stored(vectors.drop("file_hash"), "vectors")
         self.queries = embedded_queries(src)
 
-    def hits(self):
+    def hits(self, **filters):
         return H.hybrid_search(
             self.queries, self.vectors, self.documents, self.index, self.statistics, DIM, LIMIT,
-            frequency=self.frequency,
+            frequency=self.frequency, **filters,
         )
 
 
@@ -372,6 +373,45 @@ def hybrid_search(src: Source):
     return Corpus(src).hits().select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+# chunks of the documents of one discipline that are labelled as good
+shared_sql(
+    "filtered_chunks",
+    """SELECT chunk_id FROM child_texts WHERE document_id IN (SELECT id FROM corpus_documents WHERE discipline = 'ELC') AND document_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
+)
+shared_sql("filtered_corpus_scores", "SELECT * FROM corpus_scores WHERE chunk_id IN (SELECT chunk_id FROM filtered_chunks)")
+shared_sql("filtered_text_scores", "SELECT * FROM text_scores WHERE chunk_id IN (SELECT chunk_id FROM filtered_chunks)")
+shared_sql("filtered_vector_hits", _ranked("filtered_corpus_scores", 2 * LIMIT))
+shared_sql("filtered_text_hits", _ranked("filtered_text_scores", 2 * LIMIT))
+shared_sql(
+    "filtered_fused_scores",
+    """SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_id, t.chunk_id) AS chunk_id,
+  round(coalesce(v.score, 0e0) * 0.6e0 + coalesce(t.score, 0e0) * 0.4e0, 12) AS score
+FROM filtered_vector_hits v FULL JOIN filtered_text_hits t ON v.query_id = t.query_id AND v.chunk_id = t.chunk_id""",
+)
+shared_sql("filtered_hits", _ranked("filtered_fused_scores", LIMIT))
+_FILTERED = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM filtered_hits"
+
+
+def _good_documents(src: Source):
+    return src.labels.where("quality = 1").select(F.col("doc_id").alias("id"))
+
+
+@query("hybrid_search_filtered", _FILTERED)
+def hybrid_search_filtered(src: Source):
+    """Within a discipline and a list of documents, which are a bitmap that vectors and matches are tested with."""
+    corpus = Corpus(src)
+    by_discipline = stored(bitmap_of(corpus.documents, "id", "discipline"), "bitmaps")
+    passing = stored(V.document_bitmap(by_discipline, "ELC", _good_documents(src)), "bitmap")
+    return corpus.hits(bitmap=passing).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("hybrid_search_joined_filters", _FILTERED)
+def hybrid_search_joined_filters(src: Source):
+    """The same by joins with the tables of documents and of their list."""
+    found = Corpus(src).hits(discipline="ELC", document_ids=_good_documents(src))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     "expand_parents",
     "SELECT query_id, chunk_id, round(score, 6) AS score, search_type, rank, place FROM expanded_hits",

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions.bitmaps import MAX_BUCKETS, bitmap_of, in_bitmap
 from paperloom.functions.text import terms
 from paperloom.functions.vectors import cosine_similarity, l2_normalize
 from paperloom.operators import embedding as G
@@ -351,3 +352,27 @@ def test_stored_vectors_are_not_moved(spark):
     # above the scan of the store there is no exchange: one for the chunks is all
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_bitmaps_of_documents(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 5_000_000_000, 98_304, -3, -32768, None]
+    documents = spark.createDataFrame([(n, "ELC" if i % 3 else "MEC") for i, n in enumerate(numbers)], "id long, discipline string")
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([*numbers, 2, 9, 40_000, -4, 5_000_000_001])], "chunk_id long, document_id long")
+    kept = lambda df: sorted(r.document_id for r in df.collect())
+    every = bitmap_of(documents, "id", "discipline")
+    elc = [n for i, n in enumerate(numbers) if i % 3 and n is not None]
+    for most in (MAX_BUCKETS, 0):  # sent around, and shuffled
+        assert kept(in_bitmap(rows, "document_id", V.document_bitmap(every), most)) == sorted(n for n in numbers if n is not None)
+        assert kept(in_bitmap(rows, "document_id", V.document_bitmap(every, "ELC"), most)) == sorted(elc)
+    some = spark.createDataFrame([(n,) for n in (1, 8, 32768, 2, -3, None)], "id long")
+    assert kept(in_bitmap(rows, "document_id", V.document_bitmap(every, "ELC", some))) == sorted({1, 8, 32768, 2, -3} & set(elc))
+    assert kept(in_bitmap(rows, "document_id", bitmap_of(documents.limit(0), "id"))) == []
+
+
+def test_filtered_vectors_are_not_moved(spark, vectors):
+    queries, chunks, documents = vectors
+    bitmap = V.document_bitmap(bitmap_of(documents, "id", "discipline"), "ELC", spark.createDataFrame([(i,) for i in (3, 4, 5, 6)], "id long"))
+    allowed = V.metadata_filters(V.usable_chunks(chunks, DIM), documents, bitmap=bitmap)
+    assert "Exchange hashpartitioning" not in allowed._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    want = brute(queries, chunks, documents, 7, {3, 4})
+    assert ids(V.vector_topk(queries, chunks, documents, 7, DIM, bitmap=bitmap)) == want
