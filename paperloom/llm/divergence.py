@@ -37,7 +37,7 @@ SCALE = 1_000_000_000
 WORD_BITS = 64
 STRETCH = 16 * WORD_BITS
 TILE = 32
-HELD_TERMS = 200_000
+HELD_TERMS = 500_000
 ROWS_AT_ONCE = 256
 
 # Bytes of terms are letters and everything beyond ASCII; A-Z are lower-cased, the rest separates.
@@ -49,9 +49,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it); each group also has a row with a null term."""
 
     def emit(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term.decode(), n, with_term[term]) for (lang, source), (counts, with_term) in held.items() for term, n in counts.items()]
-        rows += [(lang, source, None, 0, 0) for lang, source in held]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _COUNTED.types, strict=True)], schema=_COUNTED)
+        columns = [[] for _ in _COUNTED]
+        for (lang, source), (counts, with_term) in held.items():
+            size = len(counts) + 1
+            terms = [*counts, None]
+            numbers = [*counts.values(), 0], [*map(with_term.__getitem__, counts), 0]
+            found = pa.repeat(lang, size), pa.repeat(source, size), pa.array(terms, pa.binary()).cast(pa.string()), *(pa.array(n, pa.int64()) for n in numbers)
+            for column, part in zip(columns, found, strict=True):
+                column.append(part)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], schema=_COUNTED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
