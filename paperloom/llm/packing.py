@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scale import broadcast_if_small
-from paperloom.llm.tokens import END_ID, definition_of, shared_tokenizer
+from paperloom.llm.tokens import END_ID, by_size, definition_of, shared_tokenizer
 from paperloom.session import new_folder, stored
 
 WINDOW = 2048
@@ -165,26 +165,24 @@ def _encoded(docs: DataFrame, definition: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, sent, task = shared_tokenizer(definition), {}, TaskContext.get().partitionId()
-        end = np.array([END_ID], dtype="<u2").tobytes()
         for whole in batches:
-            # texts become Python strings a few at a time
-            for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
-                ids = [x + end for x in tokenizer.encode(batch.column("text").to_pylist())]
+            for batch in by_size(whole, "text"):
+                ids, n = tokenizer.encode_batch(batch.column("text"))
+                ids, n = np.insert(ids, np.cumsum(n), END_ID).astype("<u2"), n + 1
                 begin = []
-                for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
+                for queue, length in zip(batch.column("queue").to_pylist(), n.tolist(), strict=True):
                     begin.append(sent.get(queue, 0))
-                    sent[queue] = begin[-1] + len(x) // 2
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("queue"),
-                        pa.array([task] * len(ids), pa.int64()),
-                        pa.array(begin, pa.int64()),
-                        pa.array([len(x) // 2 for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["doc_id", "queue", "task", "begin", "n", "ids"],
-                )
+                    sent[queue] = begin[-1] + length
+                edges = (2 * np.append(0, np.cumsum(n))).astype(np.int32)
+                columns = [
+                    batch.column("doc_id"),
+                    batch.column("queue"),
+                    pa.array([task] * len(n), pa.int64()),
+                    pa.array(begin, pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(ids)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "task", "begin", "n", "ids"])
 
     # ids travel as text, which keeps large ones exact beside nulls
     return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(encode, schema)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from paperloom.llm import license_scan, token_rollup, url_rules, warc_revisits
-from paperloom.llm.queries import STATED_RULES, archive_records, op9_token_rollup, tokenizer_path
+from paperloom.llm.queries import QUERIES, STATED_RULES, archive_records, op9_token_rollup, tokenizer_path
 
 
 def brute_rules(rows, support, confidence, gain):
@@ -47,6 +48,58 @@ def test_mined_rules_and_their_matches(spark):
         assert verdicts.get(s) == (max(fits)[2] if fits else None)
 
 
+def brute_classes(rows, support):
+    where = {}
+    for n, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(n)
+    names = {}
+    for t in sorted(where):
+        if len(where[t]) >= support * len(rows):
+            names.setdefault(frozenset(where[t]), t)
+    return {t: names[frozenset(s)] for t, s in where.items() if frozenset(s) in names}
+
+
+def test_tokens_of_the_same_pages_are_one_item(spark):
+    rows = [(["a", "b", "x"], "block"), (["a", "b", "y"], "block"), (["c", "x", "z"], "allow"), (["c", "d"], "allow"), ([], "allow")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_row long, tokens array<string>, label string")
+    for support in (0.0, 0.3):
+        got = {r.token: r["name"] for r in url_rules.token_classes(frame, support).collect()}
+        assert got == brute_classes(rows, support)
+
+
+def test_a_long_url_is_mined_at_once(spark):
+    urls = [(i, f"http://h{i % 3}.org/a{i % 4}/b{i % 2}") for i in range(18)] + [(18, "http://long.org/" + "/".join(f"w{i}x" for i in range(400)))]
+    urls += [(50, "http://other.org/" + "/".join(["v"] * 7) + "/w7x"), (51, "http://other.org/v")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i in (3, 18) else "allow") for i in range(19)], "page_id long, label string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, labels, []).collect()}
+    # a token of the long page's class is enough
+    assert (got[18], got[50], got[51]) == ("block", "block", "allow")
+
+
+def test_every_verdict_of_the_given_pages(spark, folder, table):
+    """Rules by counting token sets of all labelled pages, and the best that fits each page."""
+    rows = {r.page_id: r for r in table("pages").select(
+        "page_id", "url", url_rules.url_tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens")).collect()}
+    labels = {r.doc_id: "block" if r.quality == 0 or r.toxic == 1 else "allow" for r in table("labels").collect()}
+    known = [(rows[i].tokens, y) for i, y in labels.items() if i in rows]
+    classes = brute_classes(known, url_rules.MIN_SUPPORT)
+    named = [(sorted({classes[t] for t in tokens if t in classes}), y) for tokens, y in known]
+    rules = brute_rules(named, url_rules.MIN_SUPPORT, url_rules.MIN_CONFIDENCE, url_rules.MIN_GAIN)
+    support = Counter()
+    for tokens, y in named:
+        for s, label in rules:
+            support[s, label] += label == y and set(s) <= set(tokens)
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op1_url_rules"](spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, row in rows.items():
+        if got[i][0] is None:
+            has = {classes[t] for t in row.tokens if t in classes}
+            fits = [(c, support[s, y], y) for (s, y), c in rules.items() if set(s) <= has]
+            assert got[i][1] == (max(fits)[2] if fits else "allow"), row.url
+
+
 def test_stated_rules_and_odd_urls(spark):
     urls = [
         (1, "HTTP://A.Example.ORG/es/x?y", "a.example.org", "/es/x", "example.org/es/", "block"),
@@ -99,6 +152,14 @@ def test_revisits_of_every_kind(spark):
     assert warc_revisits.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_responses_at_the_same_time(spark):
+    schema = f"record_id long, url string, ts long, type string, headers {warc_revisits.HEADERS}"
+    rows = [(1, "http://a.org/", 5, "response", [("ETag", '"x"')]), (2, "http://a.org/", 5, "response", [("ETag", '"y"')]), (3, "http://a.org/", 9, "revisit", [("ETag", '"y"')])]
+    for order in (rows, rows[::-1]):
+        got = warc_revisits.resolve_revisits(spark.createDataFrame(order, schema)).collect()
+        assert [(r.record_id, r.response_id, r.status) for r in got] == [(3, 2, "resolved")]
+
+
 def test_stretches_of_time_change_nothing(spark, table):
     records = archive_records(table("pages").withColumn("url", F.concat(F.lit("http://one.org/"), F.col("page_id") % 3)))
     answers = [sorted(map(str, warc_revisits.resolve_revisits(records, s).collect())) for s in (60, 10_000, 10**9)]
@@ -145,6 +206,30 @@ def test_batches_count_once_in_any_order(spark, tmp_path):
     assert read() == {("a", "en", 1, 5), (None, "en", 1, 9)}
 
 
+def test_late_repeated_and_broken_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "v", 5)], "source string, lang string, version string, tokens long")
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path))
+    read = lambda: [(r.docs, r.tokens) for r in rollup.totals().collect()]
+    rollup.commit(0, token_rollup.inserted(rows))
+    rollup.commit(2, token_rollup.inserted(rows))
+    rollup.compact(2)
+    rollup.commit(1, token_rollup.inserted(rows))  # for the first time, after the snapshot
+    assert read() == [(3, 15)]
+    rollup.commit(2, token_rollup.inserted(rows))  # again, after the snapshot
+    rollup.write_attempt(3, token_rollup.inserted(rows))  # died before it was published
+    assert read() == [(3, 15)]
+    rollup.compact(9)
+    rollup.compact(9)
+    rollup.commit(3, token_rollup.inserted(rows))
+    assert read() == [(4, 20)]
+
+
+def test_counts_beside_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 3), (2, None, 8, "y", 4)], "doc_id long, text string, c int, version string, tokens int")
+    got = token_rollup.counted(df, {"w": token_rollup.word_tokens, "b": token_rollup.bpe_tokens(tokenizer_path())}).collect()
+    assert sorted((r.doc_id, r.c, r.version, r.tokens > 0) for r in got) == [(1, 7, "b", True), (1, 7, "w", True), (2, 8, "b", False), (2, 8, "w", False)]
+
+
 def test_rollup_of_the_corpus(spark, folder, table):
     from tokenizers import Tokenizer
 
@@ -156,5 +241,8 @@ def test_rollup_of_the_corpus(spark, folder, table):
             text = "\n".join(dict.fromkeys((r.text or "").split("\n")))
             want[r.source, r.lang, "docs"] += 1
             want[r.source, r.lang, "tokens"] += len(plain.encode(text, add_special_tokens=False).ids)
+            want[r.source, r.lang, "words"] += len(re.findall("[0-9a-zA-Z\x80-\U0010ffff]+", text))
     got = op9_token_rollup(spark, folder).where("version = 'word_bpe_49k'").collect()
-    assert {(r.source, r.lang, k): r[k] for r in got for k in ("docs", "tokens")} == dict(want)
+    found = {(r.source, r.lang, k): r[k] for r in got for k in ("docs", "tokens")}
+    found |= {(r.source, r.lang, "words"): r.tokens for r in op9_token_rollup(spark, folder).where("version = 'words_1'").collect()}
+    assert found == dict(want)
