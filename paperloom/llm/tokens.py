@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 
 CACHE_RUNS = 250_000
 CACHE_BYTES = 64
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 END_ID = 1
 BLANK, LETTER, DIGIT, MARK, OTHER = range(5)
 _PLAIN = re.compile(r"[\x20-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
@@ -115,7 +115,7 @@ class WordTokenizer:
 
 
 def by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have some megabytes together, or are one text, since runs take more room than texts."""
+    """Slices of a batch whose texts have about a megabyte together, or are one text, since runs take more room than texts."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     edge = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BYTES_AT_ONCE)) + 1
     for low, high in zip(np.append(0, edge).tolist(), np.append(edge, batch.num_rows).tolist(), strict=True):
