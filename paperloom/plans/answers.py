@@ -168,7 +168,7 @@ def qa_log(src: Source):
   '{{"page":' || page || ',"block_count":' || count(*) || ',"low_confidence_count":' || count(*) FILTER (confidence < 0.75e0) || '}}' AS metadata FROM ocr_blocks GROUP BY document_id, page
 UNION ALL SELECT 'parse', 'document', document_id, NULL, 'deterministic-v1', NULL, '{{"parser_type":"deterministic","success":true,"extracted_fields":["' || concat_ws('","', CASE WHEN document_number IS NOT NULL THEN 'document_number' END, CASE WHEN issue_status IS NOT NULL THEN 'issue_status' END) || '"]}}' FROM parsed
 UNION ALL SELECT 'validate', 'document', j.document_id, d.file_hash, '{MODEL}', NULL, '{{"passed":' || j.passed || ',"rules_evaluated":' || j.rules_evaluated || ',"rules_failed":' || j.rules_failed || ',"rejection_note":null}}' FROM judgements j JOIN ref_documents d ON d.id = j.document_id
-UNION ALL SELECT 'qa', 'query', NULL, NULL, NULL, NULL, '{{"confidence_level":"' || confidence_level || '","cited":"' || cited_document_ids || '","model_version":"answer-v1"}}' FROM question_log""",
+UNION ALL SELECT 'qa', 'query', NULL, NULL, NULL, NULL, '{{"confidence_level":"' || confidence_level || '","cited":"' || cited_document_ids || '","model_version":"answer-v1","question":"' || coalesce(sha256(query_text), '') || '","answer":"' || coalesce(sha256(answer), '') || '"}}' FROM question_log""",
 )
 def audit_events(src: Source):
     pages = src.ocr_blocks.groupBy(F.col("document_id").alias("entity_id"), "page").agg(
@@ -188,14 +188,17 @@ def audit_events(src: Source):
         "rules_evaluated", "rules_failed", F.lit(None).cast("string").alias("rejection_note"),
     )
     events = audit.audit_events(pages, parsed, judged, question_log(src), now())
+    text_hash = lambda path: F.coalesce(F.sha2(F.get_json_object("metadata", path), 256), F.lit(""))
     short = F.to_json(
         F.struct(
             F.get_json_object("metadata", "$.confidence_level").alias("confidence_level"),
             F.array_join(F.from_json(F.get_json_object("metadata", "$.cited_document_ids"), "array<string>"), ",").alias("cited"),
             F.get_json_object("metadata", "$.model_version").alias("model_version"),
+            text_hash("$.query_text").alias("question"),
+            text_hash("$.answer").alias("answer"),
         )
     )
-    # the texts of questions and answers are left out of the checked metadata: JSON escapes differ between engines
+    # questions and answers are compared by hash: JSON escapes differ between engines
     return events.withColumn("metadata", F.when(F.col("event_type") == "qa", short).otherwise(F.col("metadata"))).select(
         "event_type", "entity_type", "entity_id", "file_hash", "model_version",
         F.round("confidence_score", 9).alias("confidence_score"), "metadata",
