@@ -68,6 +68,12 @@ DOCUMENT_LIMITS = {
     "status": (20, True),
     "job_id": (100, False),
 }
+CHUNK_LIMITS = {
+    "document_id": (None, True),
+    "level": (10, True),
+    "content": (10000, True),
+    "token_count": (None, True),
+}
 
 # The 127 English stop words of the Snowball list, as used by common full-text configurations.
 STOP_WORDS = (

@@ -217,6 +217,11 @@ def extract_page_numbers(text: Column) -> Column:
     return F.transform(all_groups(text, PAGE_MARKER, "dUi", 1), lambda n: n.try_cast("int"))
 
 
+def starts_page(text: Column) -> Column:
+    """True if the text begins with a page marker."""
+    return F.regexp_like(text, F.lit(rf"(?dUi)\A(?:{PAGE_MARKER})"))
+
+
 SCALAR_FIELDS = ["document_number", "title", "revision", "issue_status", "contract_number", "page_count"]
 LIST_FIELDS = ["revision_history", "comments", "legend_symbols", "equipment_ratings", "drawing_index"]
 

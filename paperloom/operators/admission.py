@@ -200,11 +200,15 @@ def audit_constraints(
     return found
 
 
-def audit_lengths(df: DataFrame, limits: dict[str, tuple[int, bool]] = DOCUMENT_LIMITS) -> DataFrame:
-    """Per column: values longer than declared, and nulls where none may be. One pass over the table."""
+def audit_lengths(df: DataFrame, limits: dict[str, tuple[int | None, bool]] = DOCUMENT_LIMITS) -> DataFrame:
+    """Per column: values longer than declared, and nulls where none may be. One pass over the table.
+
+    A limit of None bounds no length. ``CHUNK_LIMITS`` are those of the chunk table.
+    """
     aggregates = []
     for column, (limit, required) in limits.items():
-        aggregates.append(F.count_if(F.length(column) > limit).alias(f"{column}__long"))
+        long = F.lit(False) if limit is None else F.length(column) > limit
+        aggregates.append(F.count_if(long).alias(f"{column}__long"))
         nulls = F.count_if(F.col(column).isNull()) if required else F.count_if(F.lit(False))
         aggregates.append(nulls.alias(f"{column}__null"))
     rows = F.array(

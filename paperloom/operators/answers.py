@@ -20,10 +20,15 @@ PROMPT = (
 
 
 def context_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits with their text and document, numbered in reading order: query_id, n, chunk_id, document_number, title, page, content."""
+    """Hits with their text and document, numbered in reading order: query_id, n, chunk_id, document_number, title, page, content.
+
+    The page is that of the chunk table, if it has one (``chunk_corpus(pages=True)``), otherwise the first marker of the chunk.
+    """
+    marker = F.get(extract_page_numbers(F.col("content")), F.lit(0))
+    page = (F.col("page") if "page" in chunks.columns else marker).alias("page")
     wanted = broadcast_if_small(hits.select("query_id", "chunk_id", "rank", "place"))
     fields = documents.select(F.col("id").alias("document_id"), "document_number", "title")
-    found = chunks.select("chunk_id", "document_id", "content").join(wanted, "chunk_id").join(fields, "document_id")
+    found = chunks.select("chunk_id", "document_id", page, "content").join(wanted, "chunk_id").join(fields, "document_id")
     order = Window.partitionBy("query_id").orderBy("rank", "place")
     return found.select(
         "query_id",
@@ -31,7 +36,7 @@ def context_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame) ->
         "chunk_id",
         "document_number",
         "title",
-        F.get(extract_page_numbers(F.col("content")), F.lit(0)).alias("page"),
+        "page",
         "content",
     )
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.constants import CHILD, CHILD_OVERLAP, CHILD_SIZE, PARENT, PARENT_OVERLAP, PARENT_SIZE
-from paperloom.functions.fields import extract_page_numbers
-from paperloom.functions.text import overlap_tail, split_sections, tokens_of_words, word_count
+from paperloom.functions.fields import extract_page_numbers, starts_page
+from paperloom.functions.text import let, overlap_tail, split_sections, tokens_of_words, word_count
 
 JOINER = "\n\n"
 _PACKED = "struct<done:array<struct<content:string,token_count:int>>,held:array<string>,n_words:int,tokens:int>"
@@ -107,6 +107,44 @@ def link_parents(parents: DataFrame, children: DataFrame) -> DataFrame:
     return upper.unionByName(lower)
 
 
+def with_pages(packed: Column, overlap: int, before: Column) -> Column:
+    """Packed chunks with ``page``, on which their text begins, and ``pages``, all that it stands on, ascending.
+
+    Pages are told by markers such as ``[Page 5]``. A chunk that does not begin with a marker goes on with the page that
+    its first words stand on: the last marker before them, where words repeated from the chunk before are counted once.
+    ``before`` is the page at the start of the text, null if unknown; then the first marker of the chunk counts.
+    """
+
+    def marked(chunk: Column) -> Column:
+        markers = F.array_compact(extract_page_numbers(chunk["content"]))
+        repeated = F.size(F.array_compact(extract_page_numbers(overlap_tail(chunk["content"], overlap))))
+        # no marker, no tail to look at
+        left = lambda m: F.when(F.size(m) > 0, let(F.size(m) - repeated, lambda n: F.when(n > 0, F.get(m, n - 1))))
+        return let(markers, lambda m: F.struct(chunk.alias("chunk"), m.alias("markers"), left(m).alias("left")))
+
+    start = F.struct(before.cast("int").alias("page"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, entry: Column) -> Column:
+        return F.struct(
+            F.coalesce(entry["left"], acc["page"]).alias("page"), F.concat(acc["at"], F.array(acc["page"])).alias("at")
+        )
+
+    def row(entry: Column, at: Column) -> Column:
+        first = F.get(entry["markers"], F.lit(0))
+        page = F.when(starts_page(entry["chunk"]["content"]), first).otherwise(F.coalesce(at, first))
+        return F.struct(
+            entry["chunk"]["content"].alias("content"),
+            entry["chunk"]["token_count"].alias("token_count"),
+            page.alias("page"),
+            F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(page), entry["markers"])))).alias("pages"),
+        )
+
+    return let(
+        F.transform(packed, marked),
+        lambda entries: F.zip_with(entries, F.aggregate(entries, start, step, lambda acc: acc["at"]), row),
+    )
+
+
 def chunk_corpus(
     docs: DataFrame,
     sep: str = JOINER,
@@ -114,38 +152,41 @@ def chunk_corpus(
     parent_overlap: int = PARENT_OVERLAP,
     child_size: int = CHILD_SIZE,
     child_overlap: int = CHILD_OVERLAP,
+    pages: bool = False,
 ) -> DataFrame:
-    """The same table as ``link_parents`` gives, in one pass over the corpus: each text is packed once."""
-    parents = parent_chunks(docs, parent_size, parent_overlap, sep)
-    packed = pack_sections(split_sections(F.col("content")), child_size, child_overlap)
+    """The same table as ``link_parents`` gives, in one pass over the corpus: each text is packed once.
+
+    With ``pages``, the chunks of texts with page markers also have the columns of ``with_pages``.
+    """
+    fields = ["content", "token_count"] + (["page", "pages"] if pages else [])
+
+    def packed(text: Column, sep: str, size: int, overlap: int, before: Column) -> Column:
+        chunks = pack_sections(split_sections(text, sep), size, overlap)
+        return with_pages(chunks, overlap, before) if pages else chunks
+
+    upper = packed(F.col("text"), sep, parent_size, parent_overlap, F.lit(None))
+    parents = docs.select("document_id", F.posexplode(upper).alias("chunk_index", "chunk")).select(
+        "document_id", "chunk_index", *[F.col(f"chunk.{c}") for c in fields]
+    )
+    lower = packed(F.col("content"), JOINER, child_size, child_overlap, F.col("page") if pages else F.lit(None))
     parent_key = chunk_key(F.col("document_id"), F.col("chunk_index"))
 
-    def row(key: Column, parent: Column, level: str, index: Column, content: Column, tokens: Column) -> Column:
+    def row(key: Column, parent: Column, level: str, index: Column, value) -> Column:
         return F.struct(
             key.alias("chunk_id"),
             parent.alias("parent_id"),
             F.lit(level).alias("level"),
             index.alias("chunk_index"),
-            content.alias("content"),
-            tokens.alias("token_count"),
+            *[value(c).alias(c) for c in fields],
         )
 
-    own = row(
-        parent_key, F.lit(None).cast("string"), PARENT, F.col("chunk_index"), F.col("content"), F.col("token_count")
-    )
+    own = row(parent_key, F.lit(None).cast("string"), PARENT, F.col("chunk_index"), F.col)
     below = F.transform(
-        packed,
-        lambda c, i: row(
-            F.concat_ws(":", parent_key, i.cast("string")), parent_key, CHILD, i, c["content"], c["token_count"]
-        ),
+        lower, lambda c, i: row(F.concat_ws(":", parent_key, i.cast("string")), parent_key, CHILD, i, lambda f: c[f])
     )
     return parents.select("document_id", F.inline(F.concat(F.array(own), below)))
 
 
-def with_page_numbers(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("page_numbers", extract_page_numbers(F.col("content")))
-
-
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(
         F.count_if(F.col("level") == PARENT).alias("parents"), F.count_if(F.col("level") == CHILD).alias("children")

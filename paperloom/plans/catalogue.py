@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.plans import admission, answers, assembly, chunking, parsing, reports, search, streams, validation  # noqa: F401
+from paperloom.plans import admission, answers, assembly, chunking, pages, parsing, reports, search, streams, validation  # noqa: F401
 from paperloom.plans.registry import QUERIES, full_sql
 from paperloom.sources.views import Source
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom.constants import CHUNK_LIMITS
 from paperloom.functions.scale import spread
 from paperloom.functions.text import estimate_tokens, overlap_tail, split_sections
 from paperloom.operators import chunking as C
+from paperloom.operators.admission import audit_lengths
 from paperloom.plans.registry import query, shared_sql
 from paperloom.sources.views import Source
 
@@ -130,3 +132,15 @@ def chunk_corpus(src: Source):
 )
 def chunk_counts(src: Source):
     return C.chunk_counts(corpus_chunks(src))
+
+
+@query(
+    "audit_chunk_lengths",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {f'count(*) FILTER (length({c}) > {n})' if n else 'CAST(0 AS BIGINT)'} AS too_long, "
+        f"count(*) FILTER ({c} IS NULL) AS nulls FROM chunks"
+        for c, (n, _) in CHUNK_LIMITS.items()
+    ),
+)
+def audit_chunk_lengths(src: Source):
+    return audit_lengths(corpus_chunks(src), CHUNK_LIMITS)

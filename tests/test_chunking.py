@@ -77,3 +77,72 @@ def test_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "a")], "document_id long, text string")
     plan = chunk_corpus(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def paged_text(rng: random.Random, n: int) -> str:
+    """Lines of words; some lines are page markers, some pages are empty, the first may have no marker."""
+    lines, page = [], 1
+    for _ in range(n):
+        if rng.random() < 0.3:
+            page += rng.choice([1, 1, 2])
+            lines.append(f"[Page {page}]")
+        else:
+            lines.append(" ".join(rng.choice(["aa", "bb", "dd"]) for _ in range(rng.choice([1, 5, 9, 30]))))
+    return "\n\n".join(lines)
+
+
+def pages_by_position(text: str, starts: list[int], contents: list[str], before: int | None):
+    """Pages by the word each chunk starts at in the text, counted from its words; markers are two words."""
+    seen, at, page = [], [], before
+    words = text.split()
+    for i, word in enumerate(words):
+        if word == "[Page":
+            page = int(words[i + 1][:-1])
+        at.append(page)
+    for start, content in zip(starts, contents, strict=True):
+        n = len(content.split())
+        pages = [p for p in at[start : start + n] if p is not None]
+        # a chunk that begins in the middle of a marker begins on its page
+        seen.append((at[start] if at[start] is not None else (pages or [None])[0], sorted(set(pages))))
+    return seen
+
+
+def test_pages_of_chunks(spark):
+    """Pages found by position: a chunk repeats at most ``overlap`` words of the one before, the rest follows on."""
+    rng = random.Random(11)
+    texts = {i: paged_text(rng, rng.randint(0, 60)) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    chunks = chunk_corpus(docs, parent_size=90, parent_overlap=8, child_size=30, child_overlap=4, pages=True)
+    plain = chunk_corpus(docs, parent_size=90, parent_overlap=8, child_size=30, child_overlap=4)
+    rows = chunks.collect()
+    assert {tuple(r) for r in chunks.select(plain.columns).collect()} == {tuple(r) for r in plain.collect()}
+
+    def starts(contents: list[str], overlap: int) -> list[int]:
+        at, found = 0, []
+        for k, content in enumerate(contents):
+            found.append(at)
+            n = len(content.split())
+            at += n - min(n, overlap) if k + 1 < len(contents) else n
+        return found
+
+    def ordered(keep):
+        return sorted((r for r in rows if keep(r)), key=lambda r: r.chunk_index)
+
+    for i, text in texts.items():
+        parents = ordered(lambda r: r.document_id == i and r.level == "parent")
+        contents = [r.content for r in parents]
+        want = pages_by_position(text, starts(contents, 8), contents, None)
+        assert [(r.page, r.pages) for r in parents] == want
+        for parent in parents:
+            children = ordered(lambda r: r.parent_id == parent.chunk_id)
+            contents = [r.content for r in children]
+            want = pages_by_position(parent.content, starts(contents, 4), contents, parent.page)
+            assert [r.page for r in children] == [w[0] for w in want]
+
+
+def test_text_without_markers_has_no_pages(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "[Page 99999999999] x")], "document_id long, text string")
+    rows = chunk_corpus(docs, pages=True).collect()
+    assert {(r.document_id, r.level, r.page, tuple(r.pages)) for r in rows} == {
+        (i, level, None, ()) for i in (1, 4) for level in ("parent", "child")
+    }
