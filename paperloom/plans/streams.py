@@ -10,6 +10,7 @@ from paperloom.plans.registry import query, shared_sql
 from paperloom.session import new_folder
 from paperloom.sources.views import Source
 from paperloom.streaming import activity, ingest, runs, status
+from paperloom.streaming.verdicts import VerdictTable
 
 shared_sql(
     "change_rows",
@@ -98,3 +99,38 @@ def continuous_validation(src: Source):
         f"{root}/checkpoint",
     ).awaitTermination()
     return src.spark.read.parquet(f"{root}/out").select("document_id", "passed", "rules_evaluated", "rules_failed")
+
+
+def verdict_table(src: Source) -> VerdictTable:
+    """Documents in two batches. With the second one, rules are changed, dropped and added to those the first one met."""
+    root = new_folder(src.spark, "verdicts")
+    now, one = src.validation_rules, F.col("id") == 1
+    before = now.where("id <> 5").select(
+        "id", "name", F.when(one, "warning").otherwise(F.col("rule_type")).alias("rule_type"), "discipline", "def_type",
+        F.when(F.col("id") == 3, "title").otherwise(F.col("def_field")).alias("def_field"), "def_pattern",
+        (F.col("active") | (F.col("id") == 9)).alias("active"),
+    )
+    half = F.col("id") % 2 == 0
+    table = VerdictTable(src.spark, root)
+    table.commit(0, src.ref_documents.where(half), before)
+    table.commit(1, src.ref_documents.where(~half), now)
+    return table
+
+
+@query(
+    "maintained_verdicts",
+    "SELECT document_id, passed, rules_evaluated, rules_failed, failed_rules, warnings FROM judgements",
+)
+def maintained_verdicts(src: Source):
+    names = lambda c: F.array_join(F.transform(c, lambda v: v["rule_name"]), ",").alias(c)
+    return verdict_table(src).validated().select(
+        "document_id", "passed", "rules_evaluated", "rules_failed", names("failed_rules"), names("warnings")
+    )
+
+
+@query(
+    "maintained_rule_totals",
+    "SELECT rule_id, rule_name, rule_type, count(*) AS evaluated, count(*) FILTER (NOT passed) AS failed FROM verdicts GROUP BY ALL",
+)
+def maintained_rule_totals(src: Source):
+    return verdict_table(src).rule_totals().withColumn("rule_id", F.col("rule_id").cast("int"))

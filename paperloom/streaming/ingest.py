@@ -12,6 +12,7 @@ from paperloom.operators.validation import validate_documents
 from paperloom.session import stored
 from paperloom.streaming.known import HashIndex, is_complete
 from paperloom.streaming.runs import for_each_batch
+from paperloom.streaming.verdicts import VerdictTable
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -74,3 +75,18 @@ def continuous_validation(
         _write_batch(validate_documents(batch, read_rules()), path, batch_id)
 
     return for_each_batch(documents, judge, checkpoint, available_now)
+
+
+def maintained_validation(
+    documents: DataFrame,
+    read_rules: Callable[[], DataFrame],
+    path: str,
+    checkpoint: str,
+    available_now: bool = True,
+):
+    """As ``continuous_validation``, but changed rules also reach the documents judged before: a ``VerdictTable`` at ``path``."""
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        VerdictTable(batch.sparkSession, path).commit(batch_id, batch, read_rules())
+
+    return for_each_batch(documents, judge, checkpoint, available_now)
