@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import reports as R
+from paperloom.operators.listing import Listing
 from paperloom.plans.admission import NOW, now, time_text
 from paperloom.plans.registry import query, shared_sql
+from paperloom.session import new_folder
 from paperloom.sources.tables import table_counts
 from paperloom.sources.views import Source
 
@@ -117,6 +119,37 @@ def list_actions(src: Source):
     )
 
 
+RANGES = 16
+
+
+def laid_out(src: Source, rows, name: str, *filters: str) -> Listing:
+    listing = Listing(src.spark, new_folder(src.spark, name), rows.schema, "created_at", "id", filters)
+    listing.write(rows, RANGES)
+    return listing
+
+
+@query(
+    "list_documents_by_range",
+    """SELECT id, document_number, title, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, count(*) OVER () AS total
+FROM ref_documents WHERE status = 'Approved' ORDER BY ref_documents.created_at DESC, id LIMIT 20 OFFSET 300""",
+)
+def list_documents_by_range(src: Source):
+    page = laid_out(src, src.ref_documents, "documents", "discipline", "status").page(20, 300, status="Approved")
+    return page.select("id", "document_number", "title", time_text("created_at").alias("created_at"), "total")
+
+
+@query(
+    "list_actions_by_range",
+    """SELECT id, document_id, action_type, success, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, count(*) OVER () AS total
+FROM agent_actions WHERE action_type = 'click' AND success ORDER BY agent_actions.created_at DESC, id LIMIT 100 OFFSET 50""",
+)
+def list_actions_by_range(src: Source):
+    page = laid_out(src, src.agent_actions, "actions", "action_type", "success").page(100, 50, action_type="click", success=True)
+    return page.select(
+        "id", "document_id", "action_type", "success", time_text("created_at").alias("created_at"), "total"
+    )
+
+
 shared_sql(
     "recent_actions",
     "SELECT * FROM agent_actions WHERE created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 168 HOURS",
