@@ -20,7 +20,7 @@ SALTS = 32
 LOOKUP_ROWS = 500_000
 
 
-def _runs(ordered: Column) -> Column:
+def runs_of(ordered: Column) -> Column:
     """array<struct<term, tf>> of a sorted array: the starts of its runs, and the distance to the next start."""
     positions = F.sequence(F.lit(0), F.size(ordered) - 1)
     starts = F.filter(positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
@@ -41,7 +41,7 @@ def build_text_index(chunks: DataFrame) -> DataFrame:
     The terms of a chunk are counted within its row, so building the index moves nothing between tasks.
     """
     termed = chunks.where(F.col("level") == CHILD).select("chunk_id", terms(F.col("content")).alias("terms"))
-    counted = let(F.sort_array("terms"), _runs)
+    counted = let(F.sort_array("terms"), runs_of)
     return (
         termed.where(F.size("terms") > 0)
         .select("chunk_id", F.size("terms").alias("chunk_terms"), F.inline(counted))
@@ -49,7 +49,7 @@ def build_text_index(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(term: Column, buckets: int) -> Column:
+def term_bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -58,14 +58,14 @@ def write_text_index(index: DataFrame, path: str, buckets: int = 1024) -> None:
 
     The bucket of a frequent term is spread over ``SALTS`` tasks and files.
     """
-    bucketed = index.withColumn("bucket", _bucket(F.col("term"), buckets))
+    bucketed = index.withColumn("bucket", term_bucket(F.col("term"), buckets))
     spread_out = bucketed.repartition(F.col("bucket"), salt_of(F.col("chunk_id"), salts=SALTS))
     spread_out.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 
 def read_text_index(spark: SparkSession, path: str, wanted: DataFrame, buckets: int = 1024) -> DataFrame:
     """The buckets that hold the wanted terms. At most ``buckets`` numbers come to the driver."""
-    numbers = wanted.select(_bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()
+    numbers = wanted.select(term_bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()
     stored_index = spark.read.parquet(path)
     return stored_index.where(F.col("bucket").isin([r["bucket"] for r in numbers])).drop("bucket")
 
@@ -130,13 +130,20 @@ def text_match(
     return complete.where(F.size("postings") == F.col("n_terms")).select("query_id", "chunk_id", F.inline("postings"))
 
 
+def inverse_frequency(df: Column, n_chunks: Column) -> Column:
+    return F.log(F.lit(1.0) + (n_chunks - df + 0.5) / (df + 0.5))
+
+
+def bm25_weight(tf: Column, chunk_terms: Column, mean_terms: Column) -> Column:
+    """The weight of a term in a chunk, still to be multiplied with its inverse frequency."""
+    length = F.lit(1.0 - B) + F.lit(B) * chunk_terms / mean_terms
+    return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * length)
+
+
 def text_rank(matches: DataFrame, statistics: DataFrame) -> DataFrame:
     """query_id, chunk_id, score in 0..1."""
     facts = statistics.select(F.struct("n_chunks", "mean_terms").alias("facts")).scalar()
-    n_chunks, mean_terms = facts["n_chunks"], facts["mean_terms"]
-    idf = F.log(F.lit(1.0) + (n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = F.lit(1.0 - B) + F.lit(B) * F.col("chunk_terms") / mean_terms
-    weight = idf * F.col("tf") * F.lit(K1 + 1.0) / (F.col("tf") + F.lit(K1) * length)
+    weight = inverse_frequency(F.col("df"), facts["n_chunks"]) * bm25_weight(F.col("tf"), F.col("chunk_terms"), facts["mean_terms"])
     summed = matches.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("s"))
     return summed.select("query_id", "chunk_id", F.round(F.col("s") / (F.lit(1.0) + F.col("s")), 12).alias("score"))
 

@@ -16,6 +16,7 @@ from paperloom.functions.text import content_hash
 from paperloom.functions.vectors import cosine_similarity, l2_normalize
 from paperloom.operators import embedding as G
 from paperloom.operators import hybrid_search as H
+from paperloom.operators import text_blocks as B
 from paperloom.operators import text_search as T
 from paperloom.operators import vector_codes as C
 from paperloom.operators import vector_search as V
@@ -348,6 +349,14 @@ def text_topk(src: Source):
     )
 
 
+@query("text_topk_blocks", "SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM text_hits")
+def text_topk_blocks(src: Source):
+    """Over blocks of postings with their best weights, built in the same run."""
+    path = new_folder(src.spark, "blocks")
+    B.write_text_blocks(children(src), path, buckets=16)
+    return B.text_topk_blocks(src.text_queries, path, 2 * LIMIT).select("query_id", "chunk_id", _nine(), "rank")
+
+
 shared_sql("all_label_hits", _label_hits(""))
 shared_sql("mec_label_hits", _label_hits(" WHERE discipline = 'MEC'"))
 

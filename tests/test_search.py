@@ -11,6 +11,7 @@ from paperloom.functions.text import terms
 from paperloom.functions.vectors import cosine_similarity, l2_normalize
 from paperloom.operators import embedding as G
 from paperloom.operators import hybrid_search as H
+from paperloom.operators import text_blocks as B
 from paperloom.operators import text_search as T
 from paperloom.operators import vector_codes as C
 from paperloom.operators import vector_search as V
@@ -376,3 +377,65 @@ def test_filtered_vectors_are_not_moved(spark, vectors):
     assert "Exchange hashpartitioning" not in allowed._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     want = brute(queries, chunks, documents, 7, {3, 4})
     assert ids(V.vector_topk(queries, chunks, documents, 7, DIM, bitmap=bitmap)) == want
+
+
+@pytest.fixture(scope="module")
+def passages(spark):
+    """Chunks of few terms, many of them with equal scores, odd ones among them, and queries of one to three terms."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(12)]
+    shares = np.array([2.0**-i for i in range(12)])
+    rows = []
+    for i in range(900):
+        drawn = rng.choice(vocabulary, size=int(rng.integers(1, 9)), p=shares / shares.sum())
+        rows.append((f"c{i:04d}", "child", " ".join(drawn)))
+    rows += [(f"same{i}", "child", "w0 w1 w5") for i in range(40)]
+    rows += [("p", "parent", "w0 w1"), ("none", "child", None), ("empty", "child", ""), ("stop", "child", "the of and")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, level string, content string").repartition(3)
+    asked = ["w0", "w0 w1", "w5 w0", "w9 w10", "w11 w3 w0", "w0 unknown", "the", "", None, "w0 w0"]
+    return chunks, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+
+
+def listed(hits):
+    return sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 10)) for r in hits.collect())
+
+
+@pytest.mark.parametrize(("bits", "first", "max_rows"), [(2, 1, 1000), (3, 2, 0), (12, 8, 1000)])
+def test_blocks_find_what_the_index_finds(passages, tmp_path, bits, first, max_rows):
+    chunks, queries = passages
+    B.write_text_blocks(chunks, str(tmp_path / "b"), buckets=4, bits=bits)
+    index, statistics = T.build_text_index(chunks), T.text_statistics(chunks)
+    want = listed(T.text_topk(queries, index, statistics, 7))
+    assert want and listed(B.text_topk_blocks(queries, str(tmp_path / "b"), 7, first=first, max_rows=max_rows)) == want
+    allowed = chunks.where("chunk_id LIKE '%3'").select("chunk_id")
+    within = listed(T.text_topk(queries, index, statistics, 7, allowed=allowed))
+    assert within and listed(B.text_topk_blocks(queries, str(tmp_path / "b"), 7, first=first, max_rows=max_rows, allowed=allowed)) == within
+
+
+def test_blocks_that_cannot_hold_a_hit_are_not_read(passages, tmp_path):
+    chunks, queries = passages
+    B.write_text_blocks(chunks, str(tmp_path / "b"), buckets=4, bits=3)
+    search = B.BlockSearch(queries, str(tmp_path / "b"), 3, first=2)
+    read = {r.query_id: (r.blocks, r.read) for r in search.blocks_read().collect()}
+    # the rare terms w9 and w10 meet in few stretches; a query with an unknown term reads nothing
+    assert read[3][1] < read[3][0]
+    assert read[5][1] == 0
+    assert sum(r for _, r in read.values()) * 2 < sum(b for b, _ in read.values())
+    assert search.hits().count() > 0
+
+
+def test_blocks_are_bounded_and_hold_every_posting(spark, passages, tmp_path):
+    chunks, _ = passages
+    B.write_text_blocks(chunks, str(tmp_path / "b"), buckets=4, bits=4)
+    blocks = spark.read.parquet(str(tmp_path / "b/blocks"))
+    assert blocks.agg(F.max("n")).first()[0] <= 16
+    flat = blocks.select("term", F.inline("postings")).select("term", "chunk_id", "tf", "chunk_terms")
+    index = T.build_text_index(chunks)
+    assert flat.exceptAll(index).count() == index.exceptAll(flat).count() == 0
+    assert blocks.where("first > last OR size(postings) <> n").count() == 0
+
+
+def test_blocks_of_no_chunks(passages, tmp_path):
+    chunks, queries = passages
+    B.write_text_blocks(chunks.limit(0), str(tmp_path / "b"), buckets=4)
+    assert B.text_topk_blocks(queries, str(tmp_path / "b"), 3).count() == 0
