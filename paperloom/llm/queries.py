@@ -214,19 +214,19 @@ def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-TEMPLATES = ", ".join(
-    f"({n}, '{label}', '{text}', {str(n < len(license_scan.PHRASES)).lower()})"
-    for n, (label, text) in enumerate([*license_scan.PHRASES, *license_scan.NOTICES])
-)
+TEMPLATES = ", ".join(f"({n}, '{label}', '{text}', {str(phrase).lower()}, {width})" for n, label, text, phrase, width in license_scan.templates())
+GRAMS = f"""CASE width WHEN {license_scan.SHORT} THEN w[i] || ' ' || w[i + 1] ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] END"""
 
 
 @register(
     "op7_license_scan",
     f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("text")} AS w FROM documents),
-t AS (SELECT template, label, phrase, str_split(body, ' ') AS w FROM (VALUES {TEMPLATES}) AS v(template, label, body, phrase)),
-known AS (SELECT template, label, phrase, len(w) - 1 AS pairs, i - 1 AS place, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)),
-placed AS (SELECT r, i - 1 AS spot, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)),
+t AS (SELECT template, label, phrase, width, str_split(body, ' ') AS w FROM (VALUES {TEMPLATES}) AS v(template, label, body, phrase, width)),
+known AS (SELECT template, label, phrase, len(w) - width + 1 AS pairs, i - 1 AS place, {GRAMS} AS pair FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS i FROM t)),
+placed AS (
+  SELECT r, i - 1 AS spot, {GRAMS} AS pair FROM (SELECT r, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, (VALUES ({license_scan.SHORT}), ({license_scan.LONG})) AS v(width))
+),
 votes AS (SELECT DISTINCT r, template, label, pairs, phrase, spot - place AS diagonal, place FROM placed JOIN known USING (pair)),
 lines AS (SELECT DISTINCT r, template, phrase, diagonal FROM votes),
 steps AS (

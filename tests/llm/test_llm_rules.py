@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from paperloom.llm import license_scan, token_rollup, url_rules, warc_revisits
+from paperloom.llm.common import WORD
 from paperloom.llm.queries import QUERIES, STATED_RULES, archive_records, op9_token_rollup, tokenizer_path
 
 
@@ -185,6 +186,37 @@ def test_license_scan_of_odd_rows(spark):
     assert license_scan.license_scan(frame.limit(0)).count() == 0
 
 
+def test_licenses_without_their_opening(spark):
+    """Every passage gives its label alone, also with a word put in; a third of it gives none."""
+    texts = {i: (label, body.split()) for i, label, body, _, width in license_scan.templates() if width == license_scan.LONG}
+    rows = []
+    for i, (_, w) in texts.items():
+        rows += [(i, f"lead {' '.join(w)} trail".upper()), (1000 + i, " ".join(w[: len(w) // 3]))]
+        if len(w) > 24:
+            rows.append((2000 + i, " ".join([*w[:12], "inserted", *w[12:]])))
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: v for d, v in got.items() if d < 1000} == {i: label for i, (label, _) in texts.items()}
+    assert {v for d, v in got.items() if 1000 <= d < 2000} <= {"", "mit"}
+    assert all(v == texts[d - 2000][0] for d, v in got.items() if d >= 2000) and any(d >= 2000 for d in got)
+
+
+def test_license_grams_equal_brute_force(spark, table):
+    """The hits of the scan are the places where a template's words stand, found here by comparing strings."""
+    docs = table("documents").limit(60).select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, license_scan.templates()[-1][2]), (-2, "a b c d"), (-3, "cc"), (-4, None)], "doc_id long, text string")
+    )
+    known = {}
+    for _, _, text, _, width in license_scan.templates():
+        parts = text.split()
+        known.setdefault(width, set()).update(" ".join(parts[i : i + width]) for i in range(len(parts) - width + 1))
+    got = {r.doc_id: (r.n_words, sorted((h.at, h.gram) for h in r.hits)) for r in license_scan.scanned(docs).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in docs.collect():
+        w = re.findall(WORD, (r.text or "").translate(lower))
+        grams = [(i, " ".join(w[i : i + k])) for k in known for i in range(len(w) - k + 1)]
+        assert got[r.doc_id] == (len(w), sorted(g for g in grams if g[1] in known[len(g[1].split(" "))]))
+
+
 def test_batches_count_once_in_any_order(spark, tmp_path):
     rows = spark.createDataFrame(
         [("a", "en", "v", 5), ("a", "en", "v", 5), (None, "en", "v", 7), ("b", None, "v", 0)], "source string, lang string, version string, tokens long"
