@@ -8,7 +8,7 @@ from paperloom.operators import activity as M
 from paperloom.plans.admission import time_text
 from paperloom.plans.registry import query, shared_sql
 from paperloom.session import new_folder
-from paperloom.sources.views import Source
+from paperloom.sources.views import FILES_PER_TRIGGER, Source
 from paperloom.streaming import activity, ingest, runs, status
 from paperloom.streaming.verdicts import VerdictTable
 
@@ -95,7 +95,7 @@ def continuous_validation(src: Source):
     root = new_folder(src.spark, "validation")
     src.validation_rules.write.parquet(f"{root}/rules")
     ingest.continuous_validation(
-        src.view("ref_documents", streaming=True), lambda: src.spark.read.parquet(f"{root}/rules"), f"{root}/out",
+        src.view("ref_documents", streaming=True, files=FILES_PER_TRIGGER), lambda: src.spark.read.parquet(f"{root}/rules"), f"{root}/out",
         f"{root}/checkpoint",
     ).awaitTermination()
     return src.spark.read.parquet(f"{root}/out").select("document_id", "passed", "rules_evaluated", "rules_failed")

@@ -170,17 +170,23 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stream_table(self, name: str) -> DataFrame:
-        """The same table as a file stream, a bounded number of files at a time."""
-        reader = self.spark.readStream.schema(self.table(name).schema).option("pathGlobFilter", f"{name}.parquet")
-        reader = reader.option("maxFilesPerTrigger", FILES_PER_TRIGGER)
-        return reader.parquet(self.folder)
-
-    def view(self, name: str, streaming: bool = False) -> DataFrame:
+    def stream_table(self, name: str, files: int | None = None) -> DataFrame:
+        """The same table, a file or a folder of files, as a stream of at most ``files`` of them at a time.
+
+        Without that number all present files are one micro-batch: those of a table stand in no order of time, which a stream
+        that depends on order would take for late or repeated rows.
+        """
+        reader = self.spark.readStream.schema(self.table(name).schema)
+        if files:
+            reader = reader.option("maxFilesPerTrigger", files)
+        # a pattern may be met by a file as well as by a folder
+        return reader.parquet(f"{self.folder}/[{name[0]}]{name[1:]}.parquet")
+
+    def view(self, name: str, streaming: bool = False, files: int | None = None) -> DataFrame:
         sql = VIEWS[name]
         for base in BASE_TABLES:
             if f"FROM {base}" in sql or f"JOIN {base}" in sql:
-                table = self.stream_table(base) if streaming else self.table(base)
+                table = self.stream_table(base, files) if streaming else self.table(base)
                 table.createOrReplaceTempView(base)
         return self.spark.sql(_HASH.sub(r"sha2(\1, 256)", sql))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import shutil
 
+import duckdb
+from compare import compare
 from pyspark.sql import functions as F
 
 from paperloom.operators import activity as M
@@ -170,3 +172,14 @@ def test_windows_and_rules_per_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {tuple(r) for r in M.activity_windows(actions).collect()}
     assert got and got <= want
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    """A folder of more files than a trigger takes otherwise, in no order of arrival, gives what the SQL does."""
+    for name in ("documents", "labels"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        table.repartition(20).sortWithinPartitions(F.col("doc_id").desc()).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare(spark, con, str(tmp_path), "ingest_stream").startswith("same")
