@@ -183,3 +183,18 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     for name in ("documents", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert compare(spark, con, str(tmp_path), "ingest_stream").startswith("same")
+
+
+def test_events_after_a_final_status_are_left_out(spark):
+    """Of a thousand jobs with a final event on their third of 50, three events each are left before any state is asked."""
+    events = spark.range(50_000).select(
+        F.when(F.col("id") % 1000 > 0, F.concat(F.lit("j"), F.col("id") % 1000)).alias("job_id"), F.col("id").alias("seq"),
+        F.timestamp_seconds(F.expr("1704067200 + id div 1000 * 3600")).alias("ts"),
+        F.when(F.expr("id div 1000 % 3 = 2"), "Approved").otherwise("Checking").alias("status"),
+    )
+    odd = spark.createDataFrame([("j1", None, "2030-01-01 00:00:00", "Approved"), ("j2", 5, None, "Approved"), ("j3", 9, "2025-01-01 00:00:00", None)], "job_id string, seq long, ts string, status string")
+    every = events.unionByName(odd.withColumn("ts", F.col("ts").cast("timestamp"))).coalesce(1)
+    left = every.mapInArrow(status.until_final, every.schema)
+    per_job = {r[0]: r[1] for r in left.groupBy("job_id").count().collect()}
+    # the event without a number is the latest one, that without a time cannot be placed
+    assert per_job == {j: 3 + (j in ("j1", "j2")) for j in [None, *(f"j{i}" for i in range(1, 1000))]}
