@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scale import broadcast_if_small
+from paperloom.llm.common import give_back_memory
 from paperloom.llm.tokens import END_ID, by_size, definition_of, shared_tokenizer
 from paperloom.session import new_folder, stored
 
@@ -183,6 +184,7 @@ def _encoded(docs: DataFrame, definition: str) -> DataFrame:
                     pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(ids)]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "queue", "task", "begin", "n", "ids"])
+        give_back_memory()
 
     # ids travel as text, which keeps large ones exact beside nulls
     return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(encode, schema)
@@ -247,6 +249,7 @@ def pieces(
                      pa.array(tokens[owner]), pa.array(sequence), pa.array(place)],
                     columns,
                 )
+        give_back_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = encoded.join(broadcast_if_small(begins), ["queue", "task"]).select(

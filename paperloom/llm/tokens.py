@@ -21,7 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE_RUNS = 250_000
+from paperloom.llm.common import slices_of
+
+CACHE_RUNS = 100_000
 CACHE_BYTES = 64
 BYTES_AT_ONCE = 1_000_000
 END_ID = 1
@@ -117,10 +119,8 @@ class WordTokenizer:
 def by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about a megabyte together, or are one text, since runs take more room than texts."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    edge = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BYTES_AT_ONCE)) + 1
-    for low, high in zip(np.append(0, edge).tolist(), np.append(edge, batch.num_rows).tolist(), strict=True):
-        if high > low:
-            yield batch.slice(low, high - low)
+    for low, high in slices_of(sizes, BYTES_AT_ONCE):
+        yield batch.slice(low, high - low)
 
 
 def _runs_of(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from paperloom.llm.common import slices_of
 from paperloom.llm import chunk_recipes, decontamination, packing, quality_gam, simhash_bytes, suffix_dedup, tokens
 from paperloom.llm.components import components
 from paperloom.llm.queries import tokenizer_path
@@ -465,3 +466,23 @@ def test_deduplicated_texts_and_their_columns(spark, monkeypatch, rows):
         None: ("c", 3, 0, b"", []),
         4: ("d", 4, 0, b"", []),
     }
+
+
+def test_slices_of_a_batch_are_bounded():
+    """Without its last row, which may be of any size, a slice is smaller than asked for."""
+    sizes = np.array([3, 0, 5, 1, 1, 40, 2, 0])
+    ranges = list(slices_of(sizes, 6))
+    assert [i for low, high in ranges for i in range(low, high)] == list(range(len(sizes)))
+    assert all(sizes[low : high - 1].sum() < 6 for low, high in ranges) and len(ranges) > 1
+    assert list(slices_of(sizes[:0], 6)) == []
+
+
+def test_a_document_is_hit_in_whichever_slice_of_its_batch_it_is(spark, monkeypatch):
+    """The search holds the index of a few documents at a time, one here, and gives what it gives for the batch."""
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 9 : i % 9 + 14])) for i in range(20)] + [(20, None)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("a", " ".join(words[2:15])), ("b", " ".join(words[8:21]))], "item_id string, text string")
+    rows = lambda: sorted(tuple(r) for r in decontamination.contamination_report(docs, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(decontamination, "SHARD_CHARS", 1)
+    assert rows() == whole and {r[5] for r in whole} == {True, False}
