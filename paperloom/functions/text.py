@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ def blank_to_null(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(strip(text), _WORD_GAP), lambda w: w != "")
+    return F.array_remove(F.split(strip(text), _WORD_GAP), "")
 
 
 def word_count(text: Column) -> Column:
@@ -65,10 +68,27 @@ def split_sections(text: Column, sep: str = "\n\n") -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def runs_of_letters(text: Column) -> Column:
+    """Lower-cased alphanumeric runs, stop words and the empty strings at either end among them."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
 def terms(text: Column) -> Column:
     """Lower-cased alphanumeric terms without English stop words, repeats kept."""
-    raw = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(raw, lambda t: (t != "") & ~t.isin(STOP_WORDS))
+    return F.filter(runs_of_letters(text), lambda t: ~t.isin(["", *STOP_WORDS]))
+
+
+def numbered_terms(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The terms among ``runs_of_letters`` of a batch of texts: the row and the number of each, and the distinct runs by number.
+
+    Each distinct run of the batch is looked up once.
+    """
+    found = runs.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(runs)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
+    number = found.indices.to_numpy(zero_copy_only=False)
+    kept = pc.invert(pc.is_in(found.dictionary, pa.array(["", *STOP_WORDS]))).to_numpy(zero_copy_only=False)
+    is_term = kept[number]
+    return row[is_term], number[is_term].astype(np.int64), found.dictionary
 
 
 def content_hash(data: Column) -> Column:

@@ -2,53 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import EMBEDDING_DIM
-from paperloom.functions.text import content_hash, terms
+from paperloom.functions.text import content_hash, numbered_terms, runs_of_letters
 from paperloom.session import stored
 
 Encoder = Callable[[DataFrame], DataFrame]
 STORE_BUCKETS = 64
+ROWS_AT_ONCE = 2048
 
 
-def term_buckets(text: Column, dim: int) -> Column:
-    """The bucket of every term: the first 32 bits of its MD5 modulo ``dim``."""
-    return F.transform(
-        terms(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    )
+def term_bucket(term: str, dim: int) -> int:
+    """The bucket of a term: the first 32 bits of its MD5 modulo ``dim``."""
+    return int.from_bytes(hashlib.md5(term.encode(), usedforsecurity=False).digest()[:4]) % dim
 
 
 def encode_text(texts: DataFrame, dim: int = EMBEDDING_DIM) -> DataFrame:
     """file_hash, content -> file_hash, embedding: unit-length counts of hashed terms.
 
-    The default encoder, for use without a model. Hashing runs in the JVM; only bucket numbers go to Python, where a
-    whole Arrow batch is counted at once.
+    The default encoder, for use without a model. Texts are cut in the JVM; the distinct terms of a batch of rows are hashed once,
+    and the batch is counted at once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            n = len(lengths)
-            rows = np.repeat(np.arange(n), lengths)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
-            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            unit = np.divide(counts, norms, out=counts, where=norms > 0)
-            vectors = pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(unit.reshape(-1).astype(np.float32))
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["file_hash", "embedding"])
-
-    bucketed = texts.select("file_hash", term_buckets(F.col("content"), dim).alias("buckets"))
-    return bucketed.mapInArrow(count, "file_hash string, embedding array<float>")
+        for whole in batches:
+            for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                n = batch.num_rows
+                row, number, distinct = numbered_terms(batch.column("runs"))
+                bucket = np.array([term_bucket(t, dim) for t in distinct.to_pylist()], dtype=np.int64)
+                counts = np.bincount(row * dim + bucket[number], minlength=n * dim).reshape(n, dim).astype(np.float64)
+                norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                unit = np.divide(counts, norms, out=counts, where=norms > 0)
+                vectors = pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(unit.reshape(-1).astype(np.float32))
+                )
+                yield pa.RecordBatch.from_arrays([batch.column("file_hash"), vectors], ["file_hash", "embedding"])
+
+    cut = texts.select("file_hash", runs_of_letters(F.col("content")).alias("runs"))
+    return cut.mapInArrow(count, "file_hash string, embedding array<float>")
 
 
 def model_encoder(load_model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Encoder:

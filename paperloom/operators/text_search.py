@@ -5,17 +5,23 @@ Terms are lower-cased words without English stop words, not stemmed. The rank is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import CHILD
 from paperloom.functions.scale import BROADCAST_ROWS, broadcast_if_small, is_small, replicate, salt_of
-from paperloom.functions.text import let, terms
+from paperloom.functions.text import let, numbered_terms, runs_of_letters, terms
 from paperloom.operators.vector_search import rank_hits
 from paperloom.session import stored
 
 K1, B = 1.2, 0.75
 SALTS = 32
+# chunks whose terms are counted together
+ROWS_AT_ONCE = 2048
 # (term, chunk) pairs that may be broadcast: about 60 bytes each
 LOOKUP_ROWS = 500_000
 
@@ -38,15 +44,24 @@ def runs_of(ordered: Column) -> Column:
 def build_text_index(chunks: DataFrame) -> DataFrame:
     """Postings of the children: term, chunk_id, tf, chunk_terms.
 
-    The terms of a chunk are counted within its row, so building the index moves nothing between tasks.
+    The terms of a chunk are counted where its row is, a batch of rows at a time, so building the index moves nothing between tasks.
     """
-    termed = chunks.where(F.col("level") == CHILD).select("chunk_id", terms(F.col("content")).alias("terms"))
-    counted = let(F.sort_array("terms"), runs_of)
-    return (
-        termed.where(F.size("terms") > 0)
-        .select("chunk_id", F.size("terms").alias("chunk_terms"), F.inline(counted))
-        .select("term", "chunk_id", "tf", "chunk_terms")
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, ROWS_AT_ONCE) for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
+                row, number, distinct = numbered_terms(batch.column("runs"))
+                key, tf = np.unique(row * len(distinct) + number, return_counts=True)
+                at = key // max(1, len(distinct))
+                n_terms = np.bincount(row, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [distinct.take(pa.array(key - at * len(distinct))), batch.column("chunk_id").take(pa.array(at)),
+                     pa.array(tf.astype(np.int32)), pa.array(n_terms[at].astype(np.int32))],
+                    ["term", "chunk_id", "tf", "chunk_terms"],
+                )
+
+    lower = chunks.where(F.col("level") == CHILD).select("chunk_id", runs_of_letters(F.col("content")).alias("runs"))
+    return lower.mapInArrow(count, f"term string, chunk_id {dict(chunks.dtypes)['chunk_id']}, tf int, chunk_terms int")
 
 
 def term_bucket(term: Column, buckets: int) -> Column:

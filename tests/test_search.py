@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.bitmaps import MAX_BUCKETS, bitmap_of, in_bitmap
-from paperloom.functions.text import terms
+from paperloom.functions.text import numbered_terms, runs_of_letters, terms
 from paperloom.functions.vectors import cosine_similarity, l2_normalize
 from paperloom.operators import embedding as G
 from paperloom.operators import hybrid_search as H
@@ -439,3 +439,17 @@ def test_blocks_of_no_chunks(passages, tmp_path):
     chunks, queries = passages
     B.write_text_blocks(chunks.limit(0), str(tmp_path / "b"), buckets=4)
     assert B.text_topk_blocks(queries, str(tmp_path / "b"), 3).count() == 0
+
+
+def test_terms_of_a_batch_are_counted_as_those_of_each_text(spark, monkeypatch):
+    """Odd texts in slices of two rows: null, empty, stop words only, upper case, other scripts, blanks at the ends."""
+    texts = [None, "", "the and of", " Pump PUMP pump-2 Straße ÉTÉ ", " насос насос\t水泵 x", "the pump the", "..."]
+    chunks = spark.createDataFrame([(i, "child", t) for i, t in enumerate(texts)], "chunk_id long, level string, content string").coalesce(1)
+    monkeypatch.setattr(T, "ROWS_AT_ONCE", 2)
+    got = sorted((r.chunk_id, r.term, r.tf, r.chunk_terms) for r in T.build_text_index(chunks).collect())
+    listed = {r[0]: r[1] for r in chunks.select("chunk_id", terms("content")).collect()}
+    assert got == sorted((i, t, ts.count(t), len(ts)) for i, ts in listed.items() for t in set(ts or []))
+    assert listed[3] == ["pump", "pump", "pump", "2", "straße", "été"] and listed[2] == listed[1] == []
+    runs = chunks.select(runs_of_letters(F.col("content")).alias("r")).toArrow().column("r").combine_chunks()
+    row, number, distinct = numbered_terms(runs)
+    assert [distinct[n].as_py() for n in number.tolist()] == [t for i in range(len(texts)) for t in listed[i] or []] and len(row) == len(number)
