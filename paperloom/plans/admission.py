@@ -145,7 +145,8 @@ def upsert_written_documents(src: Source):
     tables.write_tables({"documents": unset}, root)
     before = tables.read_table(src.spark, root, "documents")
     touched = before.join(src.processing_results.select("id"), "id", "left_semi").select(F.col("discipline").alias("part")).distinct()
-    affected = before.join(touched, F.col("discipline").eqNullSafe(F.col("part")), "left_semi")
+    # a row per partition; in a shuffle, all documents of a discipline would meet in one task
+    affected = before.join(F.broadcast(touched), F.col("discipline").eqNullSafe(F.col("part")), "left_semi")
     merged = stored(A.upsert_documents(affected, src.processing_results, now(), "deterministic-v1"), "merged")
     tables.rewrite_partitions(merged, f"{root}/documents", ["discipline"])
     after = tables.read_table(src.spark, root, "documents")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.plans import admission as admission_plans
+from paperloom.session import stored
+from paperloom.sources.views import Source
 from paperloom.operators import answers as I
 from paperloom.operators import assembly as B
 from paperloom.operators import enrichment as E
@@ -107,3 +110,12 @@ def test_reports_on_empty_tables(spark):
         list_documents(spark.range(1), page_size=0)
     lines = spark.createDataFrame([(1, None, "", "ELC", None, "Approved")], "id long, document_number string, title string, discipline string, page_count int, status string")
     assert tuple(document_lines(lines).collect()[0]) == (1, "N/A", "N/A", "ELC", 0, "Approved")
+
+
+def test_documents_of_a_discipline_do_not_meet_in_one_task(spark, folder, monkeypatch):
+    """The partitions that results touch are sent to where the documents are."""
+    plans = []
+    monkeypatch.setattr(admission_plans, "stored", lambda df, purpose: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, purpose))
+    written = admission_plans.upsert_written_documents(Source(spark, folder))
+    assert written.count() == Source(spark, folder).ref_documents.count()
+    assert len(plans) == 1 and any("LeftSemi" in line and "<=>" in line and "rightHint=(strategy=broadcast)" in line for line in plans[0].splitlines())
