@@ -13,13 +13,18 @@ stretches. A block holds at most ``2 ** bits`` postings.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.constants import CHILD
 from paperloom.functions.scale import BROADCAST_ROWS, is_small, replicate, salt_of
 from paperloom.functions.text import let, terms
-from paperloom.operators.text_search import SALTS, bm25_weight, inverse_frequency, query_terms, runs_of, term_bucket
+from paperloom.operators.text_search import ROWS_AT_ONCE, SALTS, bm25_weight, inverse_frequency, query_terms, runs_of, term_bucket
 from paperloom.operators.vector_search import rank_hits
 from paperloom.session import stored
 
@@ -32,12 +37,11 @@ SLACK = 1e-9
 def write_text_blocks(chunks: DataFrame, path: str, buckets: int = 256, bits: int = BITS) -> None:
     """The blocks of the children's terms under ``path``/blocks, by bucket of their term, and ``path``/statistics.
 
-    Texts are cut into terms once. A bucket is spread over ``SALTS`` tasks and files by stretches.
+    Texts are cut into terms once. A bucket has a file of each task that reads these terms.
     """
     children = chunks.where(F.col("level") == CHILD).select("chunk_id", F.sort_array(terms(F.col("content"))).alias("terms"))
     counted = stored(
         children.select(
-            F.monotonically_increasing_id().alias("number"),
             "chunk_id",
             F.size("terms").alias("chunk_terms"),
             F.when(F.size("terms") > 0, let(F.col("terms"), runs_of)).alias("counts"),
@@ -47,27 +51,74 @@ def write_text_blocks(chunks: DataFrame, path: str, buckets: int = 256, bits: in
     statistics = counted.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("chunk_terms").alias("mean_terms"))
     statistics = statistics.withColumns({"buckets": F.lit(buckets), "id_type": F.lit(dict(chunks.dtypes)["chunk_id"])})
     statistics.write.parquet(f"{path}/statistics")
-    mean_terms = F.lit(chunks.sparkSession.read.parquet(f"{path}/statistics").first()["mean_terms"]).cast("double")
-    stretch = F.shiftright("number", bits)
-    postings = (
-        counted.select("number", "chunk_id", "chunk_terms", F.inline("counts"))
-        .withColumn("stretch", stretch)
-        .withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .withColumn("salt", F.pmod("stretch", F.lit(SALTS)))
+    mean_terms = chunks.sparkSession.read.parquet(f"{path}/statistics").first()["mean_terms"]
+    blocks = blocks_of(counted, mean_terms, bits).withColumn("bucket", term_bucket(F.col("term"), buckets))
+    blocks.sortWithinPartitions("bucket", "term", "stretch").write.partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def blocks_of(counted: DataFrame, mean_terms: float | None, bits: int = BITS) -> DataFrame:
+    """term, stretch, n, first, last, best, postings of chunk_id, chunk_terms, counts.
+
+    Chunks are numbered by the task that reads them, so a stretch lies in one task, which makes its blocks: postings are not moved.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            stretch = rows.column("number").to_numpy() >> bits
+            at = whole = 0
+            for whole in (np.flatnonzero(np.diff(stretch)) + 1).tolist():
+                if whole - at >= ROWS_AT_ONCE:
+                    yield _blocks_of_rows(rows.slice(at, whole - at), mean_terms, bits)
+                    at = whole
+            if at < whole:
+                yield _blocks_of_rows(rows.slice(at, whole - at), mean_terms, bits)
+            # the last stretch may go on in the next batch
+            rest = rows.slice(whole)
+        if rest is not None:
+            yield _blocks_of_rows(rest, mean_terms, bits)
+
+    numbered = counted.where(F.col("counts").isNotNull()).select(
+        F.monotonically_increasing_id().alias("number"), "chunk_id", "chunk_terms", "counts"
     )
-    blocks = (
-        postings.repartition("bucket", "salt")
-        .groupBy("bucket", "salt", "term", "stretch")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("number").alias("first"),
-            F.max("number").alias("last"),
-            F.max(bm25_weight(F.col("tf"), F.col("chunk_terms"), mean_terms)).alias("best"),
-            F.collect_list(F.struct("number", "chunk_id", "tf", "chunk_terms")).alias("postings"),
-        )
-        .drop("salt")
+    return numbered.mapInArrow(cut, _columns(dict(counted.dtypes)["chunk_id"]))
+
+
+def _blocks_of_rows(rows: pa.RecordBatch, mean_terms: float, bits: int) -> pa.RecordBatch:
+    """The blocks of whole stretches of chunks, which stand in the order of their numbers."""
+    number, chunk_terms = (rows.column(c).to_numpy() for c in ("number", "chunk_terms"))
+    counts = rows.column("counts")
+    term, tf = counts.flatten().flatten()
+    term = term.dictionary_encode()
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(counts).to_numpy())
+    code = term.indices.to_numpy().astype(np.int64)
+    key = ((number[row] >> bits) - (number[0] >> bits)) * len(term.dictionary) + code
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    ends = np.append(starts[1:], len(order))
+    row, code, tf = row[order], code[order], tf.to_numpy()[order]
+    postings = pa.StructArray.from_arrays(
+        [pa.array(number[row]), rows.column("chunk_id").take(pa.array(row)), pa.array(tf), pa.array(chunk_terms[row])],
+        ["number", "chunk_id", "tf", "chunk_terms"],
     )
-    blocks.sortWithinPartitions("bucket", "term", "stretch").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    columns = {
+        "term": term.dictionary.take(pa.array(code[starts])),
+        "stretch": pa.array(number[row[starts]] >> bits),
+        "n": pa.array(ends - starts),
+        "first": pa.array(number[row[starts]]),
+        "last": pa.array(number[row[ends - 1]]),
+        "best": pa.array(np.maximum.reduceat(bm25_weight(tf, chunk_terms[row], mean_terms), starts)),
+        "postings": pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), postings),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _columns(id_type: str) -> str:
+    postings = f"array<struct<number:bigint,chunk_id:{id_type},tf:int,chunk_terms:int>>"
+    return f"term string, stretch long, n long, first long, last long, best double, postings {postings}"
 
 
 class BlockSearch:
@@ -94,9 +145,7 @@ class BlockSearch:
         """The buckets of the wanted terms; at most as many numbers as there are buckets come to the driver."""
         numbers = [r["bucket"] for r in self.wanted.select(term_bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()]
         # an index of no chunks has no file to tell the columns from
-        postings = f"array<struct<number:bigint,chunk_id:{id_type},tf:int,chunk_terms:int>>"
-        columns = f"term string, stretch long, n long, first long, last long, best double, postings {postings}, bucket int"
-        return spark.read.schema(columns).parquet(f"{path}/blocks").where(F.col("bucket").isin(numbers)).drop("bucket")
+        return spark.read.schema(f"{_columns(id_type)}, bucket int").parquet(f"{path}/blocks").where(F.col("bucket").isin(numbers)).drop("bucket")
 
     def _found(self) -> DataFrame:
         """The facts of the blocks of each query's terms, without their postings."""

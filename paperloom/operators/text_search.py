@@ -150,9 +150,9 @@ def inverse_frequency(df: Column, n_chunks: Column) -> Column:
 
 
 def bm25_weight(tf: Column, chunk_terms: Column, mean_terms: Column) -> Column:
-    """The weight of a term in a chunk, still to be multiplied with its inverse frequency."""
-    length = F.lit(1.0 - B) + F.lit(B) * chunk_terms / mean_terms
-    return tf * F.lit(K1 + 1.0) / (tf + F.lit(K1) * length)
+    """The weight of a term in a chunk, still to be multiplied with its inverse frequency; of numpy arrays as of columns."""
+    length = (1.0 - B) + B * chunk_terms / mean_terms
+    return tf * (K1 + 1.0) / (tf + K1 * length)
 
 
 def text_rank(matches: DataFrame, statistics: DataFrame) -> DataFrame:

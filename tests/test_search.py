@@ -453,3 +453,25 @@ def test_terms_of_a_batch_are_counted_as_those_of_each_text(spark, monkeypatch):
     runs = chunks.select(runs_of_letters(F.col("content")).alias("r")).toArrow().column("r").combine_chunks()
     row, number, distinct = numbered_terms(runs)
     assert [distinct[n].as_py() for n in number.tolist()] == [t for i in range(len(texts)) for t in listed[i] or []] and len(row) == len(number)
+
+
+def test_blocks_are_made_where_their_chunks_are_read(spark):
+    """Batches of three rows, stretches of eight: a block goes over batches, and no posting is moved."""
+    rows = [(f"c{i}", 2 + i % 3, None if i % 5 == 4 else [("a", 1 + i % 3), (f"t{i % 2}", 1)]) for i in range(40)]
+    counted = spark.createDataFrame(rows, "chunk_id string, chunk_terms int, counts array<struct<term:string,tf:int>>").repartition(2)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        blocks = B.blocks_of(counted, 3.0, bits=3)
+        plan = blocks._jdf.queryExecution().executedPlan().toString()
+        made = blocks.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert plan.count("Exchange") == plan.count("Exchange RoundRobin") == 1
+    assert len({(b.term, b.stretch) for b in made}) == len(made)
+    flat = sorted((p.chunk_id, b.term, p.tf, p.chunk_terms) for b in made for p in b.postings)
+    assert flat == sorted((c, t, tf, n) for c, n, counts in rows for t, tf in counts or [])
+    for b in made:
+        numbers = [p.number for p in b.postings]
+        assert (b.n, b.first, b.last) == (len(numbers), min(numbers), max(numbers)) and {x >> 3 for x in numbers} == {b.stretch}
+        assert b.best == max(T.bm25_weight(p.tf, p.chunk_terms, 3.0) for p in b.postings)
