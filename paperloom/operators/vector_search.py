@@ -29,6 +29,8 @@ MAX_SENT_QUERIES = 4096
 BLOCK_CHUNKS = 20_000
 _ROUND = 12  # equal vectors must tie whatever the order of summation
 _CELLS = 4_000_000
+# Rows with a vector that a task makes or multiplies at once: 1 MB of 64 floats, or 6 MB of 384.
+_ROWS = 4096
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -48,7 +50,8 @@ class _Best:
         step = max(1, _CELLS // max(1, len(which)))
         for start in range(0, len(ids), step):
             part_ids = ids[start : start + step]
-            scores = np.round(chunks[start : start + step] @ queries[which].T, _ROUND)
+            scores = chunks[start : start + step] @ queries[which].T
+            np.round(scores, _ROUND, out=scores)
             floor = self.floor[which]
             if len(scores) > self.k:
                 floor = np.fmax(floor, np.partition(scores, -self.k, axis=0)[-self.k])
@@ -195,12 +198,9 @@ def _score_blocks(queries: DataFrame, chunks: DataFrame, k: int, block_queries:
     def score(q: pa.Table, c: pa.Table) -> pa.Table:
         best = _Best(q.num_rows, k)
         if q.num_rows and c.num_rows:
-            best.add(
-                c.column("chunk_id").to_numpy(),
-                _unit(_matrix(c.column("embedding").combine_chunks())),
-                _unit(_matrix(q.column("embedding").combine_chunks())),
-                np.arange(q.num_rows),
-            )
+            asked = _unit(_matrix(q.column("embedding").combine_chunks()))
+            for part in c.select(["chunk_id", "embedding"]).to_batches(max_chunksize=_ROWS):
+                best.add(part.column(0).to_numpy(zero_copy_only=False), _unit(_matrix(part.column(1))), asked, np.arange(q.num_rows))
         return _hits_table(best, q.column("query_id").to_pylist(), q.schema.field("query_id").type, c.schema.field("chunk_id").type)
 
     keys = ["list_id", "qb", "cb"]
@@ -254,6 +254,13 @@ def train_lists(vectors: DataFrame, lists: int = VECTOR_LISTS, seed: int = 42) -
     return _unit(np.array(model.clusterCenters(), dtype=np.float64))
 
 
+def with_list(batch: pa.RecordBatch, centres: np.ndarray) -> pa.RecordBatch:
+    """The batch with list_id, the nearest centre of each vector."""
+    vectors = _unit(_matrix(batch.column("embedding")))
+    numbers = np.argmax(np.nan_to_num(vectors @ centres.T, nan=-2.0), axis=1).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "list_id"])
+
+
 def assign_lists(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     """Adds list_id, the nearest centre, to the chunks that have a vector of the centres' length; others are left out.
 
@@ -264,11 +271,7 @@ def assign_lists(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _unit(_matrix(batch.column(batch.schema.get_field_index("embedding"))))
-            numbers = np.argmax(np.nan_to_num(vectors @ sent.value.T, nan=-2.0), axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers)], [*batch.schema.names, "list_id"]
-            )
+            yield with_list(batch, sent.value)
 
     columns = ", ".join(f"{name} {kind}" for name, kind in chunks.dtypes)
     return chunks.mapInArrow(nearest, f"{columns}, list_id int")
@@ -381,21 +384,8 @@ def assign_probes(queries: DataFrame, centres: np.ndarray, probes: int, reach: n
     sent = queries.sparkSession.sparkContext.broadcast((centres, reach))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, reach = sent.value
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = _unit(_matrix(batch.column(1)))
-            if reach is None:
-                near = nearest_lists(matrix, centres, probes)
-                rows, numbers = np.repeat(np.arange(batch.num_rows), near.shape[1]), near.reshape(-1)
-            else:
-                floors = batch.column(2).to_numpy(zero_copy_only=False)
-                rows, numbers = np.nonzero(further_lists(matrix, centres, probes, reach, np.nan_to_num(floors, nan=-np.inf)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(numbers.astype(np.int32))],
-                ["query_id", "embedding", "list_id"],
-            )
+            yield from probes_of_batch(batch, *sent.value, probes)
 
     kinds = dict(queries.dtypes)
     return queries.select("query_id", "embedding", *["floor"] * (reach is not None)).mapInArrow(
@@ -403,6 +393,23 @@ def assign_probes(queries: DataFrame, centres: np.ndarray, probes: int, reach: n
     )
 
 
+def probes_of_batch(batch: pa.RecordBatch, centres: np.ndarray, reach: np.ndarray | None, probes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`assign_probes` for a batch of queries. The vector is repeated per list, so few queries are taken at once."""
+    step = max(1, _ROWS // len(centres))
+    for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+        matrix = _unit(_matrix(part.column(1)))
+        if reach is None:
+            near = nearest_lists(matrix, centres, probes)
+            rows, numbers = np.repeat(np.arange(part.num_rows), near.shape[1]), near.reshape(-1)
+        else:
+            floors = part.column(2).to_numpy(zero_copy_only=False)
+            rows, numbers = np.nonzero(further_lists(matrix, centres, probes, reach, np.nan_to_num(floors, nan=-np.inf)))
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(numbers.astype(np.int32))],
+            ["query_id", "embedding", "list_id"],
+        )
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate search found: one row with hits, found, recall."""
     found = approximate.select("query_id", "chunk_id", F.lit(1).alias("found"))

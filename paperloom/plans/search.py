@@ -264,7 +264,7 @@ def _layout(src: Source):
     chunks = src.search_chunks.select("chunk_id", "document_id", "level", "embedding")
     centres = V.train_lists(V.usable_chunks(chunks, DIM), lists=100)
     path = new_folder(src.spark, "lists")
-    V.write_lists(C.with_codes(V.assign_lists(chunks, centres), DIM), path)
+    V.write_lists(C.coded_lists(chunks, centres), path)
     listed = src.spark.read.parquet(path)
     return listed, centres, V.list_reach(V.usable_chunks(listed, DIM), centres)
 

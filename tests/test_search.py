@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,3 +476,29 @@ def test_blocks_are_made_where_their_chunks_are_read(spark):
         numbers = [p.number for p in b.postings]
         assert (b.n, b.first, b.last) == (len(numbers), min(numbers), max(numbers)) and {x >> 3 for x in numbers} == {b.stretch}
         assert b.best == max(T.bm25_weight(p.tf, p.chunk_terms, 3.0) for p in b.postings)
+
+
+def test_queries_are_spread_over_lists_a_few_at_once(monkeypatch):
+    """A batch of queries for which no list can be ruled out; their rows come in small batches, and are those of one."""
+    monkeypatch.setattr(V, "_ROWS", 64)
+    rng = np.random.default_rng(2)
+    centres, vectors = V._unit(rng.normal(size=(16, DIM))), rng.normal(size=(50, DIM))
+    floors = [None if i % 2 else -1.0 for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(vectors.tolist()), pa.array(floors, pa.float64())], ["query_id", "embedding", "floor"])
+    for reach, n in ((None, 3), (np.full(16, 3.0), 13)):
+        made = list(V.probes_of_batch(batch, centres, reach, 3))
+        assert max(b.num_rows for b in made) <= 64
+        rows = pa.Table.from_batches(made).to_pylist()
+        nearest = V.nearest_lists(V._unit(vectors), centres, 3)
+        want = [(q, x) for q in range(50) for x in range(16) if (x in nearest[q]) == (reach is None)]
+        assert sorted((r["query_id"], r["list_id"]) for r in rows) == want and len(rows) == 50 * n
+        assert all(r["embedding"] == vectors[r["query_id"]].tolist() for r in rows)
+
+
+def test_lists_and_codes_are_made_in_one_pass(spark, vectors):
+    _, chunks, _ = vectors
+    centres = V._unit(np.random.default_rng(4).normal(size=(6, DIM)))
+    both = C.coded_lists(chunks, centres)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = C.with_codes(V.assign_lists(chunks, centres), DIM)
+    assert both.schema == want.schema and both.exceptAll(want).count() == want.exceptAll(both).count() == 0 < both.count()
