@@ -122,6 +122,11 @@ class _Hopeful:
         return found
 
 
+def _alone(column: pa.Array) -> pa.Array:
+    """A copy of a column; the column itself keeps its whole batch, codes and all, in memory."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def _bounded(chunks: DataFrame, queries: np.ndarray, k: int, lists_of: np.ndarray, floors: np.ndarray) -> DataFrame:
     """(query, chunk_id, list_id, lower, upper) of the pairs that a task can't rule out. ``lists_of[q]`` are the lists of query q."""
     sent = chunks.sparkSession.sparkContext.broadcast((queries, lists_of, floors))
@@ -137,8 +142,8 @@ def _bounded(chunks: DataFrame, queries: np.ndarray, k: int, lists_of: np.ndarra
             codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.int8).reshape(batch.num_rows, -1)
             scale, miss = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
             first = sum(map(len, lists))
-            lists.append(numbers)
-            chunk_ids.append(batch.column(0))
+            lists.append(numbers.copy())
+            chunk_ids.append(_alone(batch.column(0)))
             for number in np.unique(numbers):
                 which = np.flatnonzero((probed == number).any(axis=1))
                 rows = np.flatnonzero(numbers == number)

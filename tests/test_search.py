@@ -502,3 +502,17 @@ def test_lists_and_codes_are_made_in_one_pass(spark, vectors):
     assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     want = C.with_codes(V.assign_lists(chunks, centres), DIM)
     assert both.schema == want.schema and both.exceptAll(want).count() == want.exceptAll(both).count() == 0 < both.count()
+
+
+def test_ids_that_are_held_do_not_hold_their_codes():
+    def batch():
+        sink = pa.BufferOutputStream()
+        made = pa.record_batch([pa.array(range(1000)), pa.array([bytes(1000)] * 1000, pa.binary())], ["chunk_id", "code"])
+        with pa.ipc.new_stream(sink, made.schema) as out:
+            out.write_batch(made)
+        return pa.ipc.open_stream(pa.BufferReader(sink.getvalue())).read_next_batch()
+
+    before = pa.total_allocated_bytes()
+    held = [C._alone(batch().column(0)) for _ in range(5)]
+    assert pa.total_allocated_bytes() - before < 500_000
+    assert all(h.to_pylist() == list(range(1000)) for h in held)
