@@ -35,10 +35,8 @@ _SUPPORTED = ", ".join(sorted(FILE_TYPES))
 @query("scan_files")
 def scan_files(src: Source):
     """The files of the folder with length and content hash. SQL over tables can't read them; the tests hash them again."""
-    found = files.scan_files(src.spark, src.folder, "*.parquet")
-    return found.select(
-        last_part(F.col("path")).alias("file_name"), "length", F.octet_length("content").cast("long").alias("n_bytes"), content_hash(F.col("content")).alias("file_hash")
-    )
+    found = files.hashed_files(src.spark, src.folder, "*.parquet", files.TURN_BYTES)
+    return found.select(last_part(F.col("path")).alias("file_name"), "length", "n_bytes", "file_hash")
 
 
 @query(

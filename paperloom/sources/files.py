@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.constants import FILE_TYPES
-from paperloom.functions.text import extension
+from paperloom.functions import sha256
+from paperloom.functions.text import content_hash, extension
+from paperloom.session import Scratch, new_folder, stored
+
+# Longer files are hashed by tasks that take turns, each over about so many bytes.
+TURN_BYTES = 128 << 20
+# Spark's text reader unpacks files with the suffix of a codec.
+PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+_TURN = "file string, length long, start long, line long, bytes binary"
+
+
+def _files(spark: SparkSession, kind: str, folder: str | list[str], glob: str) -> DataFrameReader:
+    reader = spark.read.format(kind).option("recursiveFileLookup", "false")
+    return reader.option("pathGlobFilter", glob) if isinstance(folder, str) else reader
 
 
 def scan_files(spark: SparkSession, folder: str | list[str], glob: str = "*.pdf") -> DataFrame:
@@ -14,10 +34,109 @@ def scan_files(spark: SparkSession, folder: str | list[str], glob: str = "*.pdf"
 
     The content is only read when a later step uses it.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-    if isinstance(folder, str):
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
+    return _files(spark, "binaryFile", folder, glob).load(folder)
+
+
+def _in_turns(turn_bytes: int) -> Column:
+    """Of the metadata alone, by which Spark leaves out files before it reads them."""
+    return (F.col("_metadata.file_size") > turn_bytes) & ~F.col("_metadata.file_name").rlike(PACKED)
+
+
+def hashed_files(spark: SparkSession, folder: str | list[str], glob: str = "*.pdf", turn_bytes: int = TURN_BYTES) -> DataFrame:
+    """The files of :func:`scan_files` with path, length, n_bytes (those hashed) and file_hash (SHA-256).
+
+    Files of up to ``turn_bytes`` are read whole, and so are longer ones with the suffix of a codec. Of the others a task reads a
+    stretch, whatever the length of the file.
+    """
+    found = scan_files(spark, folder, glob)
+    hashed = found.where(~_in_turns(turn_bytes)).select(
+        "path", "length", F.octet_length("content").cast("long").alias("n_bytes"), content_hash(F.col("content")).alias("file_hash")
+    )
+    long = found.where(_in_turns(turn_bytes)).select(F.col("_metadata.file_path").alias("file"), "path", "length")
+    longest, n = long.agg(F.max("length"), F.count(F.lit(1))).first()
+    if not n:
+        return hashed
+    scratch = Scratch(spark)
+    states = _hashed_in_turns(scratch, _stretches(scratch, folder, glob, turn_bytes), long, -(-longest // turn_bytes), n)
+    ended = F.udf(lambda state: (sha256.n_bytes(state), sha256.digest(state)), "n_bytes long, file_hash string")
+    in_turns = stored(long.join(states.select("file", ended("bytes").alias("of")), "file").select("path", "length", "of.*"), "hashed-files")
+    scratch.drop()
+    return hashed.unionByName(in_turns)
+
+
+def _stretches(scratch: Scratch, folder: str | list[str], glob: str, turn_bytes: int) -> DataFrame:
+    """The long files in pieces, by turn: split at newlines, the only way in which Spark reads a file of any kind in parts."""
+    start = F.col("_metadata.file_block_start")
+    lines = (
+        _files(scratch.spark, "text", folder, glob)
+        .option("lineSep", "\n")
+        .load(folder)
+        .where(_in_turns(turn_bytes))
+        .select(
+            F.col("_metadata.file_path").alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("line"),
+            F.col("value").cast("binary").alias("bytes"),
+        )
+    )
+    pieces = lines.mapInArrow(_joined_lines, "file string, start long, line long, bytes binary").withColumns(
+        {"n": F.octet_length("bytes").cast("long"), "turn": F.floor(F.col("start") / turn_bytes)}
+    )
+    path = new_folder(scratch.spark, "file-stretches")
+    scratch.paths.append(path)
+    # a hundred pieces make a page unless sizes are looked at earlier, and compressing such a page takes as much memory again
+    writer = pieces.write.partitionBy("turn").options(compression="none").option("parquet.page.size.row.check.min", "1")
+    writer.parquet(path)
+    return scratch.spark.read.schema(pieces.schema).parquet(path)
+
+
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a batch that follow each other in a file as one row, a newline after each; the row has the number of the first."""
+    for batch in batches:
+        starts = batch.column("start").to_numpy()
+        # two blocks that meet in a batch differ in start, or else in file
+        files = pc.dictionary_encode(batch.column("file")).indices.to_numpy()
+        changes = np.flatnonzero((starts[1:] != starts[:-1]) | (files[1:] != files[:-1])) + 1
+        for begin, end in pairwise([0, *changes.tolist(), batch.num_rows]):
+            if begin < end:
+                lines = pa.ListArray.from_arrays([0, end - begin], batch.column("bytes").slice(begin, end - begin))
+                joined = pc.binary_join_element_wise(pc.binary_join(lines, b"\n"), b"", b"\n")
+                yield batch.slice(begin, 1).drop_columns("bytes").append_column("bytes", joined)
+
+
+def _hashed_in_turns(scratch: Scratch, pieces: DataFrame, long: DataFrame, turns: int, n: int) -> DataFrame:
+    """The states of the hashes of the ``n`` long files; a state goes to the stretch of the next turn as a row before it."""
+    # a newline is added to every line, so one too many where the file doesn't end with one; the reader skips a byte order mark
+    beyond = F.col("read") - F.col("length")
+    first = (
+        F.when(beyond.isin(0, 1), F.lit(sha256.START))
+        .when(beyond.isin(-3, -2), F.lit(sha256.advance(sha256.START, BYTE_ORDER_MARK)))
+        .otherwise(F.raise_error(F.concat(F.lit("Not read as long as it is: "), "file")).cast("binary"))
+    )
+    read = pieces.groupBy("file").agg(F.sum("n").alias("read"))
+    row = [F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("line")]
+    states = scratch.stored(long.join(read, "file", "left").select("file", "length", *row, first.alias("bytes")), "file-states")
+    for turn in range(turns):
+        rows = pieces.where(F.col("turn") == turn).select("file", F.lit(None).cast("long").alias("length"), "start", "line", "bytes")
+        # several times as many partitions as files, so that few files meet in one
+        dealt = rows.unionByName(states).repartition(4 * n, "file").sortWithinPartitions("file", "start", "line")
+        states = scratch.stored(dealt.mapInArrow(_take_turn, _TURN), "file-states")
+    return states
+
+
+def _take_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by file, its state first: that state after the pieces that follow."""
+    compress, held = sha256.compressor(), None
+    for batch in batches:
+        rest = batch.drop_columns("bytes").to_pylist()
+        for row, value in zip(rest, batch.column("bytes"), strict=True):
+            if row["start"] < 0:
+                if held:
+                    yield pa.RecordBatch.from_pylist([held], batch.schema)
+                held = row | {"bytes": value.as_py()}
+            else:
+                left = held["length"] - sha256.n_bytes(held["bytes"])
+                held["bytes"] = sha256.advance(held["bytes"], value.as_py()[:left], compress)
+    if held:
+        yield pa.RecordBatch.from_pylist([held], batch.schema)
 
 
 def _lookup(key: Column, values: dict[str, str]) -> Column:

@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import hashlib
 from pathlib import Path
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import sha256
 from paperloom.functions.text import content_hash
 from paperloom.operators import admission as A
 from paperloom.plans.catalogue import spark_queries
+from paperloom.sources import files
 from paperloom.sources.files import format_table, route_format, scan_files
 from paperloom.sources.tables import read_table, rewrite_partitions, write_tables
 
@@ -118,3 +121,39 @@ def test_scanned_files_of_the_test_tables(spark, folder):
     found = spark_queries()["scan_files"](spark, folder).collect()
     want = {p.name: p.read_bytes() for p in Path(folder).glob("*.parquet")}
     assert {(r.file_name, r.length, r.n_bytes, r.file_hash) for r in found} == {(n, len(b), len(b), hashlib.sha256(b).hexdigest()) for n, b in want.items()}
+
+
+def test_long_files_are_read_in_stretches(spark, tmp_path, monkeypatch):
+    random, mark = Random(7), b"\xef\xbb\xbf"
+    written = {
+        "random": random.randbytes(40_000), "ends": random.randbytes(9_000) + b"\n", "mark": mark + b"\n" + random.randbytes(9_000),
+        "two marks": mark + mark + random.randbytes(9_000) + b"\n", "newlines": b"\n" * 20_000, "none %20 \u00e9": bytes(9_000),
+        "crlf": b"ab\r\n\r" * 3_000, "bound": b"a" * 8_000, "short": b"a",
+    }
+    for name, data in written.items():
+        (tmp_path / f"{name}.parquet").write_bytes(data)
+    (tmp_path / "other.pdf").write_bytes(bytes(9_000))
+    monkeypatch.setattr(files, "TURN_BYTES", 8_000, raising=False)
+    # longer files may not be held as one value
+    held = {"spark.sql.sources.binaryFile.maxLength": "8000", "spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = spark_queries()["scan_files"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {(f"{n}.parquet", len(b), len(b), hashlib.sha256(b).hexdigest()) for n, b in written.items()}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("compress", [sha256.plain_compress, sha256.compressor()])
+def test_hash_is_carried_on_by_its_state(compress):
+    random = Random(3)
+    for n in (0, 1, 55, 56, 63, 64, 65, 119, 120, 3_000):
+        data, state = random.randbytes(n), sha256.START
+        cuts = sorted(random.choices(range(n + 1), k=20))
+        for begin, end in zip([0, *cuts], [*cuts, n], strict=True):
+            state = sha256.advance(state, data[begin:end], compress)
+        assert (sha256.n_bytes(state), sha256.digest(state)) == (n, hashlib.sha256(data).hexdigest())
