@@ -18,6 +18,8 @@ from paperloom.session import Scratch, new_folder, stored
 
 # Longer files are hashed by tasks that take turns, each over about so many bytes.
 TURN_BYTES = 128 << 20
+# The text reader leaves out longer lines; files that have some are read whole.
+LINE_BYTES = 16 << 20
 # Spark's text reader unpacks files with the suffix of a codec.
 PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
@@ -45,23 +47,26 @@ def _in_turns(turn_bytes: int) -> Column:
 def hashed_files(spark: SparkSession, folder: str | list[str], glob: str = "*.pdf", turn_bytes: int = TURN_BYTES) -> DataFrame:
     """The files of :func:`scan_files` with path, length, n_bytes (those hashed) and file_hash (SHA-256).
 
-    Files of up to ``turn_bytes`` are read whole, and so are longer ones with the suffix of a codec. Of the others a task reads a
-    stretch, whatever the length of the file.
+    Files of up to ``turn_bytes`` are read whole, and so are longer ones with the suffix of a codec or with more than ``LINE_BYTES``
+    between newlines. Of the others a task reads a stretch, whatever the length of the file.
     """
     found = scan_files(spark, folder, glob)
-    hashed = found.where(~_in_turns(turn_bytes)).select(
-        "path", "length", F.octet_length("content").cast("long").alias("n_bytes"), content_hash(F.col("content")).alias("file_hash")
-    )
+    at_once = ["path", "length", F.octet_length("content").cast("long").alias("n_bytes"), content_hash(F.col("content")).alias("file_hash")]
     long = found.where(_in_turns(turn_bytes)).select(F.col("_metadata.file_path").alias("file"), "path", "length")
     longest, n = long.agg(F.max("length"), F.count(F.lit(1))).first()
     if not n:
-        return hashed
+        return found.where(~_in_turns(turn_bytes)).select(at_once)
     scratch = Scratch(spark)
-    states = _hashed_in_turns(scratch, _stretches(scratch, folder, glob, turn_bytes), long, -(-longest // turn_bytes), n)
+    pieces = _stretches(scratch, folder, glob, turn_bytes)
+    states = scratch.stored(_first_states(pieces, long), "file-states")
+    whole = [r.file for r in states.where("bytes IS NULL").collect()]
+    if len(whole) < n:
+        states = _hashed_in_turns(scratch, pieces, states.where("bytes IS NOT NULL"), -(-longest // turn_bytes), n)
     ended = F.udf(lambda state: (sha256.n_bytes(state), sha256.digest(state)), "n_bytes long, file_hash string")
-    in_turns = stored(long.join(states.select("file", ended("bytes").alias("of")), "file").select("path", "length", "of.*"), "hashed-files")
+    ends = states.where("bytes IS NOT NULL").select("file", ended("bytes").alias("of"))
+    in_turns = stored(long.join(ends, "file").select("path", "length", "of.*"), "hashed-files")
     scratch.drop()
-    return hashed.unionByName(in_turns)
+    return found.where(~_in_turns(turn_bytes) | F.col("_metadata.file_path").isin(whole)).select(at_once).unionByName(in_turns)
 
 
 def _stretches(scratch: Scratch, folder: str | list[str], glob: str, turn_bytes: int) -> DataFrame:
@@ -70,6 +75,7 @@ def _stretches(scratch: Scratch, folder: str | list[str], glob: str, turn_bytes:
     lines = (
         _files(scratch.spark, "text", folder, glob)
         .option("lineSep", "\n")
+        .option("mapreduce.input.linerecordreader.line.maxlength", str(LINE_BYTES))
         .load(folder)
         .where(_in_turns(turn_bytes))
         .select(
@@ -102,18 +108,21 @@ def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield batch.slice(begin, 1).drop_columns("bytes").append_column("bytes", joined)
 
 
-def _hashed_in_turns(scratch: Scratch, pieces: DataFrame, long: DataFrame, turns: int, n: int) -> DataFrame:
-    """The states of the hashes of the ``n`` long files; a state goes to the stretch of the next turn as a row before it."""
+def _first_states(pieces: DataFrame, long: DataFrame) -> DataFrame:
+    """A row per long file to stand before its pieces, with the state of its hash; null where the pieces are not the whole file."""
     # a newline is added to every line, so one too many where the file doesn't end with one; the reader skips a byte order mark
     beyond = F.col("read") - F.col("length")
-    first = (
-        F.when(beyond.isin(0, 1), F.lit(sha256.START))
-        .when(beyond.isin(-3, -2), F.lit(sha256.advance(sha256.START, BYTE_ORDER_MARK)))
-        .otherwise(F.raise_error(F.concat(F.lit("Not read as long as it is: "), "file")).cast("binary"))
+    first = F.when(beyond.isin(0, 1), F.lit(sha256.START)).when(
+        beyond.isin(-3, -2), F.lit(sha256.advance(sha256.START, BYTE_ORDER_MARK))
     )
     read = pieces.groupBy("file").agg(F.sum("n").alias("read"))
     row = [F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("line")]
-    states = scratch.stored(long.join(read, "file", "left").select("file", "length", *row, first.alias("bytes")), "file-states")
+    return long.join(read, "file", "left").select("file", "length", *row, first.alias("bytes"))
+
+
+def _hashed_in_turns(scratch: Scratch, pieces: DataFrame, states: DataFrame, turns: int, n: int) -> DataFrame:
+    """The states after all pieces; a state goes to the pieces of the next turn as a row before them. There are ``n`` files at most."""
+    pieces = pieces.join(F.broadcast(states.select("file")), "file", "left_semi")
     for turn in range(turns):
         rows = pieces.where(F.col("turn") == turn).select("file", F.lit(None).cast("long").alias("length"), "start", "line", "bytes")
         # several times as many partitions as files, so that few files meet in one

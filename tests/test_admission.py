@@ -148,6 +148,19 @@ def test_long_files_are_read_in_stretches(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
+def test_long_files_without_newlines_are_read_whole(spark, tmp_path, monkeypatch):
+    random = Random(5)
+    written = {"zeros": bytes(30_000), "amid": random.randbytes(9_000) + b"a" * 12_000 + random.randbytes(9_000), "random": random.randbytes(30_000)}
+    for name, data in written.items():
+        (tmp_path / f"{name}.parquet").write_bytes(data)
+    monkeypatch.setattr(files, "LINE_BYTES", 4_000)
+    for names in (written, ["zeros", "amid"]):
+        paths = [str(tmp_path / f"{n}.parquet") for n in names]
+        found = files.hashed_files(spark, paths, turn_bytes=8_000).select("path", "length", "n_bytes", "file_hash").collect()
+        want = {(f"{n}.parquet", 30_000, 30_000, hashlib.sha256(written[n]).hexdigest()) for n in names}
+        assert {(Path(r.path).name, *r[1:]) for r in found} == want and len(found) == len(want)
+
+
 @pytest.mark.parametrize("compress", [sha256.plain_compress, sha256.compressor()])
 def test_hash_is_carried_on_by_its_state(compress):
     random = Random(3)
